@@ -6,7 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from passagebase.llm.common import table
 from passagebase.llm.exact_dedup import exact_dedup
+from passagebase.llm.mixing import mix
 from passagebase.llm.near_dedup import near_dedup
+from passagebase.llm.packing import pack
+
+
+#: Vocabulary files of public tokenizers: a parameter, never part of this repository.
+TOKENIZERS = "public_tokenizers"
+
+
+def tokenizer_path(name: str) -> str:
+    import importlib
+
+    return importlib.import_module(TOKENIZERS).path(name)
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +33,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op5_exact_dedup)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_simhash_near_dedup, op5_exact_dedup, op7_cutting_stock_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
