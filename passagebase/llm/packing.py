@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,6 +33,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 CACHE_WORDS = 300_000
 #: A pattern is used if at most this share of the sequence stays empty.
 MAX_WASTE = 0.01
+#: Tails are counted in units of so many tokens; shorter ones than LEAST_TAIL are always laid end to end.
+UNIT, LEAST_TAIL = 4, 64
 _RESIDUAL, _BLOCKS = 1 << 60, 1 << 61
 
 
@@ -98,28 +100,25 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
     return picked.mapInArrow(run, TOKENS_DDL)
 
 
-def bin_edges(length: int) -> np.ndarray:
-    """Upper bounds of the histogram's bins: fine for short tails, never wider than 1/32 of the length."""
-    edges, at = [], 0
-    while at < length - 1:
-        at += 1 if at < 32 else 2 if at < 64 else 4 if at < 256 else 8
-        edges.append(min(at, length - 1))
+def bin_edges(length: int, unit: int = UNIT, least: int = LEAST_TAIL) -> np.ndarray:
+    """Upper bounds of the histogram's bins, multiples of `unit`, wider for longer tails; tails below `least` have none."""
+    edges, at = [], least - 1 - (least - 1) % unit
+    while at < length:
+        at += unit * (1 if at < length // 8 else 2 if at < length // 2 else 4)
+        edges.append(min(at, length))
     return np.array(edges)
 
 
 def price(values: np.ndarray, sizes: np.ndarray, length: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack by dynamic programming: the best pattern and its value."""
+    """Unbounded knapsack by dynamic programming over capacities: the best pattern and its value. Sizes ascend."""
     best = np.zeros(length + 1)
     pick = np.full(length + 1, -1)
-    order = np.argsort(sizes)
-    s, v = sizes[order], values[order]
-    fits = np.searchsorted(s, np.arange(length + 1), side="right")
+    fits = np.searchsorted(sizes, np.arange(length + 1), side="right").tolist()
     for c in range(1, length + 1):
-        k = fits[c]
         best[c] = best[c - 1]
-        if k:
-            got = best[c - s[:k]] + v[:k]
-            i = int(got.argmax())
+        if k := fits[c]:
+            got = best[c - sizes[:k]] + values[:k]
+            i = got.argmax()
             if got[i] > best[c] + 1e-12:
                 best[c], pick[c] = got[i], i
     pattern, c = np.zeros(len(sizes)), length
@@ -127,12 +126,27 @@ def price(values: np.ndarray, sizes: np.ndarray, length: int) -> tuple[float, np
         if pick[c] < 0:
             c -= 1
         else:
-            pattern[order[pick[c]]] += 1
-            c -= s[pick[c]]
+            pattern[pick[c]] += 1
+            c -= sizes[pick[c]]
     return float(best[length]), pattern
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, length: int, gap: float = 5e-4, rounds: int = 4000) -> list[tuple[np.ndarray, float]]:
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan inverse by row operations; threads of a linear-algebra library are kept out of the driver."""
+    n = len(matrix)
+    work = np.concatenate([matrix, np.eye(n)], axis=1)
+    for i in range(n):
+        j = i + int(np.abs(work[i:, i]).argmax())
+        if j != i:
+            work[[i, j]] = work[[j, i]]
+        work[i] /= work[i, i]
+        factor = work[:, i].copy()
+        factor[i] = 0.0
+        work -= factor[:, None] * work[i]
+    return work[:, n:]
+
+
+def column_generation(sizes: np.ndarray, demand: np.ndarray, length: int, gap: float = 1e-2, rounds: int = 2000) -> list[tuple[np.ndarray, float]]:
     """Patterns and (fractional) counts of the cutting-stock linear program: fewest sequences that cover the demand.
 
     Revised simplex; the knapsack prices columns; stops when the price says the bound is within `gap`.
@@ -163,7 +177,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, length: int, gap: f
         leave = int(ratio.argmin())
         columns[:, leave], cost[leave] = enter, c
         if step % 100 == 99:
-            inverse = np.linalg.inv(columns)
+            inverse = inverted(columns)
             x = np.maximum(inverse @ demand, 0.0)
         else:
             pivot = inverse[leave] / change[leave]
@@ -183,12 +197,13 @@ def places(histogram: dict[int, int], length: int, max_waste: float = MAX_WASTE)
     edges = bin_edges(length)
     count = np.zeros(len(edges), dtype=np.int64)
     for n, c in histogram.items():
-        count[np.searchsorted(edges, n)] += c
+        if n >= LEAST_TAIL:
+            count[np.searchsorted(edges, n)] += c
     used = np.flatnonzero(count)
     taken, rows, sequences = np.zeros(len(edges), dtype=np.int64), [], 0
     if not len(used):
         return edges, taken, rows, sequences
-    for pattern, times in column_generation(edges[used], count[used].astype(float), length):
+    for pattern, times in column_generation(edges[used] // UNIT, count[used].astype(float), length // UNIT):
         copies = int(times + 1e-6)
         if copies and float(pattern @ edges[used]) >= (1 - max_waste) * length:
             pattern = pattern.astype(np.int64)
@@ -227,9 +242,20 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
 def _ranked(tokens: DataFrame, edges: np.ndarray, salts: int) -> DataFrame:
     """Rank of each tail within its bin, in two steps: within (bin, salt), plus the rows of the salts before it."""
-    bounds = F.array(*[F.lit(int(x)) for x in edges])
-    small = tokens.where("tail > 0").select("uid", "doc_id", "n", "tail", "tail_crc", F.array_position(F.transform(bounds, lambda b: b >= F.col("tail")), True).alias("bin"), F.pmod(F.xxhash64("uid"), F.lit(salts)).alias("salt"))
-    small = stash(small.withColumn("bin", (F.col("bin") - 1).cast("int")))
+    ends = edges.tolist()
+    widths = [b - a for a, b in zip(ends, ends[1:], strict=False)]
+    steps = [0, *[i + 1 for i in range(len(widths) - 1) if widths[i] != widths[i + 1]], len(ends) - 1]
+
+    def bin_of(tail: Column) -> Column:
+        """Position of the first bin whose end is no less; -1 for tails too short to have one."""
+        found = F.when(tail < LEAST_TAIL, -1).when(tail <= ends[0], 0)
+        for lo, hi in zip(steps, steps[1:], strict=False):
+            if hi > lo:
+                found = found.when(tail <= ends[hi], lo + F.ceil((tail - ends[lo]) / (ends[lo + 1] - ends[lo])))
+        return found.otherwise(len(ends) - 1).cast("int")
+
+    small = tokens.where("tail > 0").select("uid", "doc_id", "n", "tail", "tail_crc", bin_of(F.col("tail")).alias("bin"), F.pmod(F.xxhash64("uid"), F.lit(salts)).alias("salt"))
+    small = stash(small)
     before = W.partitionBy("bin").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     base = small.groupBy("bin", "salt").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).select("bin", "salt", "base")  # bins x salts at most
     own = F.row_number().over(W.partitionBy("bin", "salt").orderBy("uid")) - 1
@@ -245,7 +271,7 @@ def _placed(ranked: DataFrame, rows: list[tuple], taken: np.ndarray) -> DataFram
         for batch in batches:
             bins, rank = (np.asarray(batch.column(c)).astype(np.int64) for c in ("bin", "rank"))
             at = np.maximum(np.searchsorted(key, bins * (1 << 44) + rank, side="right") - 1, 0)
-            fits = rank < taken[bins] if len(bins) else np.zeros(0, dtype=bool)
+            fits = (bins >= 0) & (rank < taken[np.maximum(bins, 0)])
             p = spec[at] if len(spec) else np.zeros((len(bins), 6), dtype=np.int64)
             each = np.maximum(p[:, 4], 1)
             sequence, slot = p[:, 3] + (rank - p[:, 1]) // each, p[:, 5] + (rank - p[:, 1]) % each
