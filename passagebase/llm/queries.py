@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from passagebase.llm.common import table
 from passagebase.llm.exact_dedup import exact_dedup
+from passagebase.llm.context_tree import score_texts
+from passagebase.llm.html_text import extract
+from passagebase.llm.language_id import language_id
 from passagebase.llm.mixing import mix
 from passagebase.llm.near_dedup import near_dedup
 from passagebase.llm.packing import pack
+from passagebase.llm.quality import quality
+from passagebase.llm.secrets import scan
 
 
 #: Vocabulary files of public tokenizers: a parameter, never part of this repository.
@@ -29,16 +34,36 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op7_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op9_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op2_simhash_near_dedup, op5_exact_dedup, op7_cutting_stock_packing)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_simhash_near_dedup, op3_compression_quality, op5_exact_dedup, op6_language_mixture, op7_cutting_stock_packing, op8_secret_scan, op9_context_tree_scores, op10_html_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
