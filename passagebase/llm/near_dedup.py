@@ -34,7 +34,8 @@ from passagebase.llm.components import connected_components
 BITS = 64
 _PIECE = 1 << 16
 #: Pairs of runs with more combinations than this are swept instead of expanded.
-CROWDED = 4096
+CROWDED = 1 << 16
+_PAIRS = 1 << 21
 
 
 def simhash_bytes(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -133,17 +134,31 @@ def ring_links(fps: np.ndarray, group: np.ndarray, seg: int, max_bits: int) -> n
     big = sizes * sizes > CROWDED
     for r in np.flatnonzero(big):
         sweep(fps, np.arange(first[r], first[r] + sizes[r]), max_bits, forest)
-    left, right = [], []
+
+    def check(a: np.ndarray, b: np.ndarray) -> None:
+        """Chain of growing budgets around the ring, then a link for each pair that stays within all of them."""
+        a, b = a[a < b], b[a < b]
+        differ = fps[a] ^ fps[b]
+        spent = np.zeros(len(a), dtype=np.int64)
+        for length in range(1, m + 1):
+            s, w = ring[(seg + length - 1) % m]
+            spent = spent + np.bitwise_count(differ & np.uint64(((1 << w) - 1) << s))
+            stay = spent <= length * max_bits // m
+            a, b, differ, spent = a[stay], b[stay], differ[stay], spent[stay]
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            forest.link(x, y)
 
     def expand(a_lo: np.ndarray, a_n: np.ndarray, b_lo: np.ndarray, b_n: np.ndarray) -> None:
-        """All pairs of two small runs each."""
-        total = a_n * b_n
-        if not total.sum():
-            return
-        which = np.repeat(np.arange(len(total)), total)
-        at = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
-        left.append(a_lo[which] + at // b_n[which])
-        right.append(b_lo[which] + at % b_n[which])
+        """All pairs of two small runs each, some millions at a time."""
+        ends = np.cumsum(a_n * b_n)
+        at = 0
+        while at < len(ends):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS)))
+            total = (a_n * b_n)[at:stop]
+            which = np.repeat(np.arange(at, stop), total)
+            within = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+            check(a_lo[which] + within // b_n[which], b_lo[which] + within % b_n[which])
+            at = stop
 
     expand(first[~big], sizes[~big], first[~big], sizes[~big])
     for bit in range(width):
@@ -157,17 +172,6 @@ def ring_links(fps: np.ndarray, group: np.ndarray, seg: int, max_bits: int) -> n
         expand(first[a[~crowded]], sizes[a[~crowded]], first[b[~crowded]], sizes[b[~crowded]])
         for x, y in zip(a[crowded].tolist(), b[crowded].tolist(), strict=True):
             sweep(fps, np.concatenate([np.arange(first[x], first[x] + sizes[x]), np.arange(first[y], first[y] + sizes[y])]), max_bits, forest)
-    if left:
-        a, b = np.concatenate(left), np.concatenate(right)
-        a, b = a[a < b], b[a < b]
-        differ = fps[a] ^ fps[b]
-        spent, good = np.zeros(len(a), dtype=np.int64), np.ones(len(a), dtype=bool)
-        for length in range(1, m + 1):
-            s, w = ring[(seg + length - 1) % m]
-            spent = spent + np.bitwise_count(differ & np.uint64(((1 << w) - 1) << s))
-            good &= spent <= length * max_bits // m
-        for x, y in zip(a[good].tolist(), b[good].tolist(), strict=True):
-            forest.link(x, y)
     return order[np.array(forest.links, dtype=np.int64).reshape(-1, 2)]
 
 
