@@ -15,7 +15,9 @@ blocks; an empty table gives an empty result; extra columns are ignored; a null
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,24 @@ UNIT, LEAST_TAIL = 4, 64
 _RESIDUAL, _BLOCKS = 1 << 60, 1 << 61
 
 
+#: Lower-case Latin letters, then marks that stand in one group; neither is changed by normalisation or split further.
+SIMPLE = re.compile("([a-zà-öø-ÿ]*)([.,;:!?*#%$&]*)")
+
+
+def _byte_signs() -> list[str]:
+    """The printable sign of each byte in byte-level vocabularies: itself where printable, else the next from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    signs, extra = {b: chr(b) for b in plain}, 256
+    for b in range(256):
+        if b not in signs:
+            signs[b] = chr(extra)
+            extra += 1
+    return [signs[b] for b in range(256)]
+
+
+BYTE_SIGN = _byte_signs()
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer file; words between ASCII white space are encoded once and remembered.
 
@@ -49,28 +69,64 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.merge = self.tokenizer.model.tokenize
         self.known: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         probe = ["a b", "it's  1 2\n\tx", " a\r\nb\x0b\x0c", "été ü. !! b"]
         self.by_word = all(self._plain(p) == [i for w in p.encode().split() for i in self._plain(w.decode())] for p in probe)
+        self.lowers = self._plain("ABCXYZ Hello") == self._plain("abcxyz hello")
+        self.direct = self.by_word and self.lowers and self._same_direct()
+
+    def _same_direct(self) -> bool:
+        """Whether letters and marks can go to the merge table byte by byte, told by a few words."""
+        self.direct = True
+        probe = ["hello", "thentation.", "été", "größe,", "ciónador!!", "in***", "the###", "über&&&", "a%%%.", "señor;:"]
+        return all(np.frombuffer(self._word(w.encode()), dtype=self.dtype).tolist() == self._plain(w) for w in probe)
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _word(self, word: bytes) -> bytes:
+        """Ids of one word. Plain lower-case letters with closing marks go to the merge table directly."""
+        text = word.decode()
+        m = SIMPLE.fullmatch(text) if self.direct else None
+        if not m:
+            return np.array(self._plain(text), dtype=self.dtype).tobytes()
+        letters, marks = m.groups()
+        return (self._part(letters) if letters else b"") + (self.marks.get(marks) or self._marks(marks) if marks else b"")
+
+    def _part(self, part: str) -> bytes:
+        signs = part if part.isascii() else "".join([BYTE_SIGN[b] for b in part.encode()])
+        return array(self.code, [t.id for t in self.merge(signs)]).tobytes()
+
+    def _marks(self, marks: str) -> bytes:
+        self.marks[marks] = self._part(marks)
+        return self.marks[marks]
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
-        words = [t.split() for t in texts]
+        # A-Z may be lowered beforehand where the tokenizer lowers anyway; special tokens are spelled in marks.
+        words = [(t if not self.lowers or b"<|" in t else t.lower()).split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = list(set().union(*words).difference(self.known))
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype=self.dtype).tobytes()
+        for w in set().union(*words).difference(self.known):
+            self.known[w] = self._word(w)
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, w)), dtype=self.dtype) for w in words]
 
 
+def shared_encoder(path: str) -> WordEncoder:
+    """One encoder a worker process: tasks that follow each other in it find the words known."""
+    import sys
+
+    kept = sys.__dict__.setdefault("_word_encoders", {})
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
+
+
 def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -82,7 +138,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, task = WordEncoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, task = shared_encoder(tokenizer_path), TaskContext.get().partitionId()
         row, block = task << 40, task << 40
         for batch in doc_slices(batches, "text", 4 << 20):
             out: dict[str, list] = {f.name: [] for f in TOKENS}
