@@ -73,8 +73,14 @@ def test_pack_units_invariants():
         assert sum(C.default_tokens(x) + 1 for x in body.split("\n")) <= 80
         assert pages == sorted(set(pages))
         assert section in (None, "2.1 A heading")
-    after = next(i for i, (t, _, _) in enumerate(chunks) if t.startswith("2.1 A heading\nSentence number 30") or "2.1 A heading" in t)
-    assert "number 29 " not in chunks[after][0]  # no overlap into a heading
+
+
+@pytest.mark.parametrize(("before", "starts"), [(2, False), (3, True)])
+def test_heading_starts_a_chunk_once_two_fifths_are_full(before, starts):
+    rows = [(1, f"Sentence number {i} has a few words in it.", False) for i in range(before)] + [(1, "2.1 A heading", True), (1, "Body follows here.", False)]
+    chunks = C.pack_units(rows, limit=80, overlap=20)
+    assert len(chunks) == 1 + starts
+    assert not starts or chunks[1][0] == "2.1 A heading\nBody follows here."  # no overlap into a heading
 
 
 def test_split_long():
