@@ -32,7 +32,8 @@ from passagebase.llm.common import as_bytes, doc_slices, maybe_broadcast, stash
 TOKENS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("block_base", pa.int64()), ("crcs", pa.list_(pa.int64())), ("tail", pa.int32()), ("tail_crc", pa.int64()), ("ids", pa.binary())])
 TOKENS_DDL = "uid long, doc_id long, n long, block_base long, crcs array<long>, tail int, tail_crc long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-CACHE_WORDS = 300_000
+#: Words remembered by a worker process at most; beyond, those of up to SHORT bytes stay, which are the frequent ones.
+CACHE_WORDS, SHORT = 450_000, 8
 #: A pattern is used if at most this share of the sequence stays empty.
 MAX_WASTE = 0.01
 #: Tails are counted in units of so many tokens; shorter ones than LEAST_TAIL are always laid end to end.
@@ -94,7 +95,16 @@ class WordEncoder:
         if not m:
             return np.array(self._plain(text), dtype=self.dtype).tobytes()
         letters, marks = m.groups()
-        return (self._part(letters) if letters else b"") + (self.marks.get(marks) or self._marks(marks) if marks else b"")
+        if not marks:
+            return self._part(letters)
+        ids = self.marks.get(marks) or self._marks(marks)
+        if letters:
+            plain = word[: len(word) - len(marks)]
+            known = self.known.get(plain)
+            if known is None:
+                known = self.known[plain] = self._part(letters)
+            ids = known + ids
+        return ids
 
     def _part(self, part: str) -> bytes:
         signs = part if part.isascii() else "".join([BYTE_SIGN[b] for b in part.encode()])
@@ -110,7 +120,9 @@ class WordEncoder:
         # A-Z may be lowered beforehand where the tokenizer lowers anyway; special tokens are spelled in marks.
         words = [(t if not self.lowers or b"<|" in t else t.lower()).split() for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+            self.known = {w: ids for w, ids in self.known.items() if len(w) <= SHORT}
+            if len(self.known) > CACHE_WORDS // 2:
+                self.known.clear()
         for w in set().union(*words).difference(self.known):
             self.known[w] = self._word(w)
         get = self.known.__getitem__
