@@ -14,6 +14,7 @@ from passagebase.llm.near_dedup import near_dedup
 from passagebase.llm.packing import pack
 from passagebase.llm.quality import quality
 from passagebase.llm.secrets import scan
+from passagebase.llm.topk import top_k
 
 
 #: Vocabulary files of public tokenizers: a parameter, never part of this repository.
@@ -38,6 +39,10 @@ def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -63,7 +68,7 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op2_simhash_near_dedup, op3_compression_quality, op5_exact_dedup, op6_language_mixture, op7_cutting_stock_packing, op8_secret_scan, op9_context_tree_scores, op10_html_main_text)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_simhash_near_dedup, op3_compression_quality, op4_hamming_top_k, op5_exact_dedup, op6_language_mixture, op7_cutting_stock_packing, op8_secret_scan, op9_context_tree_scores, op10_html_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
