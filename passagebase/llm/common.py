@@ -49,6 +49,18 @@ def crc32_mod(col: str, n: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
 
 
+def text_sha(text_col: str = "text"):
+    """SHA-256 of a text, in hex; with the doc_id it names a row where an id is null or has several texts."""
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+
+
+def drop_rows(docs: DataFrame, drop: DataFrame, id_col: str = "doc_id", sha=None) -> DataFrame:
+    """The documents that are not among the rows (doc_id, sha). Columns stay as they were."""
+    gone = drop.select(F.col("doc_id").alias("__drop_id"), F.col("sha").alias("__drop_sha"))
+    on = docs[id_col].cast("long").eqNullSafe(F.col("__drop_id")) & ((text_sha() if sha is None else sha) == F.col("__drop_sha"))
+    return docs.join(maybe_broadcast(gone, gone.count()), on, "left_anti")
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column without nulls."""
     if isinstance(column, pa.ChunkedArray):
