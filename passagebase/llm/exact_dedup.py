@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagebase.llm.common import as_bytes, doc_slices, maybe_broadcast, stash
+from passagebase.llm.common import as_bytes, doc_slices, drop_rows, maybe_broadcast, stash
 
 #: Quotient bits: merged blocks hold about rows / 2**QUOTIENT_BITS fingerprints each.
 QUOTIENT_BITS = 12
@@ -171,14 +171,14 @@ BROADCAST_LIMIT = 500_000
 
 
 def keep_one(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose decision is kept; of rows repeated with one doc_id, one row stays. Columns stay as they were."""
-    drop = decisions.where(~F.col("kept")).select(F.col("doc_id").alias("__drop_id")).distinct()
-    n = drop.count()
-    stay = docs.join(maybe_broadcast(drop, n), docs[id_col].cast("long").eqNullSafe(F.col("__drop_id")), "left_anti")
-    again = decisions.where("kept and group_size > 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__again_id"))
+    """The rows whose decision is kept, found by doc_id and text; of rows repeated with both, one stays. Columns stay as they were."""
+    body = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    marked = docs.withColumn("__sha", F.sha2(body.cast("binary"), 256))
+    stay = drop_rows(marked, decisions.where(~F.col("kept")).select("doc_id", F.col("text_sha256").alias("sha")).distinct(), id_col, F.col("__sha"))
+    again = decisions.where("kept and group_size > 1").groupBy(F.col("doc_id").alias("__again_id"), F.col("text_sha256").alias("__again_sha")).count().where("count > 1").drop("count")
     m = again.count()
     if not m:
-        return stay
+        return stay.drop("__sha")
     hit = maybe_broadcast(again, m)
-    on = stay[id_col].cast("long").eqNullSafe(F.col("__again_id"))
-    return stay.join(hit, on, "left_anti").unionByName(stay.join(hit, on, "left_semi").dropDuplicates([id_col, text_col]))
+    on = stay[id_col].cast("long").eqNullSafe(F.col("__again_id")) & (F.col("__sha") == F.col("__again_sha"))
+    return stay.join(hit, on, "left_anti").unionByName(stay.join(hit, on, "left_semi").dropDuplicates([id_col, "__sha"])).drop("__sha")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagebase.llm.common import crc32_mod, doc_slices
+from passagebase.llm.common import crc32_mod, doc_slices, drop_rows, text_sha
 
 TABLE_BITS = 16
 UNKNOWN = "und"
@@ -96,8 +96,8 @@ def infer(table: np.ndarray, grams: np.ndarray, steps: int = 12) -> tuple[int, f
     return int(chosen[best]), float(min(1.0, share[best]))
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score for every row."""
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", with_sha: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score for every row; with the text's SHA-256 (sha) after doc_id if wanted."""
     langs, table = model
     shared = docs.sparkSession.sparkContext.broadcast(table)  # languages x 65,536 numbers
 
@@ -118,7 +118,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
             yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*(f.name for f in batch.schema if f.name not in ("text", "letters")), "lang_pred", "score"])
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), letters).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    sha = [text_sha(text_col).alias("sha")] if with_sha else []
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), *sha, F.col(text_col).alias("text"), letters)
+    return picked.mapInArrow(run, f"doc_id long, {'sha string, ' if with_sha else ''}lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> DataFrame:
@@ -129,9 +131,8 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_unknown(docs: DataFrame, predictions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents whose language could be told; `und` is exactly the documents without a letter, or all without a model."""
-    from passagebase.llm.common import maybe_broadcast
+    """Documents whose language could be told; `und` is exactly the documents without a letter, or all without a model.
 
-    gone = predictions.where(F.col("lang_pred") == UNKNOWN).select(F.col("doc_id").alias("__drop_id")).distinct()
-    n = gone.count()
-    return docs.join(maybe_broadcast(gone, n), docs[id_col].cast("long").eqNullSafe(F.col("__drop_id")), "left_anti")
+    predictions are those of identify with the texts' SHA-256: rows are decided by doc_id and text.
+    """
+    return drop_rows(docs, predictions.where(F.col("lang_pred") == UNKNOWN).select("doc_id", "sha").distinct(), id_col, text_sha(text_col))

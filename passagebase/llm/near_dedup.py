@@ -232,10 +232,3 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_fp = stash(named.join(top, "root").select("fp", "component_id"))
     out = slim.join(maybe_broadcast(by_fp, by_fp.count()), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_smallest(docs: DataFrame, components: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One document of each component stays: the one whose id is the component's. Columns stay as they were."""
-    drop = components.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__drop_id")).distinct()
-    n = drop.count()
-    return docs.join(maybe_broadcast(drop, n), docs[id_col].cast("long").eqNullSafe(F.col("__drop_id")), "left_anti")
