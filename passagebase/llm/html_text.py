@@ -4,7 +4,8 @@ A page becomes a row of tokens: words score positive, tags score negative. The w
 that mark their article themselves: a tag that stands outside the article more than inside costs the more, a tag that is
 usual inside costs next to nothing. A linear scan finds the contiguous stretch of highest total score; its text, block by
 block, is the result. Elements that are never article text (scripts, styles, forms, navigation, headers and footers of
-the page, asides, and boxes whose class or id names an advert, notice, sidebar or comment list) are cut out beforehand.
+the page, asides, and boxes whose class or id names an advert, notice, sidebar or comment list) are cut out beforehand, unless they hold the page's first article or,
+on pages that mark none, the main element or most of the words (forms and boxes by name only).
 
 The fit reads a bounded sample of labelled pages (SAMPLE_PAGES, by a hash of the url and id); every page is read whole.
 
@@ -42,6 +43,10 @@ BOX_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 NAME = re.compile(r"[a-z]+")
+#: Class names that start so tell what else the page has or lacks, not what the element is.
+ABOUT = re.compile(r"(?:has|have|no|not|with|without|is|js|hide|show)[-_]")
+#: What stays cut even where it holds most of the words, unless it holds the article.
+NEVER_MOST = NEVER - {"form", "fieldset"}
 
 
 def is_box(name: str, attributes: str, in_article: bool) -> bool:
@@ -54,34 +59,62 @@ def is_box(name: str, attributes: str, in_article: bool) -> bool:
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value in BOX_ROLES):
             return True
-        if key in ("class", "id") and not BOX_NAMES.isdisjoint(NAME.findall(value)):
+        if key in ("class", "id") and any(not BOX_NAMES.isdisjoint(NAME.findall(x)) for x in value.split() if not ABOUT.match(x)):
             return True
     return False
 
 
+def walk(page: str) -> tuple[list[tuple[str, str, bool, str]], str]:
+    """(text before, name, whether it closes, attributes) of each tag outside raw elements, and the text at the end."""
+    out, at, before = [], 0, ""
+    while m := TOKEN.search(page, at):
+        before += page[at : m.start()]
+        at = m.end()
+        name, closing = (m[2] or "").lower(), bool(m[1])
+        if name in RAW and not closing:
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            at = end.end() if end else (at if name not in ("script", "style") else len(page))
+        elif name:
+            out.append((before, name, closing, m[3] or ""))
+            before = ""
+    return out, before + page[at:]
+
+
+class Holds:
+    """Which elements hold the page's article, or else most of its words; such an element is no box."""
+
+    def __init__(self, tags: list[tuple[str, str, bool, str]], rest: str):
+        self.upto = np.cumsum([len(t[0].split()) for t in tags] + [len(rest.split())])
+        self.end = np.full(len(tags), len(tags))
+        stacks: dict[str, list[int]] = {}
+        for i, (_, name, closing, _) in enumerate(tags):
+            if not closing:
+                stacks.setdefault(name, []).append(i)
+            elif stacks.get(name):
+                self.end[stacks[name].pop()] = i
+        first = {n: next((i for i, t in enumerate(tags) if t[1] == n and not t[2]), None) for n in ("article", "main")}
+        self.any_article = first["article"] is not None
+        self.article = first["article"] if self.any_article else first["main"]
+
+    def __call__(self, i: int, name: str) -> bool:
+        end = int(self.end[i])
+        if self.article is not None and i < self.article < end:
+            return True
+        return not self.any_article and name not in NEVER_MOST and 2 * (self.upto[end] - self.upto[i]) > self.upto[-1]
+
+
 def tokens(page: str) -> list[tuple[str, str]]:
     """(tag, text) in page order: a tag name with its slash and no text, or no tag and a stretch of text.
 
     What is cut out leaves nothing. Text is still with its character references.
     """
     out: list[tuple[str, str]] = []
-    at, article, waiting, depth, close_by = 0, 0, "", 0, {}
-    while True:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
+    tags, rest = walk(page)
+    article, waiting, depth = 0, "", 0
+    holds, last_close = None, {name: i for i, (_, name, closing, _) in enumerate(tags) if closing}
+    for i, (text, name, closing, attributes) in enumerate(tags):
         if text and not waiting:
             out.append(("", text))
-        if not m:
-            return out
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue
-        closing = bool(m[1])
-        if name in RAW and not closing:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else (at if name not in ("script", "style") else len(page))
-            continue
         if waiting:
             if name == waiting and name not in VOID:
                 depth += -1 if closing else 1
@@ -90,15 +123,17 @@ def tokens(page: str) -> list[tuple[str, str]]:
             continue
         if name == "article":
             article = max(0, article + (-1 if closing else 1))
-        if not closing and name not in VOID and not (m[3] or "").rstrip().endswith("/") and is_box(name, m[3], article > 0):
-            if name not in close_by:
-                found = [x.start() for x in re.finditer(rf"</{re.escape(name)}\s*>", page, re.I)]
-                close_by[name] = found[-1] if found else -1
-            if close_by[name] >= at:  # an element that is never closed is no box: it would hide the rest of the page
+        if not closing and name not in VOID and not attributes.rstrip().endswith("/") and is_box(name, attributes, article > 0):
+            holds = holds or Holds(tags, rest)
+            # An element that is never closed is no box: it would hide the rest of the page.
+            if last_close.get(name, -1) > i and not holds(i, name):
                 waiting, depth = name, 1
                 out.append(("/" + name if name not in INLINE else "", ""))
                 continue
         out.append((("/" if closing else "") + name, ""))
+    if rest and not waiting:
+        out.append(("", rest))
+    return out
 
 
 def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
