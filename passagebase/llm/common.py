@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -70,7 +71,10 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 def doc_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each holds about max_bytes of text (one row at least), for bounded worker memory."""
+    """Cut Arrow batches so that each holds about max_bytes of text (one row at least), for bounded worker memory.
+
+    After the last one the worker, which lives on for other tasks, gives back what it no longer uses.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -82,3 +86,12 @@ def doc_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
             stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release()
+
+
+def release() -> None:
+    """Return freed memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

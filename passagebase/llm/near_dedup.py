@@ -60,6 +60,42 @@ def _majority(pieces: list[np.ndarray], total: int) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0])
 
 
+def wide_simhash(hashes: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of words x 64 bits over a set of 64-bit hashes, which are mixed anew for each word."""
+    odd = np.random.default_rng(42).integers(0, 1 << 63, words, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.empty(words, dtype=np.uint64)
+    for i in range(words):
+        pieces = []
+        for at in range(0, len(hashes), _PIECE):
+            x = hashes[at : at + _PIECE] * odd[i]
+            x = (x ^ (x >> np.uint64(29))) * odd[(i + 1) % words]
+            pieces.append(x ^ (x >> np.uint64(32)))
+        out[i] = _majority(pieces, len(hashes))
+    return out
+
+
+def ring_distances(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Differing bits of the fingerprint `one` and each row of `many`."""
+    return np.bitwise_count(many ^ one).sum(axis=1, dtype=np.int64)
+
+
+def ring_close(one: np.ndarray, many: np.ndarray, max_bits: int, chain: int = 4) -> np.ndarray:
+    """Which rows of `many` differ from `one` in at most max_bits bits.
+
+    The words lie on a ring of 32-bit segments. Some chain of consecutive segments must keep each of its first `chain`
+    prefixes within its share of the budget; only rows that have one are counted over all segments.
+    """
+    parts = np.bitwise_count(np.ascontiguousarray(many ^ one).view(np.uint32)).astype(np.int64)
+    m = parts.shape[1]
+    spent, alive = np.zeros_like(parts), np.ones(parts.shape, dtype=bool)
+    for length in range(1, min(chain, m) + 1):
+        spent += np.roll(parts, 1 - length, axis=1)
+        alive &= spent * m <= length * max_bits
+    near = alive.any(axis=1)
+    near[near] = parts[near].sum(axis=1) <= max_bits
+    return near
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp) of every row, whole texts, no shuffle."""
 

@@ -15,6 +15,7 @@ blocks; an empty table gives an empty result; extra columns are ignored; a null
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -33,7 +34,9 @@ TOKENS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64(
 TOKENS_DDL = "uid long, doc_id long, n long, block_base long, crcs array<long>, tail int, tail_crc long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Words remembered by a worker process at most; beyond, those of up to SHORT bytes stay, which are the frequent ones.
-CACHE_WORDS, SHORT = 450_000, 8
+CACHE_WORDS, SHORT = 250_000, 8
+#: Bytes of text that are tokenised at a time.
+SLICE_BYTES = 1 << 20
 #: A pattern is used if at most this share of the sequence stays empty.
 MAX_WASTE = 0.01
 #: Tails are counted in units of so many tokens; shorter ones than LEAST_TAIL are always laid end to end.
@@ -59,10 +62,38 @@ def _byte_signs() -> list[str]:
 BYTE_SIGN = _byte_signs()
 
 
+# Normaliser and pre-tokenizer of a tokenizer that composes, lowers and drops white space. Its pieces never
+# cross white space, so words can be encoded one by one; letters and marks reach the merge table as bytes.
+WORD_SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+#: First bytes of the marks that compose with the letter before them, U+0300 to U+037F.
+MARK_LEADS = (b"\xcc", b"\xcd")
+
+
+def splits_by_words(settings: dict) -> bool:
+    """Whether a tokenizer file's settings allow encoding word by word."""
+    return all(settings.get(k) == v for k, v in WORD_SETTINGS.items()) and settings["model"]["type"] == "BPE" and not any(set("\t\n\x0b\x0c\r ") & set(t["content"]) for t in settings["added_tokens"])
+
+
+def lowered(text: bytes) -> bytes:
+    """A-Z lowered where that can't change what the tokenizer gives: not before marks that compose (some compose with
+    the small letter only) nor where a special token may be spelled."""
+    return text if b"<|" in text or any(m in text for m in MARK_LEADS) else text.lower()
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer file; words between ASCII white space are encoded once and remembered.
 
-    That is exact for tokenizers that drop white space, which is probed; others get whole texts.
+    That is exact for tokenizers with the settings of WORD_SETTINGS; others get whole texts.
     """
 
     def __init__(self, path: str):
@@ -74,16 +105,7 @@ class WordEncoder:
         self.merge = self.tokenizer.model.tokenize
         self.known: dict[bytes, bytes] = {}
         self.marks: dict[str, bytes] = {}
-        probe = ["a b", "it's  1 2\n\tx", " a\r\nb\x0b\x0c", "été ü. !! b"]
-        self.by_word = all(self._plain(p) == [i for w in p.encode().split() for i in self._plain(w.decode())] for p in probe)
-        self.lowers = self._plain("ABCXYZ Hello") == self._plain("abcxyz hello")
-        self.direct = self.by_word and self.lowers and self._same_direct()
-
-    def _same_direct(self) -> bool:
-        """Whether letters and marks can go to the merge table byte by byte, told by a few words."""
-        self.direct = True
-        probe = ["hello", "thentation.", "été", "größe,", "ciónador!!", "in***", "the###", "über&&&", "a%%%.", "señor;:"]
-        return all(np.frombuffer(self._word(w.encode()), dtype=self.dtype).tolist() == self._plain(w) for w in probe)
+        self.by_word = self.direct = splits_by_words(json.loads(self.tokenizer.to_str()))
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -117,8 +139,7 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
-        # A-Z may be lowered beforehand where the tokenizer lowers anyway; special tokens are spelled in marks.
-        words = [(t if not self.lowers or b"<|" in t else t.lower()).split() for t in texts]
+        words = [lowered(t).split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known = {w: ids for w, ids in self.known.items() if len(w) <= SHORT}
             if len(self.known) > CACHE_WORDS // 2:
@@ -152,7 +173,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, task = shared_encoder(tokenizer_path), TaskContext.get().partitionId()
         row, block = task << 40, task << 40
-        for batch in doc_slices(batches, "text", 4 << 20):
+        for batch in doc_slices(batches, "text", SLICE_BYTES):
             out: dict[str, list] = {f.name: [] for f in TOKENS}
             for ids in encoder.encode(as_bytes(batch.column("text"))):
                 ids = np.append(ids, np.array([end_id], dtype=encoder.dtype))

@@ -186,6 +186,25 @@ def test_word_encoder_equals_whole_texts():
     assert [x.tolist() for x in e.encode([t.encode() for t in texts])] == [e._plain(t) for t in texts]
 
 
+@needs_tokenizers
+def test_word_encoder_with_marks_that_compose():
+    import public_tokenizers
+
+    e = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    r = np.random.default_rng(5)
+    letters = list("ABHJKTWYZabhjtwyé.'1") + [chr(c) for c in (0x300, 0x301, 0x302, 0x303, 0x307, 0x308, 0x30A, 0x30C, 0x323, 0x327, 0x331, 0x338, 0x345, 0x591, 0x1100, 0x1161)]
+    texts = ["T\u0308a H\u0331 J\u030c W\u030a Y\u030a", "\u0308T \u0331h", *(" ".join("".join(r.choice(letters, r.integers(1, 7))) for _ in range(8)) for _ in range(3000))]
+    assert [x.tolist() for x in e.encode([t.encode() for t in texts])] == [e._plain(t) for t in texts]
+
+
+@needs_tokenizers
+def test_tokenizers_with_other_settings_get_whole_texts():
+    import public_tokenizers
+
+    e = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not e.by_word and [x.tolist() for x in e.encode([b"a  b\n C"])] == [e._plain("a  b\n C")]
+
+
 def test_column_generation_finds_a_tight_cover():
     sizes, demand = np.array([3, 5, 7]), np.array([30.0, 20.0, 10.0])
     plan = packing.column_generation(sizes, demand, 10, gap=1e-9)
