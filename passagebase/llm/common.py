@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,9 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Bytes of rows that go to a Python worker at a time; a session that sets its own bound keeps it.
+BATCH_BYTES, _BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what executors and workers buffer between them: 10,000 rows, the usual bound, can be long texts all."""
+    if not spark.sparkContext.getConf().contains(_BATCH_SETTING):
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage is cut, a lost executor loses nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = os.path.join(shared_dir(spark), "tables", uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -42,6 +54,7 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -70,6 +83,19 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return column.cast(kind).to_pylist()
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_parts(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A text in parts of about `size` bytes, cut behind white space only, so that no word is split."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + size) if at + size < len(text) else None
+        end = cut.end() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
 def doc_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about max_bytes of text (one row at least), for bounded worker memory.
 

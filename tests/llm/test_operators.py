@@ -255,16 +255,6 @@ def test_context_tree(spark):
     assert all(r.train_tokens == total and r.held_out == (fold(r.doc_id, 10) == 0) and r.score < 0 for r in got)
 
 
-def test_tree_probabilities_sum_to_one_and_follow_counts():
-    at, lengths = context_tree.cells([b"abab", b"ac", b" ", "é".encode()])
-    assert lengths.tolist() == [5, 3, 1, 3]
-    table = context_tree.tree_table(*np.unique(at, return_counts=True))
-    assert np.allclose((10.0 ** table[:: 1 + 97]).sum(axis=1), 1, atol=1e-4)
-    assert np.allclose(context_tree.log_gamma(np.array([0.5, 1.5, 40.0])), [math.lgamma(x) for x in (0.5, 1.5, 40.0)])
-    frequent = context_tree.tree_table(np.array([97, 98]), np.array([1000.0, 10.0]))
-    assert frequent[0, 97] > frequent[0, 98] > frequent[0, 99]
-
-
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a="</p>";</script></head><body><header><h2>Site</h2></header><nav><ul><li><a href=/>Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><!-- ad --><div class="ad">Buy now</div><div class="wrap"><aside>Side</aside><article><h1>Head &quot;line&quot;</h1><p>First  par<b>t</b> &eacute;.<br><p>Second\n\tpart here.</p><form><input>Send</form><p>One.</p></article>
 <section class="comments"><p>Great post everyone should read this now</p></section></div><footer>&copy; x</footer></body>"""
