@@ -1,18 +1,22 @@
 """Main text of web pages as a maximum-scoring subsequence.
 
 A page becomes a row of tokens: words score positive, tags score negative. The weights come from labelled pages, pages
-that mark their article themselves: a tag that stands outside the article more than inside costs the more, a tag that is
-usual inside costs next to nothing. A linear scan finds the contiguous stretch of highest total score; its text, block by
-block, is the result. Elements that are never article text (scripts, styles, forms, navigation, headers and footers of
-the page, asides, and boxes whose class or id names an advert, notice, sidebar or comment list) are cut out beforehand, unless they hold the page's first article or,
-on pages that mark none, the main element or most of the words (forms and boxes by name only).
+that mark their article themselves. A tag costs the more, the more often it stands outside the article rather than in it;
+a tag that is usual inside costs next to nothing. An element of a kind (its name, or a word of its class, id or role)
+that labelled pages have beside the article and not in it is a box: its tag costs what all its words score and BOX_COST
+more, so no best stretch begins or ends with a box, and a box amid the article is passed over for next to nothing. A
+linear scan finds the contiguous stretch of highest total score; its text without the boxes, block by block, is the
+result. Names that custom gives to adverts, notices, comments and the like count as seen PRIOR times beside an article,
+so pages unlike the labelled ones have weights too; labelled pages overrule that. HTML's own elements for menus, asides
+and forms are boxes wherever they stand. Scripts and styles are no text. An element that holds the page's first article, or on pages that mark none the main element or most of the words,
+is never a box.
 
 The fit reads a bounded sample of labelled pages (SAMPLE_PAGES, by a hash of the url and id); every page is read whole.
 
-Defined results: a null or empty html, or a page without words, gives the empty text; without labelled pages the default
-weight holds for every tag; of equally good stretches the first is taken, with its longest reach; a page cut off within
-markup is read to its end; repeated rows get equal results; an empty table gives an empty result; extra columns are
-ignored.
+Defined results: a null or empty html, or a page without words, gives the empty text; without labelled pages the prior
+kinds and the default weight of tags hold; of equally good stretches the first is taken, with its longest reach; a page
+cut off within markup is read to its end; repeated rows get equal results; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +34,12 @@ from pyspark.sql import functions as F
 from passagebase.llm.common import doc_slices
 
 SAMPLE_PAGES = 1000
-WORD_SCORE, DEFAULT_TAG, LEAST_TAG, MOST_TAG = 1.0, 0.5, 0.01, 25.0
+WORD_SCORE, DEFAULT_TAG, LEAST_TAG, MOST_TAG = 1.0, 0.1, 0.01, 100.0
+#: Words that a tag costs for each unit of its log odds; what a box costs beyond its words.
+WORDS_A_UNIT, BOX_COST = 10.0, 0.5
+#: Times that a name known for boxes counts as seen beside an article, that HTML's own elements for menus, forms and the
+#: like do; log odds from which an element is a box.
+PRIOR, ALWAYS, BOX_ODDS = 3, 1 << 40, 1.1
 
 # Kinds of elements of HTML.
 RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "canvas", "object", "audio", "video"))
@@ -45,23 +54,45 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(
 NAME = re.compile(r"[a-z]+")
 #: Class names that start so tell what else the page has or lacks, not what the element is.
 ABOUT = re.compile(r"(?:has|have|no|not|with|without|is|js|hide|show)[-_]")
-#: What stays cut even where it holds most of the words, unless it holds the article.
+#: What stays a box even where it holds most of the words, unless it holds the article.
 NEVER_MOST = NEVER - {"form", "fieldset"}
+#: Elements whose name alone says nothing of their use.
+NEUTRAL = frozenset(("html", "body", "main", "article", "div", "section", "p", "span", "ul", "ol", "li", "dl", "dt", "dd", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "center", "hr", "br", "img")) | INLINE
 
 
-def is_box(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is cut out whole."""
-    if name in NEVER or (name == "header" and not in_article):
-        return True
+def kinds(name: str, attributes: str, in_article: bool) -> list[tuple[str, int]]:
+    """(kind, times it counts as seen beside articles) of an element by its name, its classes, id and role."""
+    out = [] if name in NEUTRAL else [(name, ALWAYS * (name in NEVER or name == "header" and not in_article))]
     if not attributes or name in ("html", "body", "main", "article"):
-        return False
+        return out
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value in BOX_ROLES):
-            return True
-        if key in ("class", "id") and any(not BOX_NAMES.isdisjoint(NAME.findall(x)) for x in value.split() if not ABOUT.match(x)):
-            return True
-    return False
+        if key == "hidden" or (key == "aria-hidden" and value == "true"):
+            out.append(("hidden", ALWAYS))
+        elif key == "role":
+            out.append((f"role={value}", PRIOR * (value in BOX_ROLES)))
+        elif key in ("class", "id"):
+            out += [(f".{x}", PRIOR * (not BOX_NAMES.isdisjoint(NAME.findall(x)))) for x in value.split() if not ABOUT.match(x)]
+    return out
+
+
+class Weights:
+    """Log odds of kinds and costs of tags, from counts inside of and beside labelled articles."""
+
+    def __init__(self, of_kinds: dict[str, tuple[int, int]], of_tags: dict[str, tuple[int, int]]):
+        self.of_kinds = of_kinds
+        self.cost = {t: float(np.clip(WORDS_A_UNIT * self.odds(*n), LEAST_TAG, MOST_TAG)) for t, n in of_tags.items()}
+
+    @staticmethod
+    def odds(inside: int, beside: int) -> float:
+        return math.log((beside + 0.5) / (inside + 0.5))
+
+    def is_box(self, found: list[tuple[str, int]]) -> bool:
+        for kind, known in found:
+            inside, beside = self.of_kinds.get(kind, (0, 0))
+            if self.odds(inside, beside + known) > BOX_ODDS:
+                return True
+        return False
 
 
 def walk(page: str) -> tuple[list[tuple[str, str, bool, str]], str]:
@@ -103,18 +134,23 @@ class Holds:
         return not self.any_article and name not in NEVER_MOST and 2 * (self.upto[end] - self.upto[i]) > self.upto[-1]
 
 
-def tokens(page: str) -> list[tuple[str, str]]:
-    """(tag, text) in page order: a tag name with its slash and no text, or no tag and a stretch of text.
+def tokens(page: str, weights: Weights) -> list[tuple[str, str, float]]:
+    """(tag, text, score) in page order: a tag with its slash and no text, or no tag and a stretch of text.
 
-    What is cut out leaves nothing. Text is still with its character references.
+    A box is one token without text: its words' score, less what its tag costs. Text still has its character references.
     """
-    out: list[tuple[str, str]] = []
+    out: list[tuple[str, str, float]] = []
     tags, rest = walk(page)
     article, waiting, depth = 0, "", 0
     holds, last_close = None, {name: i for i, (_, name, closing, _) in enumerate(tags) if closing}
+
+    def words(text: str) -> None:
+        plain = html.unescape(text)
+        out.append(("", plain, WORD_SCORE * len(plain.split())))
+
     for i, (text, name, closing, attributes) in enumerate(tags):
         if text and not waiting:
-            out.append(("", text))
+            words(text)
         if waiting:
             if name == waiting and name not in VOID:
                 depth += -1 if closing else 1
@@ -123,22 +159,43 @@ def tokens(page: str) -> list[tuple[str, str]]:
             continue
         if name == "article":
             article = max(0, article + (-1 if closing else 1))
-        if not closing and name not in VOID and not attributes.rstrip().endswith("/") and is_box(name, attributes, article > 0):
+        if not closing and name not in VOID and not attributes.rstrip().endswith("/") and weights.is_box(kinds(name, attributes, article > 0)):
             holds = holds or Holds(tags, rest)
             # An element that is never closed is no box: it would hide the rest of the page.
             if last_close.get(name, -1) > i and not holds(i, name):
                 waiting, depth = name, 1
-                out.append(("/" + name if name not in INLINE else "", ""))
+                out.append(("/" + name if name not in INLINE else "", "", -BOX_COST))
                 continue
-        out.append((("/" if closing else "") + name, ""))
+        tag = ("/" if closing else "") + name
+        out.append((tag, "", -weights.cost.get(tag, DEFAULT_TAG)))
     if rest and not waiting:
-        out.append(("", rest))
+        words(rest)
     return out
 
 
-def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
-    """Cost of each tag from its counts inside and outside of labelled articles: log odds of standing outside."""
-    return {t: float(np.clip(math.log((outside + 0.5) / (inside + 0.5)), LEAST_TAG, MOST_TAG)) for t, (inside, outside) in counts.items()}
+def counted(page: str) -> Iterator[tuple[str, str, bool]]:
+    """('kind' or 'tag', name, inside) of what a page that marks its article has inside of it and beside it.
+
+    Beside are the outermost elements that don't hold the article; what is in them counts with them.
+    """
+    tags, rest = walk(page)
+    holds = Holds(tags, rest)
+    a = holds.article
+    if not holds.any_article or holds.end[a] == len(tags):
+        return
+    inner, upto = range(a + 1, int(holds.end[a])), 0
+    for i, (_, name, closing, attributes) in enumerate(tags):
+        if i in inner:
+            if not closing:
+                yield from (("kind", k, True) for k, _ in kinds(name, attributes, True))
+            yield "tag", ("/" if closing else "") + name, True
+        elif i >= upto:
+            closed = not closing and holds.end[i] < len(tags)
+            if closed and not i <= a <= holds.end[i]:
+                upto = int(holds.end[i]) + 1
+                yield from (("kind", k, False) for k, _ in kinds(name, attributes, False))
+            else:
+                yield "tag", ("/" if closing else "") + name, False
 
 
 def best_stretch(scores: np.ndarray) -> tuple[int, int]:
@@ -156,14 +213,12 @@ def best_stretch(scores: np.ndarray) -> tuple[int, int]:
     return start, end + 1
 
 
-def main_text(page: str, cost: dict[str, float]) -> str:
+def main_text(page: str, weights: Weights) -> str:
     """Blocks of the best stretch, white space folded, joined by line feeds."""
-    row = tokens(page)
-    texts = [html.unescape(t) if t else "" for _, t in row]
-    scores = np.array([WORD_SCORE * len(t.split()) if not tag else -cost.get(tag, DEFAULT_TAG) for (tag, _), t in zip(row, texts, strict=True)])
-    start, end = best_stretch(scores)
+    row = tokens(page, weights)
+    start, end = best_stretch(np.array([score for _, _, score in row]))
     blocks, block = [], []
-    for (tag, _), text in zip(row[start:end], texts[start:end], strict=True):
+    for tag, text, _ in row[start:end]:
         if not tag:
             block.append(text)
         elif tag == "br":
@@ -176,37 +231,32 @@ def main_text(page: str, cost: dict[str, float]) -> str:
     return "\n".join(b for b in folded if b)
 
 
-def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", seed: int = 42) -> dict[str, float]:
-    """Tag costs from a bounded sample of pages that mark their article; words outside are what the tags there cost."""
+def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", seed: int = 42) -> Weights:
+    """Weights from a bounded sample of pages that mark their article."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, list[int]] = {}
+        total: dict[tuple[str, str], list[int]] = {}
         for batch in doc_slices(batches, "html"):
             for page in batch.column("html").to_pylist():
-                row = tokens(page)
-                open_at = next((i for i, t in enumerate(row) if t[0] == "article"), None)
-                close_at = max((i for i, t in enumerate(row) if t[0] == "/article"), default=None)
-                if open_at is None or close_at is None or close_at < open_at:
-                    continue
-                for i, (tag, _) in enumerate(row):
-                    if tag:
-                        total.setdefault(tag, [0, 0])[0 if open_at < i < close_at else 1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1] for v in total.values()], pa.int64())], names=["tag", "inside", "outside"])
+                for what, name, inside in counted(page):
+                    total.setdefault((what, name), [0, 0])[0 if inside else 1] += 1
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in total], pa.string()) for i in range(2)), *(pa.array([v[i] for v in total.values()], pa.int64()) for i in range(2))], names=["what", "name", "inside", "beside"])
 
     picked = pages.select(F.col(html_col).alias("html"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("o")).where(F.col("html").rlike("(?i)<article[\\s>]"))
     keys = picked.select("o").orderBy("o").limit(SAMPLE_PAGES)  # SAMPLE_PAGES rows at most
     sample = picked.join(F.broadcast(keys.distinct()), "o", "left_semi").select("html")
-    rows = sample.mapInArrow(run, "tag string, inside long, outside long").groupBy("tag").agg(F.sum("inside"), F.sum("outside")).orderBy(F.sum("inside").desc(), "tag").limit(5000).collect()
-    return weigh({r[0]: (int(r[1]), int(r[2])) for r in rows})
+    rows = sample.mapInArrow(run, "what string, name string, inside long, beside long").groupBy("what", "name").agg(F.sum("inside"), F.sum("beside")).collect()  # names of the sample's tags
+    of = {what: {r[1]: (int(r[2]), int(r[3])) for r in rows if r[0] == what} for what in ("kind", "tag")}
+    return Weights(of["kind"], of["tag"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
     """page_id, url, text, n_chars for every row."""
-    cost = learn(pages, id_col, html_col)
+    weights = learn(pages, id_col, html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in doc_slices(batches, "html"):
-            texts = [main_text(p, cost) for p in batch.column("html").to_pylist()]
+            texts = [main_text(p, weights) for p in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     picked = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
