@@ -28,12 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from passagebase.llm.common import as_bytes, doc_slices, maybe_broadcast, stash
+from passagebase.llm.common import as_bytes, doc_slices, maybe_broadcast, release, stash
 
 TOKENS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("block_base", pa.int64()), ("crcs", pa.list_(pa.int64())), ("tail", pa.int32()), ("tail_crc", pa.int64()), ("ids", pa.binary())])
 TOKENS_DDL = "uid long, doc_id long, n long, block_base long, crcs array<long>, tail int, tail_crc long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Words remembered by a worker process at most; beyond, those of up to SHORT bytes stay, which are the frequent ones.
+#: Words remembered by a task at most; beyond, those of up to SHORT bytes stay, which are the frequent ones.
 CACHE_WORDS, SHORT = 250_000, 8
 #: Bytes of text that are tokenised at a time.
 SLICE_BYTES = 1 << 20
@@ -151,7 +151,7 @@ class WordEncoder:
 
 
 def shared_encoder(path: str) -> WordEncoder:
-    """One encoder a worker process: tasks that follow each other in it find the words known."""
+    """One encoder a worker process: the tokenizer file is read once; the words known are forgotten after each task."""
     import sys
 
     kept = sys.__dict__.setdefault("_word_encoders", {})
@@ -184,6 +184,8 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
                 row, block = row + 1, block + len(crcs)
             out["doc_id"] = batch.column("doc_id")
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if f.name != "doc_id" else out["doc_id"] for f in TOKENS], schema=TOKENS)
+        encoder.known = {}
+        release()
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return picked.mapInArrow(run, TOKENS_DDL)
