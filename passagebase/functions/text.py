@@ -139,12 +139,11 @@ def sentence_around(text: Column, start: Column, length: Column) -> Column:
     """The sentence around characters [start, start + length); null unless it has 4 to 60 words."""
     before = F.substring(text, F.lit(1), start)
     after = text.substr(start + length + 1, F.length(text))
-    # The last sentence end that is followed by white space (or the end) within what stands before the span.
-    head = F.regexp_extract(F.concat(before, text.substr(start + 1, F.lit(1))), r"(?s)^(.*[.!?](?=\s))", 1)
-    head = F.when(F.length(head) > start, F.substring(head, F.lit(1), start)).otherwise(head)
-    tail = F.regexp_extract(after, r"(?s)^(.*?[.!?])(?=\s|$)", 1)
+    # A mark ends a sentence before white space, and right before the span.
+    head = F.regexp_extract(before, r"(?s)^(.*[.!?](?=\s|\z))", 1)
+    tail = F.regexp_extract(after, r"(?s)^(.*?[.!?])(?=\s|\z)", 1)
     end = F.when(tail == "", after).otherwise(tail)
-    s = F.trim(F.concat(text.substr(F.length(head) + 1, start - F.length(head)), text.substr(start + 1, length), end))
+    s = strip(F.concat(text.substr(F.length(head) + 1, start - F.length(head)), text.substr(start + 1, length), end))
     return F.when(F.size(words(s)).between(4, 60), s)
 
 

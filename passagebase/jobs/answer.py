@@ -70,7 +70,12 @@ def a5_prompts(spark, d):
     return a.select("question_id", A.prompt(chunks, F.col("question")).alias("prompt"))
 
 
-@query()
+# The stub takes what follows the first mark up to the first full stop before a blank, and names the first source.
+_TOLD = f"""{_PROMPT.replace("SELECT item_id AS question_id, 'PASSAGES:'", ", pr AS (SELECT item_id AS question_id, 'PASSAGES:'", 1)} WHERE body IS NOT NULL),
+to_ AS (SELECT pr.question_id, split_part(substr(prompt, strpos(prompt, ']' || chr(10)) + 2), '. ', 1) || '.' AS told, chunk_id::VARCHAR AS source FROM pr JOIN rt ON rt.question_id = pr.question_id AND rank = 1)"""
+
+
+@query(f"WITH {_TOLD} SELECT question_id, told || chr(10) || chr(10) || 'Sources:' || chr(10) || source AS response FROM to_")
 def a6_generate(spark, d):
     from passagebase.operators.models import generate
 
@@ -138,7 +143,13 @@ def a13_tiers(spark, d):
     return confidences(spark, d).select("question_id", T.tier(F.col("confidence")).alias("tier"))
 
 
-@query()
+_ANSWERS = rf"""{_TOLD}, cf AS (SELECT question_id, list(embed_score ORDER BY rank) AS a FROM rt GROUP BY ALL)
+SELECT item_id AS question_id, coalesce(regexp_replace(told, '^\s+|\s+$', '', 'g'), '{A.REFUSAL.replace("'", "''")}') AS answer, CASE WHEN told IS NULL THEN [] ELSE [source] END AS sources_cited,
+round(coalesce(least(CASE WHEN len(a) = 1 THEN a[1] ELSE 0.5 * a[1] + 0.5 / (len(a) - 1) * list_sum(a[2:]) END, 1), 0), 4) AS confidence, CASE WHEN told IS NULL THEN '{A.NO_CHUNKS.replace("'", "''")}' END AS warning
+FROM benchmark LEFT JOIN to_ ON to_.question_id = item_id LEFT JOIN cf ON cf.question_id = item_id"""
+
+
+@query(f"WITH {_ANSWERS}")
 def a14_answers(spark, d):
     return A.answer_questions(asked(spark, d), use_gate=False)
 
@@ -207,12 +218,14 @@ def v2_refusals(spark, d):
 
 @query(f"WITH {_GOLD}, x AS (SELECT conv_id, turn, {_toks('question')} AS g, {_toks('answer')} AS p FROM a) SELECT conv_id, turn, round({_RECALL}, 6) AS recall FROM x")
 def v3_token_recall(spark, d):
-    return gold(spark, d).select("conv_id", "turn", F.round(S.recall(S.gold_tokens(F.col("question")), S.gold_tokens(F.col("answer"))), 6).alias("recall"))
+    t = gold(spark, d).select("conv_id", "turn", S.gold_tokens(S.nfkc(F.col("question"))).alias("g"), S.gold_tokens(S.nfkc(F.col("answer"))).alias("p"))
+    return t.select("conv_id", "turn", F.round(S.recall(F.col("g"), F.col("p")), 6).alias("recall"))
 
 
 @query(f"WITH {_GOLD} SELECT conv_id, turn, hit FROM hit JOIN a USING (conv_id, turn) WHERE kind = 1")
 def v4_group_matched(spark, d):
-    return gold(spark, d).where("type = 'one'").select("conv_id", "turn", S.group_matched(F.col("answers"), S.gold_tokens(F.col("answer"))).alias("hit"))
+    g = gold(spark, d).where("type = 'one'").select("conv_id", "turn", S.nfkc(F.col("answers"), "array<string>").alias("answers"), S.gold_tokens(S.nfkc(F.col("answer"))).alias("p"))
+    return g.select("conv_id", "turn", S.group_matched(F.col("answers"), F.col("p")).alias("hit"))
 
 
 def scored(spark, d):
@@ -250,7 +263,7 @@ def v6_evidence_rank(spark, d):
 def v7_evidence_in_text(spark, d):
     q = questions(spark, d).select("question_id", "scope", S.bounded(F.col("question")).alias("needle"))
     t = files(spark, d).select("scope", S.bounded(F.col("text")).alias("hay"))
-    return t.join(F.broadcast(q), "scope").groupBy(F.col("question_id").alias("item_id")).agg(F.count_if(F.contains("hay", "needle")).alias("held_by"))
+    return t.join(q, "scope").groupBy(F.col("question_id").alias("item_id")).agg(F.count_if(F.contains("hay", "needle")).alias("held_by"))
 
 
 @query(f"""WITH g AS (SELECT conv_id AS id, conv_id AS doc_id, text FROM conversations WHERE role = 'user'),
@@ -295,7 +308,7 @@ def v13_rescore(spark, d):
     return s.groupBy("run").agg(F.count_if(F.col("old") != F.col("correct")).alias("flipped"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_FUSED}, o AS (SELECT unnest([5, 10, 60]) AS rrf_k), x AS (SELECT rrf_k, question_id, chunk_id, row_number() OVER (PARTITION BY rrf_k, question_id ORDER BY round(1.0::DOUBLE / (rrf_k + embed_rank) + coalesce(1.0::DOUBLE / (rrf_k + bm25_rank), 0), 6) DESC, chunk_id) AS rank FROM fu, o) SELECT rrf_k, question_id, chunk_id, rank FROM x WHERE rank <= 5")
+@query(f"WITH {_FUSED}, o AS (SELECT * FROM (VALUES (5), (10), (60)) AS v(rrf_k)), x AS (SELECT rrf_k, question_id, chunk_id, row_number() OVER (PARTITION BY rrf_k, question_id ORDER BY round(1.0::DOUBLE / (rrf_k + embed_rank) + coalesce(1.0::DOUBLE / (rrf_k + bm25_rank), 0), 6) DESC, chunk_id) AS rank FROM fu CROSS JOIN o) SELECT rrf_k, question_id, chunk_id, rank FROM x WHERE rank <= 5")
 def v14_ablation(spark, d):
     """Retrieval under several fusion constants; the option table joins after ranking."""
     from pyspark.sql import Window as W

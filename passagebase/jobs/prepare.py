@@ -10,9 +10,9 @@ from passagebase.jobs.base import files, query, read
 from passagebase.operators import chunking as C
 
 _WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')"
-_UNITS = r"""u AS (SELECT source AS scope, doc_id::VARCHAR AS source_file, pos - 1 AS pos, trim(line) AS unit FROM
+_UNITS = r"""u AS (SELECT source AS scope, doc_id::VARCHAR AS source_file, pos - 1 AS pos, regexp_replace(line, '^\s+|\s+$', '', 'g') AS unit FROM
   (SELECT source, doc_id, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS pos FROM documents)
-  WHERE trim(line) <> '' AND NOT regexp_matches(line, '^\s*\d{1,4}\s*$'))"""
+  WHERE regexp_replace(line, '^\s+|\s+$', '', 'g') <> '' AND NOT regexp_matches(line, '^\s*\d{1,4}\s*$'))"""
 
 
 @query(f"WITH {_UNITS} SELECT scope, source_file, pos, unit FROM u")
@@ -55,14 +55,14 @@ def p7_sections(spark, d):
     return C.with_sections(u, ["scope", "source_file"], ["pos"]).select("scope", "source_file", "pos", "section")
 
 
-@query("SELECT source AS scope, count(*) AS documents, count_if(trim(text) <> '') AS with_text FROM documents GROUP BY source")
+@query(r"SELECT source AS scope, count(*) AS documents, count_if(regexp_replace(text, '^\s+|\s+$', '', 'g') <> '') AS with_text FROM documents GROUP BY source")
 def p8_documents_without_text(spark, d):
-    return files(spark, d).groupBy("scope").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.trim("text") != "").alias("with_text"))
+    return files(spark, d).groupBy("scope").agg(F.count(F.lit(1)).alias("documents"), F.count_if(T.strip(F.col("text")) != "").alias("with_text"))
 
 
-@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
+@query(r"SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> '' GROUP BY conv_id")
 def p9_pages_to_text(spark, d):
-    c = read(spark, d, "conversations").where(F.trim("text") != "")
+    c = read(spark, d, "conversations").where(T.strip(F.col("text")) != "")
     ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
     return c.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
 
@@ -121,7 +121,11 @@ def c8_passages(spark, d):
     return C.passages(files(spark, d), "doc_id")
 
 
-@query()
+@query(r"""WITH s AS (SELECT doc_id, text, len(text) // 2 AS mid FROM documents),
+p AS (SELECT *, regexp_extract(substr(text, 1, mid), '(?s)^(.*[.!?])(?:\s|$)', 1) AS head, substr(text, mid + 6) AS rest FROM s),
+e AS (SELECT *, regexp_extract(rest, '(?s)^(.*?[.!?])(?:\s|$)', 1) AS tail FROM p),
+w AS (SELECT doc_id, regexp_replace(substr(text, len(head) + 1, mid - len(head)) || substr(text, mid + 1, 5) || CASE WHEN tail = '' THEN rest ELSE tail END, '^\s+|\s+$', '', 'g') AS sentence FROM e)
+SELECT doc_id, CASE WHEN len(list_filter(string_split_regex(sentence, '\s+'), lambda x: x <> '')) BETWEEN 4 AND 60 THEN sentence END AS sentence FROM w""")
 def c9_sentence_around(spark, d):
     """The sentence around the middle word of each document."""
     start = F.floor(F.length("text") / 2).cast("int")

@@ -161,7 +161,12 @@ def f3_retrieve_reranked(spark, d):
     return reranked(spark, d).select("question_id", "chunk_id", "rank")
 
 
-@query()
+_SPLIT = r"list_filter(string_split_regex(lower({}), '\s+'), lambda x: x <> '')"
+
+
+@query(f"""WITH {_FUSED}, w AS (SELECT rk.question_id, rk.chunk_id, list_distinct({_SPLIT.format("b.text")}) AS q, {_SPLIT.format("doc.text")} AS p
+FROM rk JOIN benchmark b ON b.item_id = rk.question_id JOIN documents doc ON doc.doc_id = rk.chunk_id WHERE rank <= 30)
+SELECT question_id, chunk_id, round(len(list_intersect(q, p)) / greatest(1, len(q))::DOUBLE, 4) AS rerank_score FROM w""")
 def r1_rerank_scores(spark, d):
     """Pair scores by the default scorer hook over the pool."""
     from passagebase.operators.models import score_pairs

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from passagebase.jobs.answer import _ANSWERS
 from passagebase.jobs.base import answers, files, query, questions, read
 from passagebase.jobs.rank import _bm25, _STATS, chunks
 from passagebase.operators import answering as A
@@ -27,10 +28,11 @@ def scratch(spark) -> str:
 
 
 def text_folder(spark, d) -> str:
-    """Conversations as text files, a file a conversation's partition, written by Spark from the given table."""
-    path = scratch(spark)
-    c = read(spark, d, "conversations").select((F.col("conv_id") % 8).alias("part"), F.regexp_replace("text", r"\R", " ").alias("text"))
-    c.repartition(8, "part").write.partitionBy("part").text(path)
+    """Conversations as text files of about a thousand turns, written by Spark from the given table."""
+    path, turns = scratch(spark), read(spark, d, "conversations")
+    parts = max(8, turns.count() // 1000)
+    c = turns.select(F.pmod("conv_id", F.lit(parts)).alias("part"), F.regexp_replace("text", r"\R", " ").alias("text"))
+    c.repartition(parts, "part").write.partitionBy("part").text(path)
     return f"{path}/*"
 
 
@@ -105,8 +107,7 @@ def s10_read_runs(spark, d):
     path = scratch(spark)
     row = F.struct(F.col("conv_id").cast("string").alias("id"), F.col("answer").alias("answer"), F.lit(True).alias("answerable"))
     answers(spark, d).select(F.lit("p").alias("pipeline"), F.array(row).alias("rows")).write.json(path)
-    runs = spark.read.schema(I.RUN).json(path)
-    return runs.select(F.explode("rows").alias("r")).select("r.id", "r.answer")
+    return I.saved_rows(spark, path, array=False).select("id", "answer")
 
 
 @query("SELECT source AS title, text AS context, doc_id::VARCHAR AS question FROM documents")
@@ -154,7 +155,7 @@ def o3_unknown_sessions(spark, d):
     return O.unknown(q, read(spark, d, "labels").select(F.col("doc_id").alias("session_id"))).select(F.col("session_id").alias("conv_id"), "turn")
 
 
-@query()
+@query(f"WITH {_ANSWERS}")
 def o4_batch_chat(spark, d):
     from passagebase.jobs.answer import asked
 

@@ -51,7 +51,12 @@ def d3_titles_with_several(spark, d):
     return contexts(spark, d).groupBy("title").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
 
 
-@query()
+_HARD = f"""{_OTHERS}, hd AS (SELECT question_id, context_id, rank, row_number() OVER (PARTITION BY question_id ORDER BY md5('42|' || question_id || '|' || context_id)) AS pick FROM orank WHERE rank <= 6),
+pa AS (SELECT own.question_id, question AS query, text AS passage, answerable::INT::DOUBLE AS label FROM own JOIN ctx ON doc_id = own
+  UNION ALL SELECT own.question_id, question, text, 0.0 FROM own JOIN hd USING (question_id) JOIN ctx ON doc_id = context_id WHERE pick <= CASE WHEN answerable THEN 3 ELSE 2 END)"""
+
+
+@query(f"WITH {_HARD} SELECT question_id, context_id, rank, pick FROM hd WHERE pick <= 3")
 def d4_hard_negatives(spark, d):
     return D.hard_negatives(others(spark, d)).select("question_id", "context_id", "rank", "pick")
 
@@ -60,15 +65,15 @@ def pair_rows(spark, d):
     return D.pairs(asks(spark, d), contexts(spark, d), D.hard_negatives(others(spark, d)))
 
 
-@query()
+@query(f"WITH {_HARD} SELECT question_id, query, passage, label FROM pa")
 def d5_pairs(spark, d):
     return pair_rows(spark, d)
 
 
-@query()
+@query(f"WITH {_OTHERS} SELECT question_id, question FROM own WHERE title IN (SELECT source FROM ctx GROUP BY source HAVING count(*) > 1) ORDER BY md5('42|' || question_id) LIMIT 25")
 def d6_question_cap(spark, d):
     """A seeded cap: the operator's own limit."""
-    return asks(spark, d).orderBy(D.shuffled(42, "question_id"), "question_id").limit(25).select("question_id", "question")
+    return D.capped(asks(spark, d), contexts(spark, d), 25).select("question_id", "question")
 
 
 @query(f"WITH {_OTHERS}, n AS (SELECT question_id, list(text ORDER BY rank) AS negative FROM orank JOIN ctx ON doc_id = context_id WHERE rank <= 29 GROUP BY question_id) SELECT own.question_id, question AS query, [text] AS positive, negative FROM own JOIN n USING (question_id) JOIN ctx ON doc_id = own WHERE answerable")
@@ -81,10 +86,10 @@ def d8_label_counts(spark, d):
     return pair_rows(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"WITH {_HARD} SELECT *, md5('42|' || query || '|' || passage) AS position FROM pa")
 def d9_shuffled(spark, d):
     """Training rows in seeded order, written in that order by range partitioning."""
-    return pair_rows(spark, d).withColumn("position", D.shuffled(42, "query", "passage")).orderBy("position")
+    return pair_rows(spark, d).withColumn("position", D.seeded(42, "query", "passage")).orderBy("position")
 
 
 @query(f"""WITH {_OTHERS}, s AS (SELECT own.question_id, own AS context_id, (own * 7 + own.question_id) % 101 AS s, 1 AS pos FROM own WHERE answerable UNION ALL SELECT o.question_id, context_id, (context_id * 7 + o.question_id) % 101, 0 FROM orank o JOIN own USING (question_id) WHERE rank <= 29 AND answerable),
@@ -157,7 +162,7 @@ def d15_hotpot_examples(spark, d):
     fact = F.struct("source_file", F.lit(None).cast("int").alias("page"), F.array_join("s", " ").alias("text"), F.try_element_at("s", F.lit(2)).alias("fact"), "doc_id")
     q = questions(spark, d).select("question_id", "question")
     facts = q.join(docs, F.col("question_id") == F.col("doc_id")).select("question_id", "question", F.array(fact).alias("facts"))
-    wrong = D.distractors(q, "question_id", docs.select("doc_id", "source_file", F.array_join("s", " ").alias("text")), "doc_id", 3).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("i", "source_file", F.lit(None).cast("int").alias("page"), "text", "doc_id"))).alias("wrong"))
+    wrong = D.distractors(q, "question_id", docs.select("doc_id", "source_file", F.array_join("s", " ").alias("text")), "doc_id", 3).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("pick", "source_file", F.lit(None).cast("int").alias("page"), "text", "doc_id"))).alias("wrong"))
     e = facts.join(wrong, "question_id")
     shown = F.transform("wrong", lambda x: F.struct(x["source_file"], x["page"], x["text"]))
     full = F.concat(F.transform("facts", lambda x: F.struct(x["source_file"], x["page"], x["text"])), shown)
@@ -175,7 +180,7 @@ def d16_dolly_examples(spark, d):
     say = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
     rows = ask.join(say, ["conv_id", "turn"]).withColumn("kind", F.element_at(F.array(F.lit("dolly_grounded"), F.lit("dolly_summary"), F.lit("dolly_mismatch")), (F.col("conv_id") % 3 + 1).cast("int")))
     parts = C.passages(files(spark, d), "doc_id").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("own"))
-    wrong = D.distractors(rows.select("conv_id").distinct(), "conv_id", files(spark, d).select("doc_id", "text"), "doc_id", 3).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("wrong"))
+    wrong = D.distractors(rows.select("conv_id").distinct(), "conv_id", files(spark, d).select("doc_id", "text"), "doc_id", 3).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pick", "text"))).alias("wrong"))
     e = rows.join(parts, rows.conv_id == parts.key).join(wrong, "conv_id")
     name = F.concat(F.col("conv_id").cast("string"), F.lit(".pdf"))
     block = lambda x: F.struct(name.alias("source_file"), F.lit(None).cast("int").alias("page"), x["text"].alias("text"))

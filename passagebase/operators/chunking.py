@@ -29,7 +29,7 @@ def chunk_id():
 
 def units(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """Non-blank lines in order, without page-number lines, each with a heading flag."""
-    out = docs.select(*key, F.posexplode(T.lines(F.col(text))).alias("pos", "line")).select(*key, "pos", F.trim("line").alias("unit"))
+    out = docs.select(*key, F.posexplode(T.lines(F.col(text))).alias("pos", "line")).select(*key, "pos", T.strip(F.col("line")).alias("unit"))
     return out.where((F.col("unit") != "") & ~T.is_page_number(F.col("unit"))).withColumn("heading", T.is_heading(F.col("unit")))
 
 
@@ -43,77 +43,79 @@ def default_tokens(s: str) -> int:
     return int(len(s.split()) * 1.4) + 1
 
 
+def word_runs(sentence: str, count: Callable[[str], int], limit: int) -> list[str]:
+    """Words of an over-long sentence in runs within the limit; a word beyond it stands alone."""
+    out: list[str] = []
+    for word in sentence.split():
+        longer = f"{out[-1]} {word}" if out else word
+        if out and count(longer) <= limit:
+            out[-1] = longer
+        else:
+            out.append(word)
+    return out
+
+
 def split_long(text: str, count: Callable[[str], int], limit: int) -> list[str]:
-    """Pieces within the limit: whole sentences while they fit, single words where a sentence doesn't."""
+    """Pieces within the limit: sentences, or the runs of words of over-long ones, joined while they fit."""
     out: list[str] = []
-    held = ""
     for sentence in re.split(T.SENTENCE_GAP, text):
-        if held and count(f"{held} {sentence}") <= limit:
-            held = f"{held} {sentence}"
-            continue
-        if held:
-            out.append(held)
-        held = ""
-        if count(sentence) <= limit:
-            held = sentence
-            continue
-        for word in sentence.split():
-            longer = f"{held} {word}" if held else word
-            if held and count(longer) > limit:
-                out.append(held)
-                held = word
+        for part in [sentence] if count(sentence) <= limit else word_runs(sentence, count, limit):
+            joined = f"{out[-1]} {part}".strip() if out else part
+            if out and count(joined) <= limit:
+                out[-1] = joined
             else:
-                held = longer
-    return [*out, held] if held else out
+                out.append(part)
+    return [x for x in out if x]
 
 
-def pack_units(rows: list[tuple[int | None, str, bool]], count: Callable[[str], int] = default_tokens, limit: int = 300, overlap: int = 50) -> list[tuple[str, list[int], str | None]]:
-    """(text, pages, section) of each chunk of one document from its (page, unit, heading) rows in order."""
-    segments: list[dict] = []
-    held: list[tuple] = []
-    total, section = 0, None
+def segments(rows: list[tuple[int | None, str, bool]], count: Callable[[str], int], limit: int) -> Iterator[dict]:
+    """Runs of units that end with a sentence, at a heading or at the limit; a heading is a run of its own."""
+    held: list[tuple[str, int | None]] = []
+    size, section, first = 0, None, None
 
-    def close() -> None:
-        nonlocal held, total
-        if held:
-            segments.append({"text": " ".join(u for u, _, _ in held), "size": total, "heading": len(held) == 1 and held[0][2], "pages": {p for _, p, _ in held if p is not None}, "section": held_section[0]})
-        held, total = [], 0
+    def run(heading: bool) -> dict:
+        return {"text": " ".join(u for u, _ in held), "size": size, "heading": heading, "pages": {p for _, p in held if p is not None}, "section": first}
 
-    held_section: list = [None]
     for page, unit, heading in rows:
-        if heading:
-            section = unit
+        section = unit if heading else section
         for piece in [unit] if count(unit) <= limit else split_long(unit, count, limit):
-            size = count(piece) + 1
-            if held and (total + size > limit or heading):
-                close()
-            if not held:
-                held_section[0] = section
-            held.append((piece, page, heading))
-            total += size
+            own = count(piece) + 1
+            if held and (heading or size + own > limit):
+                yield run(False)
+                held, size = [], 0
+            first = first if held else section
+            held.append((piece, page))
+            size += own
             if heading or re.search(T.SENTENCE_CLOSE, piece):
-                close()
-    close()
-    chunks: list[list[dict]] = []
-    now: list[dict] = []
+                yield run(heading)
+                held, size = [], 0
+    if held:
+        yield run(False)
+
+
+def carried_over(chunk: list[dict], coming: dict, limit: int, overlap: int) -> list[dict]:
+    """Last segments of a full chunk that the next one repeats: within the overlap, none before a heading or without room."""
+    if coming["heading"]:
+        return []
+    n, size = 0, 0
+    while n < len(chunk) and size + chunk[-n - 1]["size"] <= overlap:
+        size += chunk[-n - 1]["size"]
+        n += 1
+    return chunk[len(chunk) - n :] if size + coming["size"] <= limit else []
+
+
+def pack_units(rows: list[tuple[int | None, str, bool]], count: Callable[[str], int] = default_tokens, limit: int = 300, overlap: int = 50) -> list[tuple[str, list[int], str | None]]:
+    """(text, pages, section) of each chunk of one document from its (page, unit, heading) rows in order."""
+    chunks: list[list[dict]] = [[]]
     size = 0
-    for s in segments:
-        if now and (size + s["size"] > limit or (s["heading"] and size >= 0.4 * limit)):
-            chunks.append(now)
-            carried: list[dict] = []
-            room = 0
-            for back in reversed(now):
-                if s["heading"] or back["heading"] or room + back["size"] > overlap:
-                    break
-                carried.insert(0, back)
-                room += back["size"]
-            now, size = (carried, room) if room + s["size"] <= limit else ([], 0)
-        now.append(s)
+    for s in segments(rows, count, limit):
+        if chunks[-1] and (size + s["size"] > limit or (s["heading"] and size >= 0.4 * limit)):
+            chunks.append(carried_over(chunks[-1], s, limit, overlap))
+            size = sum(x["size"] for x in chunks[-1])
+        chunks[-1].append(s)
         size += s["size"]
-    if now:
-        chunks.append(now)
     out = []
-    for c in chunks:
+    for c in chunks if chunks[-1] else []:
         body, head = "\n".join(s["text"] for s in c), c[0]["section"]
         pages = sorted(set().union(*(s["pages"] for s in c)))
         out.append((f"{head}\n{body}" if head and not body.startswith(head) else body, pages, head))
@@ -139,7 +141,7 @@ def chunk_pages(docs: DataFrame, count: Callable[[str], int] = default_tokens, l
 
 def unit_arrays(docs: DataFrame, scope: str = "scope", file: str = "source_file", text: str = "text", page: int | None = None) -> DataFrame:
     """Documents with their units as an array, built in the row itself."""
-    clean = F.filter(F.transform(T.lines(F.col(text)), lambda x: F.trim(x)), lambda x: (x != "") & ~T.is_page_number(x))
+    clean = F.filter(F.transform(T.lines(F.col(text)), T.strip), lambda x: (x != "") & ~T.is_page_number(x))
     made = F.transform(clean, lambda x: F.struct(F.lit(page).cast("int").alias("page"), x.alias("unit"), T.is_heading(x).alias("heading")))
     return docs.select(F.col(scope).alias("scope"), F.col(file).cast("string").alias("source_file"), made.alias("units"))
 

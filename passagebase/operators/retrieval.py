@@ -11,15 +11,8 @@ from passagebase.functions import text as T
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 10
 
 
-def term_counts(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(scope, key, dl, term, tf): tokens are counted within their row, so no shuffle is needed."""
-    toks = chunks.select("scope", key, T.tokens(F.col(text)).alias("toks"))
-    counted = toks.select("scope", key, F.size("toks").alias("dl"), F.explode(F.array_distinct("toks")).alias("term"), "toks")
-    return counted.select("scope", key, "dl", "term", (F.size("toks") - F.size(F.array_remove("toks", F.col("term")))).alias("tf"))
-
-
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """Same rows by explode and a partial aggregation within the task; cheaper for long texts."""
+    """(scope, key, term, tf), by explode and a partial aggregation within the task."""
     toks = chunks.select("scope", key, F.explode(T.tokens(F.col(text))).alias("term"))
     return toks.groupBy("scope", key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -31,12 +24,12 @@ def scope_stats(chunks: DataFrame, text: str = "text") -> DataFrame:
 
 def term_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:
     """(scope, term, df, idf) with the floor for terms in more than half of the chunks."""
-    df = posts.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats.select("scope", "n")), "scope")
+    df = posts.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df")).join(stats.select("scope", "n"), "scope")
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     df = df.withColumn("raw", raw)
     floor = df.groupBy("scope").agg((EPSILON * F.avg("raw")).alias("floor"))
     idf = F.when(F.col("raw") >= 0, F.col("raw")).otherwise(F.col("floor"))
-    return df.join(F.broadcast(floor), "scope").select("scope", "term", "df", idf.alias("idf"))
+    return df.join(floor, "scope").select("scope", "term", "df", idf.alias("idf"))
 
 
 def question_terms(questions: DataFrame, text: str = "question") -> DataFrame:
@@ -50,15 +43,14 @@ def bm25(chunks: DataFrame, questions: DataFrame, key: str = "chunk_id", text: s
 
     Postings are narrowed to the questions' terms before weights are joined; statistics are over all postings.
     """
-    posts = postings(chunks, key, text)
-    lengths = chunks.select("scope", key, F.size(T.tokens(F.col(text))).alias("dl"))
-    stats = scope_stats(chunks, text)
-    weights = term_stats(posts, stats)
+    toks = chunks.select("scope", key, T.tokens(F.col(text)).alias("toks")).select("scope", key, F.size("toks").alias("dl"), "toks")
+    posts = toks.select("scope", key, "dl", F.explode("toks").alias("term")).groupBy("scope", key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    stats = toks.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     terms = question_terms(questions, question)
     on = ["scope", "term"] if "scope" in terms.columns else ["term"]
     wanted = terms.select(*on).distinct()
-    used = posts.join(wanted, on, "left_semi")
-    used = used.join(weights.select("scope", "term", "idf").join(wanted, on, "left_semi"), ["scope", "term"]).join(lengths, ["scope", key]).join(F.broadcast(stats.select("scope", "avgdl")), "scope")
+    weights = term_stats(posts, stats).select("scope", "term", "idf").join(wanted, on, "left_semi").join(stats.select("scope", "avgdl"), "scope")
+    used = posts.join(wanted, on, "left_semi").join(weights, ["scope", "term"])
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     weighed = used.select("scope", key, "term", part.alias("part"))
     return weighed.join(terms, on).groupBy("question_id", "scope", key).agg(F.sum(F.col("part") * F.col("times")).alias("score"))
@@ -101,13 +93,3 @@ def rerank(pool: DataFrame, score: Column, k: int) -> DataFrame:
     """Order a pool by another score, ties by pool rank, keep k; the score is rounded to 4."""
     scored = pool.withColumn("raw_score", score).withColumnRenamed("rank", "pool_rank")
     return ranked(scored, "raw_score", [F.col("pool_rank")], ["question_id"]).where(F.col("rank") <= k).withColumn("rerank_score", F.round("raw_score", 4)).drop("raw_score")
-
-
-def recall_of(gold: Column, pred: Column) -> Column:
-    """Multiset share of gold tokens found in pred tokens; 0 for no gold tokens."""
-    hit = F.aggregate(F.array_distinct(gold), F.lit(0), lambda acc, t: acc + F.least(_times(gold, t), _times(pred, t)))
-    return F.when(F.size(gold) == 0, F.lit(0.0)).otherwise(hit / F.size(gold))
-
-
-def _times(a: Column, t: Column) -> Column:
-    return F.size(F.filter(a, lambda x: x == t))

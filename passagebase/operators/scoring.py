@@ -14,17 +14,23 @@ ANSWER_RECALL, KEY_POINTS = 0.8, 0.6
 HIT_KS = (1, 3, 5, 10)
 
 
-def nfkc(c: Column) -> Column:
-    """Unicode compatibility composition, in Arrow batches."""
+def nfkc(c: Column, kind: str = "string") -> Column:
+    """Unicode compatibility composition of a text or of all texts in (nested) arrays, in Arrow batches."""
+
+    def composed(x):
+        if x is None or isinstance(x, str):
+            return x if x is None or x.isascii() else unicodedata.normalize("NFKC", x)
+        return [composed(y) for y in x]
 
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+        return s.map(composed)
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "string")(c)
+    return F.pandas_udf(run, kind)(c)
 
 
 def gold_tokens(c: Column) -> Column:
+    """Tokens of a text that is compatibility-composed (nfkc) already."""
     return F.filter(F.split(T.normalised(c), " "), lambda x: x != "")
 
 
@@ -39,7 +45,7 @@ def recall(gold: Column, pred: Column) -> Column:
 
 
 def group_matched(alternatives: Column, pred: Column) -> Column:
-    """Any alternative with enough of its tokens in the answer."""
+    """Any alternative (composed) with enough of its tokens in the answer's tokens."""
     return F.exists(alternatives, lambda a: recall(gold_tokens(a), pred) >= ANSWER_RECALL)
 
 
@@ -48,18 +54,24 @@ def score_answers(rows: DataFrame) -> DataFrame:
 
     A gold item without any kind of answer is an error.
     """
-    pred = gold_tokens(F.col("answer"))
-    groups = F.when(F.col("answers").isNotNull(), F.array("answers")).when(F.col("all_of").isNotNull(), F.col("all_of")).when(F.col("key_points").isNotNull(), F.col("key_points")).when(F.col("answerable"), F.raise_error(F.lit("a gold item has no answers")).cast("array<array<string>>"))
-    needed = F.when(F.col("answers").isNull() & F.col("all_of").isNull(), F.lit(KEY_POINTS)).otherwise(F.lit(1.0))
+    given = {"answers": "array<string>", "all_of": "array<array<string>>", "key_points": "array<array<string>>"}
+    names = rows.columns
+    rows = rows.select(*(F.struct(nfkc(F.col(c), given[c]).alias("composed"), F.col(c).alias("raw")).alias(c) if c in given else F.col(c) for c in names))
+    gold = {c: F.col(c)["composed"] for c in given}
+    pred = gold_tokens(nfkc(F.col("answer")))
+    groups = F.when(gold["answers"].isNotNull(), F.array(gold["answers"])).when(gold["all_of"].isNotNull(), gold["all_of"]).when(gold["key_points"].isNotNull(), gold["key_points"]).when(F.col("answerable"), F.raise_error(F.lit("a gold item has no answers")).cast("array<array<string>>"))
+    needed = F.when(gold["answers"].isNull() & gold["all_of"].isNull(), F.lit(KEY_POINTS)).otherwise(F.lit(1.0))
     r = rows.withColumn("pred", pred).withColumn("strict_refusal", T.is_strict_refusal(F.col("answer"))).withColumn("abstained", T.is_abstention(F.col("answer")))
     share = F.size(F.filter(groups, lambda g: group_matched(g, F.col("pred")))) / F.size(groups)
     r = r.withColumn("share", F.when(F.col("answerable"), share).otherwise(F.col("abstained").cast("double")))
     right = F.when(F.col("answerable"), ~F.col("strict_refusal") & (F.col("share") >= needed)).otherwise(F.col("abstained"))
-    return r.withColumn("correct", right).withColumn("partial", F.round("share", 4)).drop("pred", "share")
+    r = r.withColumn("correct", right).withColumn("partial", F.round("share", 4)).drop("pred", "share")
+    return r.withColumns({c: F.col(c)["raw"] for c in given})
 
 
 def bounded(c: Column) -> Column:
-    return F.concat(F.lit(" "), T.normalised(c), F.lit(" "))
+    """Normalised text between blanks, so that only whole tokens match."""
+    return F.concat(F.lit(" "), T.normalised(nfkc(c)), F.lit(" "))
 
 
 def evidence_ranks(evidence: DataFrame, retrieved: DataFrame) -> DataFrame:

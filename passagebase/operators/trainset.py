@@ -23,6 +23,11 @@ def shuffled(seed: int, *keys: str) -> Column:
     return F.xxhash64(F.lit(seed), *keys)
 
 
+def seeded(seed: int, *keys: str) -> Column:
+    """An order that any engine can repeat: MD5 of the seed and the keys as text."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
+
+
 def contexts(rows: DataFrame) -> DataFrame:
     """(title, context_id, context): distinct contexts of each title; context_id is the first position."""
     return rows.groupBy("title", "context").agg(F.min("pos").alias("context_id"))
@@ -44,10 +49,16 @@ def ranked_others(ctx: DataFrame, questions: DataFrame) -> DataFrame:
 
 def hard_negatives(ranks: DataFrame, seed: int = 42, k: int = HARD, top: int = FROM_TOP) -> DataFrame:
     """Up to k of each question's `top` best other contexts."""
-    w = W.partitionBy("question_id").orderBy(shuffled(seed, "question_id", "context_id"))
+    w = W.partitionBy("question_id").orderBy(seeded(seed, "question_id", "context_id"))
     return ranks.where(F.col("rank") <= top).withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= k)
 
 
+def capped(questions: DataFrame, ctx: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """n questions in seeded order, of titles with more than one context."""
+    many = ctx.groupBy("title").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("title")
+    return questions.join(many, "title", "left_semi").orderBy(seeded(seed, "question_id"), "question_id").limit(n)
+
+
 def pairs(questions: DataFrame, ctx: DataFrame, hard: DataFrame) -> DataFrame:
     """(query, passage, label): own context positive for answerable questions, negative for others, then hard negatives."""
     text = ctx.select("context_id", F.col("context").alias("passage"))
@@ -91,12 +102,21 @@ def quota(rows: DataFrame, limits: dict[str, int], seed: int, *keys: str) -> Dat
 
 
 def distractors(rows: DataFrame, key: str, others: DataFrame, other_key: str, k: int, seed: int = 42) -> DataFrame:
-    """k other rows for each row: a dense seeded order of the others, joined by its index; never a cross join."""
+    """(key, pick, columns of others): k different others for each key, never the one of the same key; pick counts from 1.
+
+    The others stand in a circle in seeded order; each key starts at a place of its own and takes those that follow. Where
+    there are fewer others, all are taken. Places are joined by number: never a cross join.
+    """
     n = others.count()
-    # A dense index in two steps: rank within hash buckets, plus the rows of the buckets before.
-    b = others.withColumn("o", shuffled(seed, other_key)).withColumn("b", F.pmod("o", F.lit(256)))
-    base = b.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
-    base = base.withColumn("base", F.coalesce(F.sum("c").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("b", "base")  # 256 rows
-    dense = b.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy("o", other_key)) - 1).join(F.broadcast(base), "b").withColumn("index", F.col("r") + F.col("base")).drop("o", "b", "r", "base")
-    want = rows.select(key, F.explode(F.sequence(F.lit(1), F.lit(k))).alias("i")).withColumn("index", F.pmod(F.xxhash64(F.lit(seed), key, "i"), F.lit(max(n, 1))))
-    return want.join(dense, "index").drop("index")
+    # Places in two steps: rank within hash buckets, plus the rows of the buckets before.
+    placed = others.withColumn("__order", shuffled(seed, other_key)).withColumn("__bucket", F.pmod("__order", F.lit(256)))
+    sizes = placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__size"))
+    before = F.coalesce(F.sum("__size").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__bucket", before.alias("__before"))  # 256 rows
+    within = F.row_number().over(W.partitionBy("__bucket").orderBy("__order", other_key)) - 1
+    placed = placed.withColumn("__place", within).join(F.broadcast(sizes), "__bucket").withColumn("__place", F.col("__place") + F.col("__before")).drop("__order", "__bucket", "__before")
+    steps = F.explode(F.sequence(F.lit(0), F.lit(min(k, max(n - 1, 0))))).alias("__step")
+    wanted = rows.select(F.col(key).alias("__key")).distinct().select("__key", steps).withColumn("__place", F.pmod(F.xxhash64(F.lit(seed), "__key") + F.col("__step"), F.lit(max(n, 1))))
+    met = wanted.join(placed, "__place").where(~F.col(other_key).eqNullSafe(F.col("__key")))
+    picked = met.withColumn("__pick", F.row_number().over(W.partitionBy("__key").orderBy("__step"))).where(F.col("__pick") <= k)
+    return picked.select(F.col("__key").alias(key), F.col("__pick").alias("pick"), *others.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagebase.functions import text as T
 from passagebase.operators import retrieval as R
 
 CHUNKS = "scope string, source_file string, chunk_index int, chunk_id string, text string, page int, pages array<int>, section string"
@@ -37,9 +38,9 @@ def read_json(spark: SparkSession, path, schema: str, array: bool = True) -> Dat
     return spark.read.schema(schema).json(path, multiLine=array)
 
 
-def saved_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Rows of saved runs, one a question; retrieval-only runs are left out."""
-    runs = read_json(spark, paths, RUN).where(~F.coalesce("retrieval_only", F.lit(False)))
+def saved_rows(spark: SparkSession, paths, array: bool = True) -> DataFrame:
+    """Rows of saved runs, one a question; retrieval-only runs are left out. A run is a file, or (no array) a line."""
+    runs = read_json(spark, paths, RUN, array).where(~F.coalesce("retrieval_only", F.lit(False)))
     return runs.select("run_timestamp", "pipeline", F.explode("rows").alias("row")).select("run_timestamp", "pipeline", "row.*")
 
 
@@ -74,14 +75,19 @@ def new_only(incoming: DataFrame, present: DataFrame, keys: tuple = ("scope", "c
 def index_tables(chunks: DataFrame) -> dict[str, DataFrame]:
     """postings, doc_len, term_stats and scope_stats of (scope, chunk_id, text)."""
     posts, stats = R.postings(chunks), R.scope_stats(chunks)
-    from passagebase.functions import text as T
-
     return {"postings": posts, "doc_len": chunks.select("scope", "chunk_id", F.size(T.tokens(F.col("text"))).alias("dl")), "term_stats": R.term_stats(posts, stats), "scope_stats": stats}
 
 
 def write_index(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
     """All tables of an index together; postings are sorted within files, so that scopes and terms can be skipped to."""
+    spark = chunks.sparkSession
     write_chunks(chunks, f"{path}/chunks", mode=mode)
-    for name, df in index_tables(chunks).items():
+    tables = index_tables(chunks)
+    tables["postings"].sortWithinPartitions("scope", "term").write.mode(mode).parquet(f"{path}/postings")
+    # Terms are counted from the postings as written, so texts are not taken apart again.
+    tables["scope_stats"].write.mode(mode).parquet(f"{path}/scope_stats")
+    posts, stats = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "scope_stats"))
+    tables = {"doc_len": tables["doc_len"], "term_stats": R.term_stats(posts, stats)}
+    for name, df in tables.items():
         keys = [c for c in ("scope", "term") if c in df.columns]
         df.sortWithinPartitions(*keys).write.mode(mode).parquet(f"{path}/{name}")

@@ -191,10 +191,74 @@ def test_ranked_others_and_pairs(spark):
     assert {(r.question_id, r.label, r["count"]) for r in pairs} == {(1, 1.0, 1), (1, 0.0, 3), (2, 0.0, 3), (3, 1.0, 1)}
 
 
-def test_distractors_have_k_each(spark):
-    rows, others = spark.range(20).withColumnRenamed("id", "q"), spark.range(50).withColumnRenamed("id", "o")
-    got = D.distractors(rows, "q", others, "o", 3).groupBy("q").count().collect()
-    assert len(got) == 20 and all(r["count"] == 3 for r in got)
+def test_distractors_are_others_and_differ(spark):
+    rows = spark.range(20).withColumnRenamed("id", "q")
+    others = spark.range(50).selectExpr("id AS o", "id + 1000 AS b", "'x' AS base", "1 AS index")
+    got = D.distractors(rows, "q", others, "o", 3).collect()
+    of = {q: [r for r in got if r.q == q] for q in range(20)}
+    assert all(sorted(r.pick for r in rs) == [1, 2, 3] and len({r.o for r in rs}) == 3 and q not in {r.o for r in rs} for q, rs in of.items())
+    assert all(r.b == r.o + 1000 and r.base == "x" for r in got)
+    few = D.distractors(rows, "q", others.where("o < 2"), "o", 3).groupBy("q").count().collect()
+    assert all(r["count"] == (1 if r.q < 2 else 2) for r in few)
+    assert D.distractors(rows, "q", others.where("false"), "o", 3).count() == 0
+
+
+def test_sentence_around_with_a_mark_before_the_span(spark):
+    text = "See v1.2 of the file now please."
+    df = spark.createDataFrame([(text, text.index("2"), 1), ("\tOne two three four\n", 1, 3)], "t string, s int, n int")
+    got = [r[0] for r in df.select(T.sentence_around(F.col("t"), F.col("s"), F.col("n"))).collect()]
+    assert got == ["2 of the file now please.", "One two three four"]
+
+
+def test_units_are_stripped_of_any_white_space(spark):
+    docs = spark.createDataFrame([("s", "f", "a\n\t\n\tb\u00a0\n 12 \n")], "scope string, source_file string, text string")
+    assert [r.unit for r in C.units(docs, ["scope"]).orderBy("pos").collect()] == ["a", "b"]
+    assert [u.unit for u in C.unit_arrays(docs).first().units] == ["a", "b"]
+
+
+def test_overlap_may_hold_a_heading_but_none_comes_before_one():
+    words = lambda n: " ".join(["w"] * (n - 1)) + "."
+    count = lambda s: len(s.split())
+    rows = [(1, words(20), False), (1, "1. Head", True), (1, words(4), False), (1, words(9), False)]
+    got = C.pack_units(rows, count, limit=32, overlap=9)
+    assert [t.split("\n")[1:2] for t, _, _ in got][1] == [words(4)] and got[1][0].startswith("1. Head")
+    assert len(C.pack_units([(1, words(20), False), (1, "1. Head", True), (1, words(9), False)], count, limit=32, overlap=30)) == 2
+
+
+def test_words_of_an_over_long_sentence_join_the_open_piece():
+    count = lambda s: len(s.split())
+    assert C.split_long("A b. C d e f g h i.", count, 4) == ["A b.", "C d e f", "g h i."]
+    assert C.split_long("A. C d e f g h i. J.", count, 4) == ["A.", "C d e f", "g h i. J."]
+
+
+def test_answers_match_in_compatibility_form(spark):
+    rows = spark.createDataFrame([("one", True, ["12 apples"], None, None, "１２ ａｐｐｌｅｓ"), ("all", True, None, [["ﬁve"], ["２"]], None, "five 2"), ("no", False, None, None, None, "not enough information")], "id string, answerable boolean, answers array<string>, all_of array<array<string>>, key_points array<array<string>>, answer string")
+    got = S.score_answers(rows)
+    assert got.columns[:6] == rows.columns and {r.id: r.correct for r in got.collect()} == {"one": True, "all": True, "no": True}
+    assert got.where("id = 'all'").first().all_of == [["ﬁve"], ["２"]]
+
+
+def test_json_arrays_and_saved_runs(spark, tmp_path):
+    import json
+
+    from passagebase.sources import tables as I
+
+    (tmp_path / "c.json").write_text(json.dumps([{"id": "1", "query": "q", "type": "t", "_comment": "x"}, {"id": "2", "query": "r"}], indent=1))
+    assert sorted((r.id, r.query, r.type) for r in I.read_json(spark, str(tmp_path / "c.json"), I.CASES).collect()) == [("1", "q", "t"), ("2", "r", None)]
+    for k, only in (("a", False), ("b", True), ("c", None)):
+        (tmp_path / f"run_{k}.json").write_text(json.dumps({"pipeline": k, "retrieval_only": only, "rows": [{"id": "1", "answer": k}, {"id": "2"}]}, indent=1))
+    got = I.saved_rows(spark, [str(tmp_path / f"run_{k}.json") for k in "abc"]).collect()
+    assert sorted((r.pipeline, r.id) for r in got) == [("a", "1"), ("a", "2"), ("c", "1"), ("c", "2")]
+
+
+def test_expired_sessions_and_statistics_of_touched_scopes(spark):
+    from passagebase.operators import sessions as O
+
+    index = spark.createDataFrame([("a", 1), ("b", 2)], "scope string, x int")
+    assert [r.scope for r in O.drop_expired(index, spark.createDataFrame([("b",)], "session_id string")).collect()] == ["b"]
+    chunks = spark.createDataFrame([("a", 1, "one two"), ("b", 2, "three")], "scope string, chunk_id int, text string")
+    old = spark.createDataFrame([("a", 9, 9.0), ("b", 9, 9.0)], "scope string, n long, avgdl double")
+    assert sorted(map(tuple, O.refreshed(old, chunks, chunks.where("scope = 'a'")).collect())) == [("a", 1, 2.0), ("b", 9, 9.0)]
 
 
 def test_stream_twice_is_same(spark, tmp_path):
