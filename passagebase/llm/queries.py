@@ -52,7 +52,7 @@ def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep_words=True)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
