@@ -85,7 +85,7 @@ def k2_postings(spark, d):
 @query(f"WITH {_STATS} SELECT scope, term, df, round(idf, 6) AS idf FROM idf")
 def k3_idf(spark, d):
     c = chunks(spark, d)
-    return R.term_stats(R.postings(c), R.scope_stats(c)).select("scope", "term", "df", F.round("idf", 6).alias("idf"))
+    return R.term_stats(R.postings(c), R.scope_stats(c), R.few_scopes(c)).select("scope", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_bm25(False)} SELECT question_id, scope, chunk_id, round(score, 6) AS score FROM bm")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from passagebase.functions import text as T
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 10
+#: A counted side of a join is broadcast up to so many rows.
+BROADCAST_ROWS = 500_000
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -22,14 +24,24 @@ def scope_stats(chunks: DataFrame, text: str = "text") -> DataFrame:
     return chunks.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.tokens(F.col(text)))).alias("avgdl"))
 
 
-def term_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:
-    """(scope, term, df, idf) with the floor for terms in more than half of the chunks."""
-    df = posts.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df")).join(stats.select("scope", "n"), "scope")
+def few_scopes(chunks: DataFrame) -> bool:
+    """Whether a table of one row a scope is small enough to be broadcast; reads the scopes only."""
+    return chunks.select("scope").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def hinted(side: DataFrame, few: bool) -> DataFrame:
+    """A broadcast for a side of checked size; any other is shuffled, and Spark splits its skewed keys."""
+    return F.broadcast(side) if few else side
+
+
+def term_stats(posts: DataFrame, stats: DataFrame, few: bool = False) -> DataFrame:
+    """(scope, term, df, idf) with the floor for terms in more than half of the chunks; few: scopes are few."""
+    df = posts.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df")).join(hinted(stats.select("scope", "n"), few), "scope")
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     df = df.withColumn("raw", raw)
     floor = df.groupBy("scope").agg((EPSILON * F.avg("raw")).alias("floor"))
     idf = F.when(F.col("raw") >= 0, F.col("raw")).otherwise(F.col("floor"))
-    return df.join(floor, "scope").select("scope", "term", "df", idf.alias("idf"))
+    return df.join(hinted(floor, few), "scope").select("scope", "term", "df", idf.alias("idf"))
 
 
 def question_terms(questions: DataFrame, text: str = "question") -> DataFrame:
@@ -49,7 +61,8 @@ def bm25(chunks: DataFrame, questions: DataFrame, key: str = "chunk_id", text: s
     terms = question_terms(questions, question)
     on = ["scope", "term"] if "scope" in terms.columns else ["term"]
     wanted = terms.select(*on).distinct()
-    weights = term_stats(posts, stats).select("scope", "term", "idf").join(wanted, on, "left_semi").join(stats.select("scope", "avgdl"), "scope")
+    few = few_scopes(chunks)
+    weights = term_stats(posts, stats, few).select("scope", "term", "idf").join(wanted, on, "left_semi").join(hinted(stats.select("scope", "avgdl"), few), "scope")
     used = posts.join(wanted, on, "left_semi").join(weights, ["scope", "term"])
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     weighed = used.select("scope", key, "term", part.alias("part"))

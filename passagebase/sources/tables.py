@@ -87,7 +87,7 @@ def write_index(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
     # Terms are counted from the postings as written, so texts are not taken apart again.
     tables["scope_stats"].write.mode(mode).parquet(f"{path}/scope_stats")
     posts, stats = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "scope_stats"))
-    tables = {"doc_len": tables["doc_len"], "term_stats": R.term_stats(posts, stats)}
+    tables = {"doc_len": tables["doc_len"], "term_stats": R.term_stats(posts, stats, R.few_scopes(stats))}
     for name, df in tables.items():
         keys = [c for c in ("scope", "term") if c in df.columns]
         df.sortWithinPartitions(*keys).write.mode(mode).parquet(f"{path}/{name}")
