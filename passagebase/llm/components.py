@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from passagebase.llm.common import stash
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the smallest node of its component.
 
     Rounds only take minima per node and join them back, so no neighbour list is collected; sizes of adjacency lists
     don't matter, and skewed joins are split by Spark. Every round is written to the shared folder.
     """
     pairs = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    for _ in range(max_rounds):
+    while True:
         # Large star: each larger neighbour of u is tied to the least node of u's neighbourhood.
         both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -30,7 +30,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         pairs = after
         if row["n"] == row["d"] and not chained:
             break
-    else:
-        raise RuntimeError("connected components did not settle")
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
