@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passagebase.functions import text as T
-from passagebase.jobs.base import files, query, questions, read
+from passagebase.jobs.base import files, query, questions, read, scratch
 from passagebase.operators import retrieval as R
+from passagebase.sources import tables as I  # noqa: E741
 
 _TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _STATS = f"""tk AS (SELECT source AS scope, doc_id AS chunk_id, {_TOK} AS toks FROM documents),
@@ -27,11 +28,11 @@ bm AS (SELECT question_id, tf.scope, tf.chunk_id, sum(times * idf * tf * 2.5 / (
 
 _NORM = "list_transform(embedding::DOUBLE[], lambda x: x / (CASE WHEN list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) = 0 THEN 1 ELSE sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) END))"
 _COS = f"""v AS (SELECT vec_id, {_NORM} AS vec FROM embeddings),
-cs AS (SELECT item_id AS question_id, d.source AS scope, d.doc_id AS chunk_id, list_dot_product(qv.vec, cv.vec) AS cos
-  FROM benchmark b JOIN v qv ON qv.vec_id = b.item_id JOIN documents d ON d.source = 'src' || (b.item_id % 20) JOIN v cv ON cv.vec_id = d.doc_id),
+cs AS (SELECT item_id AS question_id, d.source AS scope, d.doc_id AS chunk_id, coalesce(list_dot_product(qv.vec, cv.vec), 0.0::DOUBLE) AS cos
+  FROM benchmark b JOIN documents d ON d.source = 'src' || (b.item_id % 20) LEFT JOIN v qv ON qv.vec_id = b.item_id LEFT JOIN v cv ON cv.vec_id = d.doc_id),
 er AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY cos DESC, chunk_id) AS embed_rank FROM cs)"""
 _FUSED = f"""{_bm25(True)}, {_COS},
-br AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, chunk_id) AS bm25_rank FROM bm JOIN v ON v.vec_id = chunk_id WHERE score > 0),
+br AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, chunk_id) AS bm25_rank FROM bm WHERE score > 0),
 fu AS (SELECT er.*, bm25_rank, round(coalesce(1.0::DOUBLE / (10 + bm25_rank), 0), 6) AS bm25_rrf, round(1.0::DOUBLE / (10 + embed_rank) + coalesce(1.0::DOUBLE / (10 + bm25_rank), 0), 6) AS similarity_score FROM er LEFT JOIN br USING (question_id, chunk_id)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity_score DESC, chunk_id) AS rank FROM fu)"""
 
@@ -45,17 +46,16 @@ def vectors(spark, d):
 
 
 def embed_ranks(spark, d):
-    """Cosine and full embedding rank of each question over the chunks of its scope that have a vector."""
+    """Cosine and full embedding rank of each question over all chunks of its scope; without a vector the cosine is 0."""
     v = vectors(spark, d)
-    c = chunks(spark, d).select("scope", "chunk_id").join(v.withColumnRenamed("vec_id", "chunk_id"), "chunk_id")
-    q = questions(spark, d).select("question_id", "scope").join(v.withColumnRenamed("vec_id", "question_id"), "question_id")
+    c = chunks(spark, d).select("scope", "chunk_id").join(v.withColumnRenamed("vec_id", "chunk_id"), "chunk_id", "left")
+    q = questions(spark, d).select("question_id", "scope").join(v.withColumnRenamed("vec_id", "question_id"), "question_id", "left")
     return R.ranked(R.cosine(c, q), "cos", [F.col("chunk_id")], ["question_id"], "embed_rank")
 
 
 def bm25_ranks(spark, d):
     own = chunks(spark, d)
     s = R.bm25(own, questions(spark, d)).where("score > 0").withColumn("score", F.round("score", 9))
-    s = s.join(read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id")), "chunk_id", "left_semi")
     return R.ranked(s, "score", [F.col("chunk_id")], ["question_id"], "bm25_rank")
 
 
@@ -129,6 +129,16 @@ def e5_embed_ranks(spark, d):
     return embed_ranks(spark, d).select("question_id", "chunk_id", "embed_rank")
 
 
+@query(f"""WITH v AS (SELECT vec_id, {_NORM} AS vec FROM embeddings),
+c AS (SELECT b.item_id AS question_id, cv.vec_id AS chunk_id, list_dot_product(qv.vec, cv.vec) AS cos FROM benchmark b JOIN v qv ON qv.vec_id = b.item_id CROSS JOIN v cv)
+SELECT question_id, chunk_id, rank, round(cos, 6) AS cos FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY cos DESC, chunk_id) AS rank FROM c) WHERE rank <= 10""")
+def e4_corpus_nearest(spark, d):
+    """The ten nearest vectors of the whole table for every question, by block products: a top-k report."""
+    v = vectors(spark, d)
+    q = questions(spark, d, scoped=False).select("question_id").join(v.withColumnRenamed("vec_id", "question_id"), "question_id")
+    return R.nearest(v.withColumnRenamed("vec_id", "chunk_id"), q, 10).select("question_id", "chunk_id", "rank", F.round("cos", 6).alias("cos"))
+
+
 @query(f"WITH {_FUSED} SELECT question_id, chunk_id, bm25_rrf, similarity_score FROM fu")
 def f1_fusion(spark, d):
     return fused(spark, d).select("question_id", "chunk_id", "bm25_rrf", "similarity_score")
@@ -151,9 +161,34 @@ def reranked(spark, d, k=5):
     """Pool of 30, then the share of the question's words that a passage holds, then the best k."""
     texts = chunks(spark, d).select("chunk_id", "text")
     p = pool(spark, d, 30).join(texts, "chunk_id").join(questions(spark, d).select("question_id", "question"), "question_id")
-    q = F.array_distinct(T.tokens(F.col("question")))
-    share = F.size(F.array_intersect(q, T.tokens(F.col("text")))) / F.greatest(F.lit(1), F.size(q))
-    return R.rerank(p, share, k)
+    return R.rerank(p, word_share(F.col("question"), F.col("text")), k)
+
+
+def word_share(question, text):
+    """Share of the question's distinct words that the text holds."""
+    q = F.array_distinct(T.tokens(question))
+    return F.size(F.array_intersect(q, T.tokens(text))) / F.greatest(F.lit(1), F.size(q))
+
+
+def written_index(spark, d):
+    """The index of all chunks, written and read back."""
+    path = scratch(spark)
+    I.write_index(chunks(spark, d), path, vectors=vectors(spark, d).withColumnRenamed("vec_id", "chunk_id"))
+    return I.read_index(spark, path)
+
+
+def asked_vectors(spark, d):
+    return questions(spark, d).join(vectors(spark, d).withColumnRenamed("vec_id", "question_id"), "question_id", "left")
+
+
+@query(f"WITH {_FUSED} SELECT question_id, chunk_id, rank, similarity_score FROM rk WHERE rank <= 5")
+def f2_retrieve_from_index(spark, d):
+    return R.retrieve(written_index(spark, d), asked_vectors(spark, d)).select("question_id", "chunk_id", "rank", "similarity_score")
+
+
+@query(f"WITH {_RERANK} SELECT question_id, chunk_id, rank, round(s, 4) AS rerank_score FROM rr WHERE rank <= 5")
+def f3_rerank_from_index(spark, d):
+    return R.retrieve(written_index(spark, d), asked_vectors(spark, d), 5, word_share).select("question_id", "chunk_id", "rank", "rerank_score")
 
 
 @query(f"WITH {_RERANK} SELECT question_id, chunk_id, rank FROM rr WHERE rank <= 5")

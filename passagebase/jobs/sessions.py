@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from passagebase.jobs.answer import _ANSWERS
-from passagebase.jobs.base import answers, files, query, questions, read
+from passagebase.jobs.base import answers, files, query, questions, read, scratch
 from passagebase.jobs.rank import _bm25, _STATS, chunks
 from passagebase.operators import answering as A
 from passagebase.operators import chunking as C
@@ -18,15 +15,6 @@ from passagebase.sources import tables as I
 from passagebase.streaming import ingest
 
 
-def scratch(spark) -> str:
-    """A new folder below the shared one; our own only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/jobs/{uuid.uuid4().hex}"
-
-
 def text_folder(spark, d) -> str:
     """Conversations as text files of about a thousand turns, written by Spark from the given table."""
     path, turns = scratch(spark), read(spark, d, "conversations")

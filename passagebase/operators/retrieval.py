@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +15,8 @@ from passagebase.functions import text as T
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 10
 #: A counted side of a join is broadcast up to so many rows.
 BROADCAST_ROWS = 500_000
+#: Questions whose vectors go to every task at once; more are asked in so many blocks.
+QUESTION_BLOCK = 4096
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -58,11 +64,16 @@ def bm25(chunks: DataFrame, questions: DataFrame, key: str = "chunk_id", text: s
     toks = chunks.select("scope", key, T.tokens(F.col(text)).alias("toks")).select("scope", key, F.size("toks").alias("dl"), "toks")
     posts = toks.select("scope", key, "dl", F.explode("toks").alias("term")).groupBy("scope", key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = toks.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    few = few_scopes(chunks)
+    return bm25_of(posts, term_stats(posts, stats, few), stats, questions, key, question, few)
+
+
+def bm25_of(posts: DataFrame, weights: DataFrame, stats: DataFrame, questions: DataFrame, key: str = "chunk_id", question: str = "question", few: bool = False) -> DataFrame:
+    """BM25 from tables that are there already: (scope, key, term, tf, dl), (scope, term, idf) and (scope, avgdl)."""
     terms = question_terms(questions, question)
     on = ["scope", "term"] if "scope" in terms.columns else ["term"]
     wanted = terms.select(*on).distinct()
-    few = few_scopes(chunks)
-    weights = term_stats(posts, stats, few).select("scope", "term", "idf").join(wanted, on, "left_semi").join(hinted(stats.select("scope", "avgdl"), few), "scope")
+    weights = weights.select("scope", "term", "idf").join(wanted, on, "left_semi").join(hinted(stats.select("scope", "avgdl"), few), "scope")
     used = posts.join(wanted, on, "left_semi").join(weights, ["scope", "term"])
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     weighed = used.select("scope", key, "term", part.alias("part"))
@@ -85,9 +96,74 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """(question_id, scope, chunk_id, cos) within each scope; both sides carry unit vectors `vec`."""
+    """(question_id, scope, chunk_id, cos) within each scope; both sides carry unit vectors `vec`, none counts as cosine 0."""
     q = questions.select("question_id", "scope", F.col("vec").alias("q_vec"))
-    return chunks.select("scope", "chunk_id", "vec").join(q, "scope").select("question_id", "scope", "chunk_id", dot(F.col("vec"), F.col("q_vec")).alias("cos"))
+    return chunks.select("scope", "chunk_id", "vec").join(q, "scope").select("question_id", "scope", "chunk_id", F.coalesce(dot(F.col("vec"), F.col("q_vec")), F.lit(0.0)).alias("cos"))
+
+
+def nearest(chunks: DataFrame, questions: DataFrame, k: int, block: int = QUESTION_BLOCK) -> DataFrame:
+    """(question_id, chunk_id, cos, rank): the k best chunks of the whole corpus for each question; ties by chunk_id.
+
+    Questions go to the tasks as a matrix, `block` at a time; each task multiplies its batches with it and keeps k rows a
+    question, which one window merges. chunks: (chunk_id long, vec), questions: (question_id long, vec), unit vectors;
+    rows without a vector are left out.
+    """
+    asked = questions.where("vec is not null").select(F.col("question_id").cast("long"), "vec")
+    held = chunks.where("vec is not null").select(F.col("chunk_id").cast("long"), "vec")
+    blocks = max(1, -(-asked.count() // (block // 2)))
+    parts = [_best(held, asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i).collect(), k) for i in range(blocks)]
+    best = parts[0]
+    for p in parts[1:]:
+        best = best.unionByName(p)
+    return ranked(best, "cos", [F.col("chunk_id")], ["question_id"]).where(F.col("rank") <= k)
+
+
+def _best(chunks: DataFrame, rows: list, k: int) -> DataFrame:
+    """The k best of each task for one block of questions."""
+    ids = np.array([r["question_id"] for r in rows], dtype=np.int64)
+    matrix = np.array([r["vec"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, score = np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0))
+        for batch in batches:
+            for at in range(0, len(batch) if len(ids) else 0, 1024):
+                part = batch.slice(at, 1024)
+                vecs = np.array(part.column("vec").to_pylist(), dtype=np.float64)
+                new = matrix @ vecs.T
+                # Once k are held, only questions that this part can improve are sorted again.
+                better = (new >= score[:, -1:]).any(axis=1) if held.shape[1] == k else np.ones(len(ids), dtype=bool)
+                names = np.broadcast_to(part.column("chunk_id").to_numpy(), (int(better.sum()), len(part)))
+                both = np.concatenate([held[better], names], axis=1)
+                scores = np.concatenate([score[better], new[better]], axis=1)
+                order = np.lexsort((both, -scores), axis=1)[:, :k]
+                both, scores = np.take_along_axis(both, order, axis=1), np.take_along_axis(scores, order, axis=1)
+                if better.all():
+                    held, score = both, scores
+                else:
+                    held[better], score[better] = both, scores
+        n = held.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(held.ravel()), pa.array(score.ravel())], names=["question_id", "chunk_id", "cos"])
+
+    return chunks.mapInArrow(run, "question_id long, chunk_id long, cos double")
+
+
+def retrieve(index: dict[str, DataFrame], questions: DataFrame, top_k: int = 5, reranker: Callable[[Column, Column], Column] | None = None, candidates: int = 30) -> DataFrame:
+    """(question_id, chunk_id, text, rank, similarity_score, cos[, rerank_score]) from the tables of a written index.
+
+    questions: (question_id, scope, question, vec). With a reranker, a column function of question and text, the pool of
+    max(candidates, top_k) is put in its order; without one the hybrid order stands.
+    """
+    embedded = index["chunks"].select("scope", "chunk_id").join(index["embeddings"].select("chunk_id", "vec"), "chunk_id", "left")
+    by_vector = ranked(cosine(embedded, questions), "cos", [F.col("chunk_id")], ["question_id"], "embed_rank")
+    few = few_scopes(index["scope_stats"])
+    words = bm25_of(index["postings"], index["term_stats"], index["scope_stats"], questions.select("question_id", "scope", "question"), few=few)
+    by_word = ranked(words.where("score > 0").withColumn("score", F.round("score", 9)), "score", [F.col("chunk_id")], ["question_id"], "bm25_rank")
+    pool = top(fuse(by_vector, by_word), max(candidates, top_k) if reranker else top_k, ["chunk_id"])
+    found = pool.select("question_id", "chunk_id", "rank", "similarity_score", "cos").join(index["chunks"].select("chunk_id", "text"), "chunk_id")
+    if reranker is None:
+        return found
+    asked = found.join(questions.select("question_id", "question"), "question_id")
+    return rerank(asked, reranker(F.col("question"), F.col("text")), top_k).drop("question", "pool_rank")
 
 
 def fuse(embed_ranks: DataFrame, bm25_ranks: DataFrame, k: int = RRF_K) -> DataFrame:
