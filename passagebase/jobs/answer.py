@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passagebase.functions import text as T
-from passagebase.jobs.base import answers, files, query, questions, read
+from passagebase.jobs.base import answers, files, query, questions, read, scratch
 from passagebase.jobs.rank import _FUSED, pool
 from passagebase.operators import answering as A
 from passagebase.operators import scoring as S
+from passagebase.sources import tables as I  # noqa: E741
 
 #: Thresholds for these queries: the given vectors lie closer together than a real model's.
 HARD, CONTEXT = 0.12, 0.2
@@ -276,6 +277,33 @@ def v8_validate(spark, d):
     return c.groupBy("id").agg((F.count(F.lit(1)) - 1).alias("repeats"), F.count_if(F.col("doc_id").isNull()).alias("missing"), F.count_if(~F.col("held")).alias("lost"))
 
 
+_ITEMS = r"""it AS (SELECT conv_id AS id, doc_id AS doc, array_to_string(list_slice(list_filter(string_split_regex(t, '\s+'), lambda x: x <> ''), 3, 6), ' ') AS snippet
+  FROM (SELECT conv_id, conv_id AS doc_id, coalesce(d.text, c.text) AS t FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id WHERE c.role = 'user')),
+tx AS (SELECT doc_id AS doc, regexp_replace(text, '[aeiou]{2}', '', 'g') AS text, text AS other_text FROM documents)"""
+
+
+@query(f"""WITH {_ITEMS}, se AS (SELECT it.*, coalesce(contains(' ' || {_norm("coalesce(text, '')")} || ' ', ' ' || {_norm("snippet")} || ' '), false) AS held,
+  coalesce(contains(' ' || {_norm("coalesce(other_text, '')")} || ' ', ' ' || {_norm("snippet")} || ' '), false) AS other_held FROM it LEFT JOIN tx ON tx.doc = it.doc)
+SELECT 'repeated' AS problem, id AS key, count(*) - 1 AS n FROM it GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT DISTINCT 'missing', doc, 1 FROM it WHERE doc NOT IN (SELECT doc FROM tx)
+UNION ALL SELECT 'unfound', id, count(*) FROM se WHERE NOT held AND NOT other_held GROUP BY id
+UNION ALL SELECT 'lost', doc, count_if(NOT held) FROM se GROUP BY doc""")
+def v8_validated_items(spark, d):
+    """Gold items made from documents and turns, against two extractions of each document, one of which loses letters."""
+    docs = files(spark, d).select(F.col("doc_id").alias("doc"), F.regexp_replace("text", "[aeiou]{2}", "").alias("text"), F.col("text").alias("other_text"))
+    turns = read(spark, d, "conversations").where("role = 'user'").select(F.col("conv_id").alias("id"), F.col("conv_id").alias("doc"), F.col("text").alias("said"))
+    words = F.slice(T.words(F.coalesce("other_text", "said")), 3, 4)
+    items = turns.join(docs.select("doc", "other_text"), "doc", "left").select("id", "doc", F.array(F.array_join(words, " ")).alias("evidence"))
+    found = S.validate(items, docs)
+    rows = [
+        found["repeated"].select(F.lit("repeated").alias("problem"), F.col("id").alias("key"), F.col("repeats").alias("n")),
+        found["missing"].select(F.lit("missing").alias("problem"), F.col("doc").alias("key"), F.lit(1).cast("long").alias("n")),
+        found["unfound"].groupBy(F.col("id").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("unfound").alias("problem"), "key", "n"),
+        found["lost"].select(F.lit("lost").alias("problem"), F.col("doc").alias("key"), F.col("lost").alias("n")),
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
 @query(f"WITH {_TOP}, l AS (SELECT question_id, list(chunk_id ORDER BY rank) AS chunk_ids FROM rt GROUP BY ALL) SELECT item_id AS question_id, text AS question, chunk_ids FROM benchmark LEFT JOIN l ON question_id = item_id")
 def v9_assembled_rows(spark, d):
     lists = retrieved(spark, d).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("c"))
@@ -308,6 +336,19 @@ def v13_rescore(spark, d):
     return s.groupBy("run").agg(F.count_if(F.col("old") != F.col("correct")).alias("flipped"), F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {_GOLD} SELECT 'p' || (conv_id % 3) AS pipeline, count_if(correct IS DISTINCT FROM contains(lower(answer), 'information')) AS flipped, {_AM} FROM (SELECT v.*, a.answer FROM v JOIN a USING (conv_id, turn)) WHERE conv_id % 3 <> 2 GROUP BY 1")
+def v13_rescore_saved(spark, d):
+    """Runs written as saved files with verdicts of an older rule, read back and scored again; the run without answers is
+    left out.
+    """
+    g = gold(spark, d).withColumn("id", F.concat_ws("-", "conv_id", "turn"))
+    row = F.struct("id", "answer", F.contains(F.lower("answer"), F.lit("information")).alias("correct"))
+    runs = g.select(F.concat(F.lit("p"), (F.col("conv_id") % 3).cast("string")).alias("pipeline"), (F.col("conv_id") % 3 == 2).alias("retrieval_only"), F.array(row).alias("rows"))
+    path = scratch(spark)
+    runs.write.json(path)
+    return S.rescored(I.saved_rows(spark, path, array=False), g).groupBy("pipeline").agg(F.count_if("flipped").alias("flipped"), *S.answer_metrics())
+
+
 @query(f"WITH {_FUSED}, o AS (SELECT * FROM (VALUES (5), (10), (60)) AS v(rrf_k)), x AS (SELECT rrf_k, question_id, chunk_id, row_number() OVER (PARTITION BY rrf_k, question_id ORDER BY round(1.0::DOUBLE / (rrf_k + embed_rank) + coalesce(1.0::DOUBLE / (rrf_k + bm25_rank), 0), 6) DESC, chunk_id) AS rank FROM fu CROSS JOIN o) SELECT rrf_k, question_id, chunk_id, rank FROM x WHERE rank <= 5")
 def v14_ablation(spark, d):
     """Retrieval under several fusion constants; the option table joins after ranking."""
@@ -368,6 +409,24 @@ def m5_judge_scores(spark, d):
     return s.agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("scored"), F.round(F.avg("score"), 4).alias("mean_score"))
 
 
+def length_judge(prompts: list[str]) -> list[str]:
+    """A stand-in for a judging model, plain enough to be repeated in SQL: no grade where the length gives 0."""
+    return [f"Grade: {len(p) % 6}." for p in prompts]
+
+
+_JUDGED = r"""c AS (SELECT a.conv_id, a.turn, regexp_replace(d.text, '^\s+|\s+$', '', 'g') AS passage, regexp_replace(a.text, '^\s+|\s+$', '', 'g') AS answer
+  FROM conversations a JOIN documents d ON d.doc_id = a.conv_id WHERE a.role = 'assistant' AND d.text IS NOT NULL AND a.text IS NOT NULL AND NOT contains(lower(a.text), 'i don''t have enough information'))"""
+_ASKED = "'PASSAGE:' || chr(10) || passage || chr(10) || chr(10) || 'ANSWER:' || chr(10) || answer || chr(10) || chr(10) || 'How far does the passage bear out the answer? One grade from 1 (not at all) to 5 (wholly):'"
+
+
+@query(f"WITH {_JUDGED} SELECT conv_id, turn, nullif(length({_ASKED}) % 6, 0)::INT AS grade FROM c")
+def m5_judged_answers(spark, d):
+    """Grades of answers that are labelled (a document of the conversation's number) and no abstentions."""
+    docs = files(spark, d).select(F.col("doc_id").alias("conv_id"), F.col("text").alias("reference"))
+    rows = read(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer")).join(docs, "conv_id", "left")
+    return A.judged(rows.withColumn("abstained", T.says_abstain(F.col("answer"), T.ABSTAIN_PHRASES[:1])), length_judge).select("conv_id", "turn", "grade")
+
+
 @query(f"WITH {_EXP} SELECT question_id, text AS reference FROM rx JOIN documents ON doc_id = expected")
 def m6_reference_text(spark, d):
     return expected(spark, d).select("question_id", "expected").join(files(spark, d).select(F.col("doc_id").alias("expected"), F.col("text").alias("reference")), "expected").select("question_id", "reference")

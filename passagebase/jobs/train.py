@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from passagebase.functions import text as T
 from passagebase.jobs.answer import asked
-from passagebase.jobs.base import files, query, questions, read
+from passagebase.jobs.base import answers, files, query, questions, read, scratch
 from passagebase.jobs.prepare import _WORDS
 from passagebase.jobs.rank import _bm25
 from passagebase.operators import answering as A
 from passagebase.operators import chunking as C
+from passagebase.operators import corpora as K
 from passagebase.operators import trainset as D
+from passagebase.sources import tables as I  # noqa: E741
 
 
 def contexts(spark, d):
@@ -190,6 +192,67 @@ def d16_dolly_examples(spark, d):
     return e.select("conv_id", "turn", "kind", D.example(A.prompt(shown, F.col("instruction")), target).alias("messages"))
 
 
+def squad_rows(spark, d):
+    """Documents as rows of the SQUAD shape: their first words as question, the sixth word as answer; every third has none."""
+    words = T.words(F.col("text"))
+    span = F.get(words, F.lit(5))
+    given = (F.col("doc_id") % 3 != 0) & span.isNotNull()
+    none = F.struct(F.array().cast("array<string>").alias("text"), F.array().cast("array<int>").alias("answer_start"))
+    answer = F.when(given, F.struct(F.array(span).alias("text"), F.array(F.position(span, F.col("text")) - 1).alias("answer_start"))).otherwise(none)
+    asked_text = F.concat(F.array_join(F.slice(words, 1, 5), " "), F.lit("?"))
+    return files(spark, d).select(F.col("doc_id").cast("string").alias("id"), F.col("scope").alias("title"), F.col("text").alias("context"), asked_text.alias("question"), answer.alias("answers"))
+
+
+def hotpot_rows(spark, d):
+    """Conversations as rows of the HOTPOT shape: a turn is a titled paragraph, the first and the second support the answer."""
+    turn = F.struct("turn", F.concat_ws(" ", F.lit("turn"), "turn").alias("title"), T.sentences(F.col("text")).alias("sentences"))
+    c = read(spark, d, "conversations").where("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    first = lambda i: F.get(F.get(F.col("t"), F.lit(i))["sentences"], F.lit(0))
+    answer = F.array_join(F.slice(T.words(first(1)), 2, 2), " ")
+    facts = F.struct(F.array(F.col("t")[0]["title"], F.get("t", F.lit(1))["title"]).alias("title"), F.array(F.lit(0), F.lit(0)).alias("sent_id"))
+    context = F.struct(F.transform("t", lambda x: x["title"]).alias("title"), F.transform("t", lambda x: x["sentences"]).alias("sentences"))
+    return c.select(F.col("conv_id").cast("string").alias("id"), first(0).alias("question"), answer.alias("answer"), context.alias("context"), facts.alias("supporting_facts"))
+
+
+def dolly_rows(spark, d):
+    """User and assistant turns as rows of the DOLLY shape, the document of the conversation's number as context."""
+    said = answers(spark, d).where("question is not null").join(files(spark, d).select(F.col("doc_id").alias("conv_id"), F.col("text").alias("context")), "conv_id")
+    kind = F.element_at(F.array(F.lit("closed_qa"), F.lit("information_extraction"), F.lit("summarization"), F.lit("brainstorming")), (F.col("conv_id") % 4 + 1).cast("int"))
+    return said.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("question").alias("instruction"), "context", F.col("answer").alias("response"), kind.alias("category"))
+
+
+def corpora(spark, d):
+    """The three corpora, written as JSON and read by their schemas."""
+    made = {"squad": (squad_rows, I.SQUAD), "hotpot": (hotpot_rows, I.HOTPOT), "dolly": (dolly_rows, I.DOLLY)}
+    for name, (rows, schema) in made.items():
+        path = scratch(spark)
+        rows(spark, d).write.json(path)
+        yield name, I.read_json(spark, path, f"id string, {schema}", array=False)
+
+
+def mixed_examples(spark, d):
+    rows, m = dict(corpora(spark, d)), D.MIX
+    return K.mixed([
+        K.squad_examples(rows["squad"], m["squad_answerable"], m["squad_unanswerable"]),
+        K.hotpot_examples(rows["hotpot"], m["hotpot_answerable"], m["hotpot_missing"]),
+        K.dolly_examples(rows["dolly"], m["dolly_grounded"], m["dolly_summary"], m["dolly_mismatch"]),
+    ])
+
+
+@query()
+def d17_mixed_examples(spark, d):
+    """Examples of all corpora under the mixture's quotas (the operator's own limit), in seeded order."""
+    return mixed_examples(spark, d)
+
+
+@query("""SELECT 'squad' AS corpus, count(*) AS n FROM documents UNION ALL SELECT 'hotpot', count(DISTINCT conv_id) FROM conversations WHERE text IS NOT NULL
+UNION ALL SELECT 'dolly', count(*) FROM conversations a JOIN conversations q ON q.conv_id = a.conv_id AND q.turn = a.turn - 1 AND q.role = 'user' JOIN documents d ON d.doc_id = a.conv_id WHERE a.role = 'assistant' AND q.text IS NOT NULL""")
+def s11_three_corpora(spark, d):
+    """Rows read from each corpus by its schema."""
+    parts = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("corpus"), "n") for name, rows in corpora(spark, d)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("""WITH k AS (SELECT item_id AS question_id, CASE WHEN item_id % 3 = 0 THEN 'squad_unanswerable' ELSE 'squad_answerable' END AS kind FROM benchmark), n AS (SELECT kind, least(count(*), CASE kind WHEN 'squad_answerable' THEN 450 ELSE 180 END) AS n FROM k GROUP BY kind)
 SELECT kind, n, round(sum(CASE WHEN kind = 'squad_unanswerable' THEN n ELSE 0 END) OVER () / sum(n) OVER (), 6) AS refusal_share FROM n""")
 def d17_mix(spark, d):

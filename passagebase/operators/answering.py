@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from passagebase.functions import text as T
 from passagebase.operators.models import first_passage, generate
+from passagebase.operators.scoring import grade
 
 # Thresholds and sentences of the answer protocol.
 HARD_FLOOR, CONTEXT_FLOOR = 0.55, 0.60
@@ -58,6 +59,21 @@ def prompt(chunks: Column, question: Column) -> Column:
     return F.concat(F.lit("PASSAGES:\n\n"), body, F.lit("\n\n---\n\nQUESTION: "), question, F.lit("\n\nAnswer using only the passages above. List sources at the end."))
 
 
+def judge_prompt(reference: Column, answer: Column) -> Column:
+    """What a judge is asked: how far an answer is borne out by a passage, from 1 to 5."""
+    return F.concat(F.lit("PASSAGE:\n"), T.strip(reference), F.lit("\n\nANSWER:\n"), T.strip(answer), F.lit("\n\nHow far does the passage bear out the answer? One grade from 1 (not at all) to 5 (wholly):"))
+
+
+def judged(rows: DataFrame, model: Callable[[list[str]], list[str]], parallel: int | None = None) -> DataFrame:
+    """Adds `grade` (1 to 5, null if the judge's reply has none) to the labelled answers that are no abstentions.
+
+    rows: (reference, answer, abstained); rows without a reference or an answer are not labelled.
+    """
+    asked = rows.where(F.col("reference").isNotNull() & F.col("answer").isNotNull() & ~F.coalesce("abstained", F.lit(False)))
+    told = generate(asked.withColumn("judge_prompt", judge_prompt(F.col("reference"), F.col("answer"))), "judge_prompt", model, parallel)
+    return told.withColumn("grade", grade(F.col("response"))).drop("judge_prompt", "response")
+
+
 def cited(response: Column, compat: bool = False) -> Column:
     """Names listed after the first sources heading, marks of lists stripped, first mention kept."""
     block = F.try_element_at(F.split(response, T.SOURCES_HEAD, 2), F.lit(2))

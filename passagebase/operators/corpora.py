@@ -35,6 +35,20 @@ def _chunk(source: Column, page: Column, text: Column) -> Column:
     return F.struct(source.alias("source_file"), page.cast("int").alias("page"), text.alias("text"))
 
 
+def _placed(ctx: DataFrame, seed: int, buckets: int = 256) -> DataFrame:
+    """Contexts with their place in their title's circle, from 0, and the title's number of contexts n.
+
+    Places are counted within hash buckets of a title, after the buckets before, so a large title is not one task.
+    """
+    ctx = ctx.withColumn("o", D.shuffled(seed, "title", "context")).withColumn("bucket", F.pmod("o", F.lit(buckets)))
+    sizes = ctx.groupBy("title", "bucket").agg(F.count(F.lit(1)).alias("size"))
+    of_title = W.partitionBy("title").orderBy("bucket")
+    before = F.coalesce(F.sum("size").over(of_title.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("title", "bucket", before.alias("before"), F.sum("size").over(W.partitionBy("title")).alias("n"))
+    within = F.row_number().over(W.partitionBy("title", "bucket").orderBy("o", "context")) - 1
+    return ctx.withColumn("within", within).join(sizes, ["title", "bucket"]).select("title", "context", (F.col("within") + F.col("before")).alias("place"), "n")
+
+
 def squad_examples(rows: DataFrame, n_answerable: int, n_unanswerable: int, seed: int = 42) -> DataFrame:
     """(id, kind, messages): the row's context among 2 to 4 others of its title, with the sentence of its answer or a refusal.
 
@@ -42,9 +56,7 @@ def squad_examples(rows: DataFrame, n_answerable: int, n_unanswerable: int, seed
     contexts is ever made that isn't shown. Pages of an example are distinct.
     """
     rows = rows.where("title is not null and context is not null")
-    ctx = rows.select("title", "context").distinct()
-    place = F.row_number().over(W.partitionBy("title").orderBy(D.shuffled(seed, "title", "context"), "context")) - 1
-    ctx = ctx.withColumn("place", place).join(ctx.groupBy("title").agg(F.count(F.lit(1)).alias("n")), "title")
+    ctx = _placed(rows.select("title", "context").distinct(), seed)
     first = lambda c: F.try_element_at(F.col("answers")[c], F.lit(1))
     q = rows.withColumn("span", first("text")).withColumn("at", first("answer_start")).withColumn("answerable", F.coalesce(F.size("answers.text"), F.lit(0)) > 0)
     q = q.withColumn("sentence", F.when(F.col("answerable"), T.sentence_around(F.col("context"), F.col("at"), F.length("span"))))

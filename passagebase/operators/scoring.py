@@ -85,6 +85,38 @@ def evidence_ranks(evidence: DataFrame, retrieved: DataFrame) -> DataFrame:
     return first.groupBy("question_id").agg(F.when(F.count(F.lit(1)) == F.count("r"), F.max("r")).alias("evidence_rank"))
 
 
+def validate(items: DataFrame, documents: DataFrame) -> dict[str, DataFrame]:
+    """Problems of gold items: `repeated` (id, repeats), `missing` (doc), `unfound` (id, doc, snippet) held by neither of two
+    extractions, and `lost` (doc, snippets, lost): how many snippets of a document the first extraction loses.
+
+    items: (id, doc, evidence array<string>); documents: (doc, text, other_text), one row a document.
+    """
+    repeated = items.groupBy("id").agg((F.count(F.lit(1)) - 1).alias("repeats")).where("repeats > 0")
+    missing = items.select("doc").distinct().join(documents.select("doc"), "doc", "left_anti")
+    snippets = items.select("id", "doc", F.explode("evidence").alias("snippet")).withColumn("needle", bounded(F.col("snippet")))
+    hay = documents.select("doc", bounded(F.coalesce("text", F.lit(""))).alias("hay"), bounded(F.coalesce("other_text", F.lit(""))).alias("other_hay"))
+    held = lambda c: F.coalesce(F.contains(c, "needle"), F.lit(False))
+    seen = snippets.join(hay, "doc", "left").select("id", "doc", "snippet", held(F.col("hay")).alias("held"), held(F.col("other_hay")).alias("other_held"))
+    lost = seen.groupBy("doc").agg(F.count(F.lit(1)).alias("snippets"), F.count_if(~F.col("held")).alias("lost"))
+    return {"repeated": repeated, "missing": missing, "unfound": seen.where("not held and not other_held").select("id", "doc", "snippet"), "lost": lost}
+
+
+def rescored(saved: DataFrame, gold: DataFrame) -> DataFrame:
+    """Saved rows with the verdicts of the present gold items, and `flipped` where the verdict changed.
+
+    saved: (run_timestamp, pipeline, id, answer, correct), as sources.tables.saved_rows gives them; gold: one row an id. A
+    saved row whose gold item is gone is left out; a saved row without a verdict counts as changed.
+    """
+    old = saved.select("run_timestamp", "pipeline", "id", "answer", F.col("correct").alias("was_correct"))
+    new = score_answers(old.join(gold.select("id", "type", "answerable", "answers", "all_of", "key_points"), "id"))
+    return new.withColumn("flipped", ~F.col("correct").eqNullSafe(F.col("was_correct")))
+
+
+def grade(reply: Column) -> Column:
+    """The first grade from 1 to 5 in a judge's reply; null if there is none."""
+    return F.regexp_extract(reply, r"\b([1-5])\b", 1).try_cast("int")
+
+
 def retrieval_metrics(ks: tuple = HIT_KS, rank: str = "evidence_rank", prefix: str = "evidence_") -> list[Column]:
     out = [F.round(F.avg(F.when(F.col(rank) <= k, 1).otherwise(0)), 4).alias(f"{prefix}hit_{k}") for k in ks]
     return [*out, F.round(F.avg(F.coalesce(1 / F.col(rank), F.lit(0.0))), 4).alias(f"{prefix}mrr"), F.count(F.lit(1)).alias("n")]

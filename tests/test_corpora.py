@@ -85,3 +85,20 @@ def test_dolly_and_mix(spark):
     one = K.dolly_examples(frame(spark, rows, I.DOLLY), 4, 2, 3)
     both = K.mixed([one, one.withColumn("kind", one.kind)]).collect()
     assert len(both) == 18 and [r.id for r in both] == [r.id for r in K.mixed([one, one]).collect()]
+
+
+def test_mixture_of_the_given_tables(spark):
+    import os
+
+    import pytest
+
+    from passagebase.jobs import train
+    from passagebase.operators import trainset as D
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("tables are not here")
+    got = train.mixed_examples(spark, "/root/testdata/sf0.001").collect()
+    kinds = {k: [r for r in got if r.kind == k] for k in {r.kind for r in got}}
+    assert {"squad_answerable", "squad_unanswerable", "hotpot_answerable", "hotpot_missing", "dolly_grounded", "dolly_summary"} <= set(kinds)
+    assert all(len(rows) <= D.MIX[k] and len({r.id for r in rows}) == len(rows) for k, rows in kinds.items())
+    assert all((parts(r)[2] == A.REFUSAL) == (r.kind in D.REFUSAL_KINDS) for r in got)
