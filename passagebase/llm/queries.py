@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from passagebase.llm.common import table
@@ -15,6 +17,7 @@ from passagebase.llm.packing import pack
 from passagebase.llm.quality import quality
 from passagebase.llm.secrets import scan
 from passagebase.llm.topk import top_k
+from passagebase.llm.whitening import whiten
 
 
 #: Vocabulary files of public tokenizers: a parameter, never part of this repository.
@@ -67,8 +70,12 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op2_simhash_near_dedup, op3_compression_quality, op4_hamming_top_k, op5_exact_dedup, op6_language_mixture, op7_cutting_stock_packing, op8_secret_scan, op9_context_tree_scores, op10_html_main_text)}
+    return {name: f for name, f in globals().items() if re.match(r"op\d+_", name)}
 
 
 def oracle_sql() -> dict[str, str]:
