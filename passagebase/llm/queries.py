@@ -11,12 +11,14 @@ from passagebase.llm.exact_dedup import exact_dedup
 from passagebase.llm.context_tree import score_texts
 from passagebase.llm.html_text import extract
 from passagebase.llm.language_id import language_id
+from passagebase.llm.lexical import rank_documents
 from passagebase.llm.mixing import mix
 from passagebase.llm.near_dedup import near_dedup
 from passagebase.llm.packing import pack
 from passagebase.llm.quality import quality
 from passagebase.llm.secrets import scan
 from passagebase.llm.topk import top_k
+from passagebase.llm.warc import round_trip
 from passagebase.llm.whitening import whiten
 
 
@@ -70,6 +72,14 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_tput_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
@@ -79,7 +89,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": EXACT_DEDUP}
+    return {"op5_exact_dedup": EXACT_DEDUP, "op11_tput_search": RANKED_SEARCH}
 
 
 EXACT_DEDUP = """
@@ -88,3 +98,15 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(body) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY body)
 """
+
+RANKED_SEARCH = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(t) AS term FROM b) GROUP BY ALL),
+g AS (SELECT count_if(len(t) > 0) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d),
+p AS (SELECT doc, doc_id, n, term, count(*) AS tf FROM (SELECT doc, doc_id, len(t) AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term, n_docs),
+i AS (SELECT doc, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms)) AS impact FROM p, g),
+s AS (SELECT item_id, doc, doc_id, sum(times * w * impact)::BIGINT AS score FROM q JOIN i USING (term) JOIN f USING (term) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
