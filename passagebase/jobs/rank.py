@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from passagebase.functions import text as T
 from passagebase.jobs.base import files, query, questions, read, scratch
 from passagebase.operators import retrieval as R
-from passagebase.sources import tables as I  # noqa: E741
+from passagebase.operators import vectors as V
+from passagebase.sources import index as I  # noqa: E741
 
 _TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _STATS = f"""tk AS (SELECT source AS scope, doc_id AS chunk_id, {_TOK} AS toks FROM documents),
@@ -134,9 +135,9 @@ c AS (SELECT b.item_id AS question_id, cv.vec_id AS chunk_id, list_dot_product(q
 SELECT question_id, chunk_id, rank, round(cos, 6) AS cos FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY cos DESC, chunk_id) AS rank FROM c) WHERE rank <= 10""")
 def e4_corpus_nearest(spark, d):
     """The ten nearest vectors of the whole table for every question, by block products: a top-k report."""
-    v = vectors(spark, d)
+    v = vectors(spark, d).withColumn("scope", F.lit("all"))
     q = questions(spark, d, scoped=False).select("question_id").join(v.withColumnRenamed("vec_id", "question_id"), "question_id")
-    return R.nearest(v.withColumnRenamed("vec_id", "chunk_id"), q, 10).select("question_id", "chunk_id", "rank", F.round("cos", 6).alias("cos"))
+    return V.nearest(v.withColumnRenamed("vec_id", "chunk_id"), q, 10).select("question_id", "chunk_id", "rank", F.round("cos", 6).alias("cos"))
 
 
 @query(f"WITH {_FUSED} SELECT question_id, chunk_id, bm25_rrf, similarity_score FROM fu")
@@ -171,10 +172,10 @@ def word_share(question, text):
 
 
 def written_index(spark, d):
-    """The index of all chunks, written and read back."""
+    """The index of all chunks, written; the folder."""
     path = scratch(spark)
-    I.write_index(chunks(spark, d), path, vectors=vectors(spark, d).withColumnRenamed("vec_id", "chunk_id"))
-    return I.read_index(spark, path)
+    I.append(chunks(spark, d), path, vectors=vectors(spark, d).withColumnRenamed("vec_id", "chunk_id"))
+    return path
 
 
 def asked_vectors(spark, d):
@@ -183,12 +184,14 @@ def asked_vectors(spark, d):
 
 @query(f"WITH {_FUSED} SELECT question_id, chunk_id, rank, similarity_score FROM rk WHERE rank <= 5")
 def f2_retrieve_from_index(spark, d):
-    return R.retrieve(written_index(spark, d), asked_vectors(spark, d)).select("question_id", "chunk_id", "rank", "similarity_score")
+    q = asked_vectors(spark, d)
+    return R.retrieve(I.read(spark, written_index(spark, d), q), q).select("question_id", "chunk_id", "rank", "similarity_score")
 
 
 @query(f"WITH {_RERANK} SELECT question_id, chunk_id, rank, round(s, 4) AS rerank_score FROM rr WHERE rank <= 5")
 def f3_rerank_from_index(spark, d):
-    return R.retrieve(written_index(spark, d), asked_vectors(spark, d), 5, word_share).select("question_id", "chunk_id", "rank", "rerank_score")
+    q = asked_vectors(spark, d)
+    return R.retrieve(I.read(spark, written_index(spark, d), q), q, 5, word_share).select("question_id", "chunk_id", "rank", "rerank_score")
 
 
 @query(f"WITH {_RERANK} SELECT question_id, chunk_id, rank FROM rr WHERE rank <= 5")

@@ -11,6 +11,7 @@ from passagebase.operators import answering as A
 from passagebase.operators import chunking as C
 from passagebase.operators import retrieval as R
 from passagebase.operators import sessions as O
+from passagebase.sources import index as X
 from passagebase.sources import tables as I
 from passagebase.streaming import ingest
 
@@ -109,9 +110,10 @@ def s11_read_corpora(spark, d):
 @query(f"WITH {_STATS} SELECT scope, n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM df WHERE df.scope = st.scope) AS terms FROM st")
 def s12_write_index(spark, d):
     path = scratch(spark)
-    I.write_index(files(spark, d).withColumn("chunk_id", F.col("source_file")).select("scope", "source_file", "chunk_id", "text"), path)
-    terms = spark.read.parquet(f"{path}/term_stats").groupBy("scope").agg(F.count(F.lit(1)).alias("terms"))
-    return spark.read.parquet(f"{path}/scope_stats").join(terms, "scope").select("scope", "n", F.round("avgdl", 6).alias("avgdl"), "terms")
+    X.append(files(spark, d).withColumn("chunk_id", F.col("source_file")).select("scope", "source_file", "chunk_id", "text"), path)
+    index = X.read(spark, path)
+    terms = index["term_stats"].groupBy("scope").agg(F.count(F.lit(1)).alias("terms"))
+    return index["scope_stats"].join(terms, "scope").select("scope", "n", F.round("avgdl", 6).alias("avgdl"), "terms")
 
 
 @query("SELECT source AS scope, doc_id AS chunk_id FROM documents WHERE doc_id % 3 <> 0")

@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from passagebase.functions import text as T
+from passagebase.operators import vectors as V
+from passagebase.sources.shared import kept
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 10
 #: A counted side of a join is broadcast up to so many rows.
 BROADCAST_ROWS = 500_000
-#: Questions whose vectors go to every task at once; more are asked in so many blocks.
-QUESTION_BLOCK = 4096
 
 
-def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(scope, key, term, tf), by explode and a partial aggregation within the task."""
-    toks = chunks.select("scope", key, F.explode(T.tokens(F.col(text))).alias("term"))
-    return toks.groupBy("scope", key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text", keep: tuple = ()) -> DataFrame:
+    """(scope, key, *keep, term, tf): counted inside each row, so nothing is shuffled; linear in the sorted words.
+
+    Equal words stand together once sorted: a run's length is the next run's start less its own.
+    """
+    rows = chunks.select("scope", key, *keep, F.sort_array(T.tokens(F.col(text))).alias("w"))
+    first = lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1))
+    at = F.when(F.size("w") > 0, F.filter(F.sequence(F.lit(0), F.size("w") - 1), first)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("at", at)
+    runs = F.transform("at", lambda i, n: F.struct(F.get("w", i).alias("term"), (F.coalesce(F.get("at", n + 1), F.size("w")) - i).cast("long").alias("tf")))
+    return rows.select("scope", key, *keep, F.inline(runs))
 
 
 def scope_stats(chunks: DataFrame, text: str = "text") -> DataFrame:
@@ -40,14 +45,19 @@ def hinted(side: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(side) if few else side
 
 
-def term_stats(posts: DataFrame, stats: DataFrame, few: bool = False) -> DataFrame:
-    """(scope, term, df, idf) with the floor for terms in more than half of the chunks; few: scopes are few."""
-    df = posts.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df")).join(hinted(stats.select("scope", "n"), few), "scope")
+def idf(frequencies: DataFrame, stats: DataFrame, few: bool = False) -> DataFrame:
+    """(scope, term, df, idf) of (scope, term, df), with the floor for terms in more than half of the chunks; few: scopes are few."""
+    df = frequencies.join(hinted(stats.select("scope", "n"), few), "scope")
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     df = df.withColumn("raw", raw)
     floor = df.groupBy("scope").agg((EPSILON * F.avg("raw")).alias("floor"))
-    idf = F.when(F.col("raw") >= 0, F.col("raw")).otherwise(F.col("floor"))
-    return df.join(hinted(floor, few), "scope").select("scope", "term", "df", idf.alias("idf"))
+    weight = F.when(F.col("raw") >= 0, F.col("raw")).otherwise(F.col("floor"))
+    return df.join(hinted(floor, few), "scope").select("scope", "term", "df", weight.alias("idf"))
+
+
+def term_stats(posts: DataFrame, stats: DataFrame, few: bool = False) -> DataFrame:
+    """(scope, term, df, idf) of postings."""
+    return idf(posts.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df")), stats, few)
 
 
 def question_terms(questions: DataFrame, text: str = "question") -> DataFrame:
@@ -61,8 +71,8 @@ def bm25(chunks: DataFrame, questions: DataFrame, key: str = "chunk_id", text: s
 
     Postings are narrowed to the questions' terms before weights are joined; statistics are over all postings.
     """
-    toks = chunks.select("scope", key, T.tokens(F.col(text)).alias("toks")).select("scope", key, F.size("toks").alias("dl"), "toks")
-    posts = toks.select("scope", key, "dl", F.explode("toks").alias("term")).groupBy("scope", key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    toks = chunks.select("scope", key, text, F.size(T.tokens(F.col(text))).alias("dl"))
+    posts = postings(toks, key, text, ("dl",))
     stats = toks.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     few = few_scopes(chunks)
     return bm25_of(posts, term_stats(posts, stats, few), stats, questions, key, question, few)
@@ -101,69 +111,72 @@ def cosine(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     return chunks.select("scope", "chunk_id", "vec").join(q, "scope").select("question_id", "scope", "chunk_id", F.coalesce(dot(F.col("vec"), F.col("q_vec")), F.lit(0.0)).alias("cos"))
 
 
-def nearest(chunks: DataFrame, questions: DataFrame, k: int, block: int = QUESTION_BLOCK) -> DataFrame:
-    """(question_id, chunk_id, cos, rank): the k best chunks of the whole corpus for each question; ties by chunk_id.
+def depth(k: int, rrf_k: int = RRF_K) -> int:
+    """How deep two ranked lists must be read for the k best fused scores: a chunk below that in both can't be among them.
 
-    Questions go to the tasks as a matrix, `block` at a time; each task multiplies its batches with it and keeps k rows a
-    question, which one window merges. chunks: (chunk_id long, vec), questions: (question_id long, vec), unit vectors;
-    rows without a vector are left out.
+    The kth best has at least 1 / (rrf_k + k), for the k nearest by vector have; one deeper than p in both lists has at
+    most 2 / (rrf_k + p + 1). Scores count as rounded to 6 digits.
+    """
+    p = k
+    while round(2 / (rrf_k + p + 1), 6) >= round(1 / (rrf_k + k), 6):
+        p += 1
+    return p
+
+
+def counted_ranks(hits: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
+    """(question_id, chunk_id, bm25_rank) of wanted hits (a bounded list a question) by counting the hits before them.
+
+    Each hit finds its place among its question's wanted ones; the counts of places, added up, are the ranks. Ties by chunk_id.
+    """
+    me = F.struct((-F.col("score")).alias("s"), F.col("chunk_id").alias("c"))
+    lists = kept(wanted.groupBy("question_id").agg(F.array_sort(F.collect_list(me)).alias("wanted")))
+    placed = hits.join(hinted(lists, few), "question_id").withColumn("me", me)
+    place = F.size(F.filter("wanted", lambda w: w <= F.col("me")))
+    ahead = placed.select("question_id", place.alias("place")).groupBy("question_id", "place").agg(F.count(F.lit(1)).alias("n"))
+    ahead = ahead.groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("n"))
+    at = lists.select("question_id", F.posexplode("wanted").alias("i", "w")).join(ahead, "question_id")
+    rank = F.aggregate(F.sequence(F.lit(0), F.col("i")), F.lit(1).cast("long"), lambda a, x: a + F.coalesce(F.try_element_at("n", x), F.lit(0)))
+    return at.select("question_id", F.col("w.c").alias("chunk_id"), rank.cast("int").alias("bm25_rank"))
+
+
+def hybrid(embedded: DataFrame, hits: DataFrame, questions: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:
+    """(question_id, chunk_id, cos, embed_rank, bm25_rank, bm25_rrf, similarity_score, rank): the k best fused chunks of each question.
+
+    The same rows as a full ranking of both lists gives, by the threshold algorithm: both lists are read to depth(k), and
+    what is found in one only is looked up in the other by counting how much comes before it. No scope is sorted.
+    embedded: (scope, chunk_id, vec), hits: (question_id, chunk_id, score > 0, rounded to 9), questions: (question_id, scope, vec).
     """
-    asked = questions.where("vec is not null").select(F.col("question_id").cast("long"), "vec")
-    held = chunks.where("vec is not null").select(F.col("chunk_id").cast("long"), "vec")
-    blocks = max(1, -(-asked.count() // (block // 2)))
-    parts = [_best(held, asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i).collect(), k) for i in range(blocks)]
-    best = parts[0]
-    for p in parts[1:]:
-        best = best.unionByName(p)
-    return ranked(best, "cos", [F.col("chunk_id")], ["question_id"]).where(F.col("rank") <= k)
-
-
-def _best(chunks: DataFrame, rows: list, k: int) -> DataFrame:
-    """The k best of each task for one block of questions."""
-    ids = np.array([r["question_id"] for r in rows], dtype=np.int64)
-    matrix = np.array([r["vec"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, score = np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0))
-        for batch in batches:
-            for at in range(0, len(batch) if len(ids) else 0, 1024):
-                part = batch.slice(at, 1024)
-                vecs = np.array(part.column("vec").to_pylist(), dtype=np.float64)
-                new = matrix @ vecs.T
-                # Once k are held, only questions that this part can improve are sorted again.
-                better = (new >= score[:, -1:]).any(axis=1) if held.shape[1] == k else np.ones(len(ids), dtype=bool)
-                names = np.broadcast_to(part.column("chunk_id").to_numpy(), (int(better.sum()), len(part)))
-                both = np.concatenate([held[better], names], axis=1)
-                scores = np.concatenate([score[better], new[better]], axis=1)
-                order = np.lexsort((both, -scores), axis=1)[:, :k]
-                both, scores = np.take_along_axis(both, order, axis=1), np.take_along_axis(scores, order, axis=1)
-                if better.all():
-                    held, score = both, scores
-                else:
-                    held[better], score[better] = both, scores
-        n = held.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(held.ravel()), pa.array(score.ravel())], names=["question_id", "chunk_id", "cos"])
-
-    return chunks.mapInArrow(run, "question_id long, chunk_id long, cos double")
-
-
-def retrieve(index: dict[str, DataFrame], questions: DataFrame, top_k: int = 5, reranker: Callable[[Column, Column], Column] | None = None, candidates: int = 30) -> DataFrame:
+    p = depth(k, rrf_k)
+    asked = kept(questions.select("question_id", "scope", "vec"))
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hits = kept(hits.select("question_id", "chunk_id", "score"))
+    by_vector = kept(V.nearest(embedded, asked, p, name="embed_rank"))
+    by_word = kept(ranked(hits, "score", [F.col("chunk_id")], ["question_id"], "bm25_rank").where(F.col("bm25_rank") <= p))
+    pair = ["question_id", "chunk_id"]
+    far = by_word.select(*pair).join(by_vector, pair, "left_anti")
+    by_vector = by_vector.select(*pair, "cos", "embed_rank").unionByName(V.places(embedded, asked, far, name="embed_rank"))
+    deep = hits.join(by_vector.select(*pair), pair, "left_semi").join(by_word, pair, "left_anti")
+    by_word = by_word.select(*pair, "bm25_rank").unionByName(counted_ranks(hits, deep, few))
+    return ranked(fuse(by_vector, by_word, rrf_k), "similarity_score", [F.col("chunk_id")], ["question_id"]).where(F.col("rank") <= k)
+
+
+def retrieve(index: dict[str, DataFrame], questions: DataFrame, top_k: int = 5, reranker: Callable[[Column, Column], Column] | None = None, candidates: int = 30, rrf_k: int = RRF_K) -> DataFrame:
     """(question_id, chunk_id, text, rank, similarity_score, cos[, rerank_score]) from the tables of a written index.
 
     questions: (question_id, scope, question, vec). With a reranker, a column function of question and text, the pool of
     max(candidates, top_k) is put in its order; without one the hybrid order stands.
     """
-    embedded = index["chunks"].select("scope", "chunk_id").join(index["embeddings"].select("chunk_id", "vec"), "chunk_id", "left")
-    by_vector = ranked(cosine(embedded, questions), "cos", [F.col("chunk_id")], ["question_id"], "embed_rank")
+    embedded = index["chunks"].select("scope", "chunk_id").join(index["embeddings"].select("scope", "chunk_id", "vec"), ["scope", "chunk_id"], "left")
     few = few_scopes(index["scope_stats"])
     words = bm25_of(index["postings"], index["term_stats"], index["scope_stats"], questions.select("question_id", "scope", "question"), few=few)
-    by_word = ranked(words.where("score > 0").withColumn("score", F.round("score", 9)), "score", [F.col("chunk_id")], ["question_id"], "bm25_rank")
-    pool = top(fuse(by_vector, by_word), max(candidates, top_k) if reranker else top_k, ["chunk_id"])
-    found = pool.select("question_id", "chunk_id", "rank", "similarity_score", "cos").join(index["chunks"].select("chunk_id", "text"), "chunk_id")
+    hits = words.where("score > 0").withColumn("score", F.round("score", 9))
+    pool = hybrid(embedded, hits, questions, max(candidates, top_k) if reranker else top_k, rrf_k)
+    named = questions.select("question_id", "scope", "question")
+    found = pool.select("question_id", "chunk_id", "rank", "similarity_score", "cos").join(named, "question_id")
+    found = found.join(index["chunks"].select("scope", "chunk_id", "text"), ["scope", "chunk_id"]).drop("scope")
     if reranker is None:
-        return found
-    asked = found.join(questions.select("question_id", "question"), "question_id")
-    return rerank(asked, reranker(F.col("question"), F.col("text")), top_k).drop("question", "pool_rank")
+        return found.drop("question")
+    return rerank(found, reranker(F.col("question"), F.col("text")), top_k).drop("question", "pool_rank")
 
 
 def fuse(embed_ranks: DataFrame, bm25_ranks: DataFrame, k: int = RRF_K) -> DataFrame:

@@ -1,13 +1,10 @@
-"""Readers and writers with explicit schemas: documents, passages, gold items, cases, runs, corpora, the index."""
+"""Readers and writers with explicit schemas: documents, passages, gold items, cases, runs, corpora."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagebase.functions import text as T
-from passagebase.operators import retrieval as R
-
 CHUNKS = "scope string, source_file string, chunk_index int, chunk_id string, text string, page int, pages array<int>, section string"
 GOLD = "id string, doc string, type string, answerable boolean, question string, evidence array<string>, answers array<string>, all_of array<array<string>>, key_points array<array<string>>"
 CASES = "id string, query string, expected_source string, expected_chunk_id string, type string"
@@ -70,36 +67,3 @@ def append_history(row: DataFrame, path: str) -> None:
 def new_only(incoming: DataFrame, present: DataFrame, keys: tuple = ("scope", "chunk_id")) -> DataFrame:
     """What isn't indexed yet, each key once."""
     return incoming.dropDuplicates(list(keys)).join(present.select(*keys), list(keys), "left_anti")
-
-
-def index_tables(chunks: DataFrame) -> dict[str, DataFrame]:
-    """postings, doc_len, term_stats and scope_stats of (scope, chunk_id, text)."""
-    posts, stats = R.postings(chunks), R.scope_stats(chunks)
-    return {"postings": posts, "doc_len": chunks.select("scope", "chunk_id", F.size(T.tokens(F.col("text"))).alias("dl")), "term_stats": R.term_stats(posts, stats), "scope_stats": stats}
-
-
-def write_index(chunks: DataFrame, path: str, mode: str = "overwrite", vectors: DataFrame | None = None) -> None:
-    """All tables of an index together; postings are sorted within files, so that scopes and terms can be skipped to.
-
-    Postings carry their chunk's length, so that scoring needs no join for it. vectors: (chunk_id, vec), unit vectors.
-    """
-    spark = chunks.sparkSession
-    write_chunks(chunks, f"{path}/chunks", mode=mode)
-    if vectors is not None:
-        vectors.select("chunk_id", "vec").write.mode(mode).parquet(f"{path}/embeddings")
-    tables = index_tables(chunks)
-    lengths = chunks.select("scope", "chunk_id", F.size(T.tokens(F.col("text"))).alias("dl"), F.explode(T.tokens(F.col("text"))).alias("term"))
-    tables["postings"] = lengths.groupBy("scope", "chunk_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    tables["postings"].sortWithinPartitions("scope", "term").write.mode(mode).parquet(f"{path}/postings")
-    # Terms are counted from the postings as written, so texts are not taken apart again.
-    tables["scope_stats"].write.mode(mode).parquet(f"{path}/scope_stats")
-    posts, stats = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "scope_stats"))
-    tables = {"doc_len": tables["doc_len"], "term_stats": R.term_stats(posts, stats, R.few_scopes(stats))}
-    for name, df in tables.items():
-        keys = [c for c in ("scope", "term") if c in df.columns]
-        df.sortWithinPartitions(*keys).write.mode(mode).parquet(f"{path}/{name}")
-
-
-def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of an index that was written with vectors, as retrieval.retrieve takes them."""
-    return {t: spark.read.parquet(f"{path}/{t}") for t in ("chunks", "embeddings", "postings", "doc_len", "term_stats", "scope_stats")}
