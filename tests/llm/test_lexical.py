@@ -56,10 +56,11 @@ def corpus(seed, n=120):
     return docs, items
 
 
-@pytest.mark.parametrize(("seed", "k", "block", "vocabulary"), [(1, 10, 1 << 20, 1 << 20), (2, 3, 7, 1 << 20), (3, 4, 50, 0)])
-def test_same_as_all_pairs(spark, seed, k, block, vocabulary):
+@pytest.mark.parametrize(("seed", "k", "bucket", "vocabulary", "together"), [(1, 10, 1 << 20, 1 << 20, 512), (2, 3, 7, 1 << 20, 512), (3, 4, 50, 0, 20)])
+def test_same_as_all_pairs(spark, seed, k, bucket, vocabulary, together):
+    """Many buckets; a vocabulary that is joined; queries in turns."""
     docs, items = corpus(seed)
-    got = X.rank_documents(*frames(spark, docs, items), k=k, block=block, vocabulary=vocabulary)
+    got = X.rank_documents(*frames(spark, docs, items), k=k, bucket=bucket, vocabulary=vocabulary, together=together)
     assert rows(got) == brute(docs, items, k)
 
 
