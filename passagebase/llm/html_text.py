@@ -6,7 +6,9 @@ a tag that is usual inside costs next to nothing. An element of a kind (its name
 that labelled pages have beside the article and not in it is a box: its tag costs what all its words score and BOX_COST
 more, so no best stretch begins or ends with a box, and a box amid the article is passed over for next to nothing. A
 linear scan finds the contiguous stretch of highest total score; its text without the boxes, block by block, is the
-result. Names that custom gives to adverts, notices, comments and the like count as seen PRIOR times beside an article,
+result. Words in links outside an article score by how usual links are in labelled articles and beside them, and nothing
+without labelled links, so menus that are in no box do not begin or end a stretch either. Articles that follow one another
+with no words between them are one region. Names that custom gives to adverts, notices, comments and the like count as seen PRIOR times beside an article,
 so pages unlike the labelled ones have weights too; labelled pages overrule that. HTML's own elements for menus, asides
 and forms are boxes wherever they stand. Scripts and styles are no text. An element that holds the page's first article, or on pages that mark none the main element or most of the words,
 is never a box.
@@ -46,12 +48,14 @@ RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title",
 NEVER = frozenset(("head", "nav", "footer", "aside", "form", "button", "select", "option", "datalist", "dialog", "menu", "fieldset"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"))
-BOX_NAMES = frozenset(("ad", "ads", "advert", "adverts", "advertisement", "advertising", "adbox", "adsense", "banner", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "sidebar", "aside", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "share", "sharing", "social", "comment", "comments", "commentlist", "disqus", "replies", "related", "recommended", "newsletter", "subscribe", "subscription", "signup", "login", "search", "footer", "pagination", "pager", "toolbar", "widget", "widgets", "skip"))
+BOX_NAMES = frozenset(("ad", "ads", "advert", "adverts", "advertisement", "advertising", "adbox", "adsense", "banner", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "sidebar", "aside", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "share", "sharing", "social", "comment", "comments", "commentlist", "disqus", "replies", "related", "recommended", "newsletter", "subscribe", "subscription", "signup", "login", "search", "footer", "pagination", "pager", "toolbar", "widget", "widgets", "skip", "reactions", "responses", "discussion"))
 BOX_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"))
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 NAME = re.compile(r"[a-z]+")
+#: Blocks of running text: a name known for boxes says nothing of them, as "notice" may be what a paragraph is about.
+TEXT_BLOCKS = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "blockquote", "pre", "figcaption")) | INLINE
 #: Class names that start so tell what else the page has or lacks, not what the element is.
 ABOUT = re.compile(r"(?:has|have|no|not|with|without|is|js|hide|show)[-_]")
 #: What stays a box even where it holds most of the words, unless it holds the article.
@@ -72,7 +76,8 @@ def kinds(name: str, attributes: str, in_article: bool) -> list[tuple[str, int]]
         elif key == "role":
             out.append((f"role={value}", PRIOR * (value in BOX_ROLES)))
         elif key in ("class", "id"):
-            out += [(f".{x}", PRIOR * (not BOX_NAMES.isdisjoint(NAME.findall(x)))) for x in value.split() if not ABOUT.match(x)]
+            named = lambda x: x in BOX_NAMES or name not in TEXT_BLOCKS and not BOX_NAMES.isdisjoint(NAME.findall(x))
+            out += [(f".{x}", PRIOR * (named(x) and not (in_article and name in TEXT_BLOCKS))) for x in value.split() if not ABOUT.match(x)]
     return out
 
 
@@ -82,6 +87,7 @@ class Weights:
     def __init__(self, of_kinds: dict[str, tuple[int, int]], of_tags: dict[str, tuple[int, int]]):
         self.of_kinds = of_kinds
         self.cost = {t: float(np.clip(WORDS_A_UNIT * self.odds(*n), LEAST_TAG, MOST_TAG)) for t, n in of_tags.items()}
+        self.link_word = float(np.clip(-self.odds(*of_tags["a"]), -WORD_SCORE, WORD_SCORE)) if "a" in of_tags else 0.0
 
     @staticmethod
     def odds(inside: int, beside: int) -> float:
@@ -143,10 +149,12 @@ def tokens(page: str, weights: Weights) -> list[tuple[str, str, float]]:
     tags, rest = walk(page)
     article, waiting, depth = 0, "", 0
     holds, last_close = None, {name: i for i, (_, name, closing, _) in enumerate(tags) if closing}
+    link, last_article = False, None
 
     def words(text: str) -> None:
         plain = html.unescape(text)
-        out.append(("", plain, WORD_SCORE * len(plain.split())))
+        n = len(plain.split())
+        out.append(("", plain, n * (weights.link_word if link and not article else WORD_SCORE)))
 
     for i, (text, name, closing, attributes) in enumerate(tags):
         if text and not waiting:
@@ -159,6 +167,16 @@ def tokens(page: str, weights: Weights) -> list[tuple[str, str, float]]:
             continue
         if name == "article":
             article = max(0, article + (-1 if closing else 1))
+            between = out[last_article:] if last_article is not None and not closing else []
+            if between and not any(text.split() for _, text, _ in between):
+                # One article after another: what is between them, their own tags too, costs next to nothing.
+                out[last_article:] = [(tag, text, -LEAST_TAG) for tag, text, _ in between]
+                out.append((name, "", -LEAST_TAG))
+                last_article = None
+                continue
+            last_article = len(out) if closing and not article else None
+        elif name == "a":
+            link = not closing
         if not closing and name not in VOID and not attributes.rstrip().endswith("/") and weights.is_box(kinds(name, attributes, article > 0)):
             holds = holds or Holds(tags, rest)
             # An element that is never closed is no box: it would hide the rest of the page.
@@ -208,9 +226,11 @@ def best_stretch(scores: np.ndarray) -> tuple[int, int]:
     top = gain.max()
     if top <= 0:
         return 0, 0
-    end = int(np.flatnonzero(gain >= top - 1e-9)[-1])
-    start = int(np.flatnonzero(upto[: end + 1] <= low[end] + 1e-9)[0])
-    return start, end + 1
+    ends = np.flatnonzero(gain >= top - 1e-9)
+    starts = [int(np.flatnonzero(upto[: e + 1] <= low[e] + 1e-9)[0]) for e in ends[:1]]
+    # The first of equally good stretches, with its longest reach: later ends count while no lower start comes between.
+    reach = ends[low[ends] >= low[ends[0]] - 1e-9]
+    return starts[0], int(reach[-1]) + 1
 
 
 def main_text(page: str, weights: Weights) -> str:

@@ -50,3 +50,36 @@ def test_the_scan_leaves_out_text_beside_the_article_that_is_in_no_box():
 def test_lists_and_links_in_an_article_stay():
     page = f"<body><nav><ul><li><a>Home</a></li></ul></nav><article>{BODY}<ul><li><a>One</a></li><li>Two</li></ul></article></body>"
     assert html_text.main_text(page, weights(LABELLED)) == f"{STORY}\nOne\nTwo"
+
+
+def test_paragraphs_of_an_article_stay_whatever_their_class():
+    page = f'<body><article>{BODY}<p class="notice">Take notice of this.</p><p class="share-price">It rose.</p>{BODY}</article></body>'
+    assert html_text.main_text(page, weights(LABELLED)) == f"{STORY}\nTake notice of this.\nIt rose.\n{STORY}"
+
+
+def test_every_article_of_a_page_stays():
+    page = f"<body><nav>Home</nav><article>{BODY}</article>\n<article>{BODY}</article><div class='ad'>Buy</div><article><p>Short one.</p></article><footer>End</footer></body>"
+    assert html_text.main_text(page, weights(LABELLED)) == f"{STORY}\n{STORY}\nShort one."
+
+
+def test_a_menu_in_no_box_is_left_out_on_pages_that_mark_no_article():
+    menu = "".join(f'<li><a href="/{i}">Item {i}</a></li>' for i in range(12))
+    page = f'<body><div class="top"><ul>{menu}</ul></div><div>{BODY}<p>Read <a href="/x">this page</a> as well.</p></div></body>'
+    for learned in (weights(LABELLED), html_text.Weights({}, {})):
+        assert html_text.main_text(page, learned) == f"{STORY}\nRead this page as well."
+
+
+def test_comments_of_readers_within_an_article_are_left_out():
+    page = f'<body><article>{BODY}<div class="reactions"><p>Nice one</p></div></article></body>'
+    assert html_text.main_text(page, weights(LABELLED)) == STORY
+
+
+def test_the_first_of_equally_good_stretches_with_its_longest_reach():
+    import numpy as np
+
+    best = lambda *scores: html_text.best_stretch(np.array(scores, dtype=float))
+    assert best(1, -5, 1) == (0, 1)
+    assert best(1, -1, 1, -5, 1) == (0, 3)
+    assert best(-1, 2, -2, 0, 2, -3, 2) == (1, 5)
+    assert best(0, 0, 3, 0, -9, 3) == (0, 4)
+    assert best(-1, 0) == (0, 0)
