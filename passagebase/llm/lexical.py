@@ -7,7 +7,7 @@ block is one row, in the order of impact. Then, for at most QUERIES queries at a
 1. the documents in the heads of the lists (the k best of every block) are looked up and scored exactly; the kth score of
    each query among them, tau, is a lower bound of its kth score;
 2. from each of a query's r lists all postings whose part is tau / r or more are fetched: a document without any such
-   part scores less than tau. What was fetched is added up by query and document, before and after one shuffle by bucket; the
+   part scores less than tau. What was fetched is added up by query and document, before and after one shuffle by parts of buckets; the
    largest part that each unfetched list can still add makes an upper bound, and documents below tau are dropped;
 3. the others are looked up in the documents' counts and scored exactly.
 
@@ -34,11 +34,12 @@ from pyspark.sql import functions as F
 
 from passagebase.llm.common import BROADCAST_ROWS, as_bytes, doc_slices, maybe_broadcast, stash, word_parts
 
-#: Documents of a bucket, queries asked together, and the most terms of queries that go to every task.
-DOC_BUCKET, QUERIES = 8_192, 512
+#: Documents of a bucket, parts in which its sums are made, queries asked together, and the most terms of queries that go
+#: to every task.
+DOC_BUCKET, SUM_PARTS, QUERIES = 65_536, 8, 512
 VOCABULARY = BROADCAST_ROWS
-#: Documents scored at a time in a task, and fetched postings added up at a time.
-_TOGETHER, _FETCHED = 1_024, 1 << 20
+#: Documents scored at a time in a task; counts turned into lists and fetched postings added up at a time.
+_TOGETHER, _TURNED, _FETCHED = 1_024, 1 << 21, 1 << 20
 #: What stands between terms is ASCII without letters and digits; A-Z become a-z, all other bytes stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -140,10 +141,16 @@ class Index:
             return pa.RecordBatch.from_arrays([pa.array(term[cuts[:-1]]), pa.array(bucket[cuts[:-1]], pa.int32()), *lists], names=names)
 
         def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
             for batch in batches:
                 row, term, impact = _cells(batch)
-                if len(row):
-                    yield rows(term, np.asarray(batch.column("bucket"))[row], np.asarray(batch.column("doc"))[row], impact)
+                held.append((term, np.asarray(batch.column("bucket"))[row], np.asarray(batch.column("doc"))[row], impact))
+                size += len(row)
+                if size > _TURNED:
+                    yield rows(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, size = [], 0
+            if size:
+                yield rows(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
         def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Pieces of a block follow one another; the last block of a batch may go on in the next."""
@@ -251,7 +258,11 @@ def candidates(index: Index, lists: Lists, tau: np.ndarray) -> DataFrame:
         def given() -> Iterator[pa.RecordBatch]:
             for bucket, parts in held.items():
                 sums = added(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(s)) for s in sums)], names=names)
+                part = sums[0] % SUM_PARTS
+                for p in range(SUM_PARTS):
+                    some = [s[part == p] for s in sums]
+                    if len(some[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array([bucket * SUM_PARTS + p], pa.int32()), *(pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(s)) for s in some)], names=names)
 
         for batch in batches:
             offsets, docs, impacts = np.asarray(batch.column("docs").offsets), np.asarray(batch.column("docs").values), np.asarray(batch.column("impacts").values)
