@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from passagebase.llm.common import as_bytes, doc_slices, drop_rows, maybe_broadcast, stash
 
-#: Quotient bits: merged blocks hold about rows / 2**QUOTIENT_BITS fingerprints each.
-QUOTIENT_BITS = 12
+#: Least quotient bits, and fingerprints of a merged block beyond which there are more: blocks hold about rows / 2**bits.
+QUOTIENT_BITS, BLOCK_ROWS = 12, 1 << 20
 _FLUSH = 2_000_000
 
 SLIM = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sha", pa.binary())])
@@ -128,10 +128,15 @@ def repeated_fingerprints(slim: DataFrame, q_bits: int = QUOTIENT_BITS) -> DataF
     return pieces.repartition("quotient").sortWithinPartitions("quotient").mapInArrow(merge, "fp long, n long")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q_bits: int = QUOTIENT_BITS) -> DataFrame:
+def quotient_bits(rows: int, least: int = QUOTIENT_BITS, block_rows: int = BLOCK_ROWS) -> int:
+    """So many bits that a block of `rows` fingerprints in all holds about block_rows of them at most."""
+    return max(least, (-(-rows // block_rows) - 1).bit_length())
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q_bits: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (see the module for the defined cases)."""
     slim = stash(slim_rows(docs, id_col, text_col))
-    repeated = stash(repeated_fingerprints(slim, q_bits))
+    repeated = stash(repeated_fingerprints(slim, q_bits or quotient_bits(slim.count())))
     n_repeated = repeated.count()
     routed = slim.join(maybe_broadcast(repeated.select("fp"), n_repeated), "fp", "left_semi")
     groups = stash(verify_bytes(docs, routed, n_repeated, id_col, text_col))

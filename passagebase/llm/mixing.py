@@ -13,8 +13,8 @@ at the threshold may be taken in part; extra columns are ignored by `mix` and ke
 
 from __future__ import annotations
 
-import heapq
 import json
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -26,8 +26,8 @@ from passagebase.llm.common import stash
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of sources in order of their names, repeating.
 WEIGHTS = (3, 1, 2)
-#: Patterns that the driver will route; more than this is an error, not a silent cut.
-MAX_PATTERNS = 200_000
+#: Patterns that the driver will route (100,000 take seconds); more than this is an error, not a silent cut.
+MAX_PATTERNS = 2_000_000
 
 
 def repeating_weights(sources: list, weights: tuple = WEIGHTS) -> dict:
@@ -54,59 +54,62 @@ def targets(sizes: dict, weights: dict, share: float = 1.5, cap: float = 2.0) ->
 def route(capacity: dict[tuple, int], quotas: dict, cap: float = 2.0) -> dict[tuple, dict]:
     """Min-cost flow of tokens: {pattern: {source: tokens}}.
 
-    A pattern offers its size once at cost 1, a second time at cost 3, a third at cost 5 ..., up to cap passes. Shortest
-    augmenting paths (Dijkstra with potentials); the graph has one node a pattern and one a source.
+    A pattern offers its size once at cost 1, a second time at cost 3, a third at cost 5 ..., up to cap passes. Costs lie on
+    what patterns offer, not on where it goes, so passes are routed one after the other, each as far as it will go:
+    augmenting paths from pattern to pattern, over the sources alone. Of a path's step from source s to t only some pattern
+    matters that sends tokens to s and is a member of t; these are kept by pair. A pattern that no path leads from has none
+    later either, so each is worked off once a pass.
     """
-    patterns, sources = list(capacity), list(quotas)
-    n = len(patterns) + len(sources) + 2
-    start, end = n - 2, n - 1
-    graph: list[list[int]] = [[] for _ in range(n)]
-    to, room, cost = [], [], []
-
-    def arc(a: int, b: int, c: int, w: int) -> None:
-        for x, y, r, k in ((a, b, c, w), (b, a, 0, -w)):
-            graph[x].append(len(to))
-            to.append(y)
-            room.append(r)
-            cost.append(k)
-
-    at = {s: len(patterns) + i for i, s in enumerate(sources)}
-    member = {}
-    for i, p in enumerate(patterns):
-        for k in range(int(-(-cap // 1))):
-            arc(start, i, int(capacity[p] * min(1.0, cap - k)), 2 * k + 1)
-        for s in p:
-            member[i, s] = len(to)
-            arc(i, at[s], 1 << 62, 0)
-    for s in sources:
-        arc(at[s], end, int(quotas[s]), 0)
-    price = [0] * n
-    while True:
-        far: list = [None] * n
-        far[start], back, heap = 0, {}, [(0, start)]
-        while heap:
-            d, x = heapq.heappop(heap)
-            if d > far[x]:
+    left = {s: int(n) for s, n in quotas.items()}
+    flow: dict[tuple, dict] = {p: dict.fromkeys(p, 0) for p in capacity}
+    senders: dict[tuple, dict[tuple, None]] = {(s, t): {} for s in quotas for t in quotas if s != t}
+    linked: dict = {s: set() for s in quotas}
+
+    def send(p: tuple, s, amount: int) -> None:
+        was, now = flow[p][s], flow[p][s] + amount
+        flow[p][s] = now
+        if (was > 0) == (now > 0):
+            return
+        for t in p:
+            if t == s:
                 continue
-            for e in graph[x]:
-                if room[e] > 0:
-                    nd = d + cost[e] + price[x] - price[to[e]]
-                    if far[to[e]] is None or nd < far[to[e]]:
-                        far[to[e]] = nd
-                        back[to[e]] = e
-                        heapq.heappush(heap, (nd, to[e]))
-        if far[end] is None:
-            break
-        price = [p + (f if f is not None else far[end]) for p, f in zip(price, far, strict=True)]
-        amount, x = 1 << 62, end
-        while x != start:
-            amount, x = min(amount, room[back[x]]), to[back[x] ^ 1]
-        x = end
-        while x != start:
-            room[back[x]] -= amount
-            room[back[x] ^ 1] += amount
-            x = to[back[x] ^ 1]
-    return {p: {s: room[member[i, s] ^ 1] for s in p} for i, p in enumerate(patterns)}
+            if now > 0:
+                senders[s, t][p] = None
+                linked[s].add(t)
+            else:
+                del senders[s, t][p]
+                if not senders[s, t]:
+                    linked[s].discard(t)
+
+    def path(p: tuple) -> list | None:
+        """Sources from one of p to one with room, by breadth first."""
+        come, queue = dict.fromkeys(p), deque(p)
+        while queue:
+            s = queue.popleft()
+            if left[s] > 0:
+                steps = [s]
+                while come[steps[-1]] is not None:
+                    steps.append(come[steps[-1]])
+                return steps[::-1]
+            for t in linked[s]:
+                if t not in come:
+                    come[t] = s
+                    queue.append(t)
+        return None
+
+    for k in range(int(-(-cap // 1))):
+        for p, n in capacity.items():
+            room = int(n * min(1.0, cap - k))
+            while room > 0 and (steps := path(p)):
+                via = [next(iter(senders[s, t])) for s, t in zip(steps, steps[1:], strict=False)]
+                amount = min([room, left[steps[-1]], *(flow[q][s] for q, s in zip(via, steps, strict=False))])
+                for q, s, t in zip(via, steps, steps[1:], strict=False):
+                    send(q, s, -amount)
+                    send(q, t, amount)
+                send(p, steps[0], amount)
+                left[steps[-1]] -= amount
+                room -= amount
+    return flow
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, members: Column, seed: int) -> DataFrame:

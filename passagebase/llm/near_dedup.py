@@ -115,6 +115,10 @@ def segments(max_bits: int) -> list[tuple[int, int]]:
     return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
+#: Reached and unreached nodes of a crowded run that are compared at a time: 8 bytes a pair.
+SWEEP_NODES, SWEEP_REST = 64, 1 << 16
+
+
 class Forest:
     """Union-find over positions; remembers the links that joined two trees."""
 
@@ -142,12 +146,14 @@ def sweep(fps: np.ndarray, members: np.ndarray, max_bits: int, forest: Forest) -
     while len(rest):
         front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
-            block, front = front[:256], front[256:]
-            near = np.bitwise_count(fps[block][:, None] ^ fps[rest][None, :]) <= max_bits
-            hit = near.any(axis=0)
+            block, front = front[:SWEEP_NODES], front[SWEEP_NODES:]
+            hit, via = np.zeros(len(rest), dtype=bool), np.empty(len(rest), dtype=np.int64)
+            for at in range(0, len(rest), SWEEP_REST):
+                part = slice(at, at + SWEEP_REST)
+                near = np.bitwise_count(fps[block][:, None] ^ fps[rest[part]][None, :]) <= max_bits
+                hit[part], via[part] = near.any(axis=0), block[near.argmax(axis=0)]
             if hit.any():
-                via = block[near[:, hit].argmax(axis=0)]
-                for a, b in zip(via.tolist(), rest[hit].tolist(), strict=True):
+                for a, b in zip(via[hit].tolist(), rest[hit].tolist(), strict=True):
                     forest.link(a, b)
                 front, rest = np.concatenate([front, rest[hit]]), rest[~hit]
 
