@@ -39,9 +39,11 @@ _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _NONE = "~"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1: eight times five hex digits are four characters each."""
-    digest = F.sha1(payload.cast("binary"))
+def base32(digest: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hex: eight times five hex digits are four characters each.
+
+    The digest must be a column that is there already: it is read for every character.
+    """
     letters = F.array(*(F.lit(c) for c in _BASE32))
 
     def four(i: Column) -> Column:
@@ -79,7 +81,7 @@ def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def record(date: str) -> Column:
-    """A planned row as the text of its record, without the gap that ends it."""
+    """A planned row with its digest as the text of its record, without the gap that ends it."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), c, F.lit(">"))
     url = F.replace(F.col("url"), F.lit(MAGIC), F.lit(MAGIC.replace("/", "%2F")))
@@ -95,7 +97,7 @@ def record(date: str) -> Column:
         line("WARC-Date", F.lit(date)),
         F.when(F.col("url").isNull(), "").otherwise(line("WARC-Target-URI", url)),
         F.when(~revisit, "").otherwise(F.concat(line("WARC-Refers-To", urn(F.col("refers_to"))), line("WARC-Profile", F.lit(_PROFILE)))),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_sha1(F.col("html")))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", length.cast("string")),
         F.lit("\r\n"),
@@ -106,7 +108,9 @@ def record(date: str) -> Column:
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
     """Every row of pages as a record; one archive for each task that writes."""
-    planned(pages, id_col, url_col, html_col, min_bytes).select(record(date).alias("value")).write.option("lineSep", _GAP).text(path)
+    rows = planned(pages, id_col, url_col, html_col, min_bytes).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
+    rows = rows.withColumn("digest", base32(F.col("sha1")))
+    rows.select(record(date).alias("value")).write.option("lineSep", _GAP).text(path)
 
 
 _FIELDS = ["type", "id", "refers_to", "url", "digest", "payload_bytes", "payload_sha", "payload"]
@@ -137,7 +141,7 @@ def parsed(value: Column, payloads: bool) -> dict[str, Column]:
         "url": F.when(fits, F.nullif(field("WARC-Target-URI"), F.lit(""))),
         "digest": F.when(fits, F.regexp_extract(field("WARC-Payload-Digest"), "^sha1:(.*)$", 1)),
         "payload_bytes": F.coalesce(F.octet_length(payload).cast("long"), F.nullif(told, F.lit("")).cast("long")),
-        "payload_sha": base32_sha1(payload),
+        "payload_sha": F.sha1(payload.cast("binary")),
         "payload": payload if payloads else F.lit(None).cast("string"),
     }
 
@@ -284,7 +288,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     broken = records.where("not whole")
     if broken.limit(1).count():
         records = records.where("whole").unionByName(_put_together(cut, placed, splits, records, payloads))
-    return records.select("file", "offset", *_FIELDS)
+    return records.withColumn("payload_sha", base32(F.col("payload_sha"))).select("file", "offset", *_FIELDS)
 
 
 def _check_ends(splits: DataFrame, links: DataFrame, starts: DataFrame) -> None:
