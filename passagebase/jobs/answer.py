@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from passagebase.functions import text as T
 from passagebase.jobs.base import answers, files, query, questions, read, scratch
-from passagebase.jobs.rank import _FUSED, pool
+from passagebase.jobs.rank import _FUSED, _NORM, asked_vectors, pool, vectors, word_share
 from passagebase.operators import answering as A
+from passagebase.operators import chunking as C
 from passagebase.operators import scoring as S
+from passagebase.operators.grid import Setting, run_all
+from passagebase.sources import index as X
 from passagebase.sources import tables as I  # noqa: E741
 
 #: Thresholds for these queries: the given vectors lie closer together than a real model's.
@@ -349,18 +352,51 @@ def v13_rescore_saved(spark, d):
     return S.rescored(I.saved_rows(spark, path, array=False), g).groupBy("pipeline").agg(F.count_if("flipped").alias("flipped"), *S.answer_metrics())
 
 
-@query(f"WITH {_FUSED}, o AS (SELECT * FROM (VALUES (5), (10), (60)) AS v(rrf_k)), x AS (SELECT rrf_k, question_id, chunk_id, row_number() OVER (PARTITION BY rrf_k, question_id ORDER BY round(1.0::DOUBLE / (rrf_k + embed_rank) + coalesce(1.0::DOUBLE / (rrf_k + bm25_rank), 0), 6) DESC, chunk_id) AS rank FROM fu CROSS JOIN o) SELECT rrf_k, question_id, chunk_id, rank FROM x WHERE rank <= 5")
-def v14_ablation(spark, d):
-    """Retrieval under several fusion constants; the option table joins after ranking."""
-    from pyspark.sql import Window as W
+SETTINGS = [
+    Setting("usual", 120, use_gate=False), Setting("three", 120, top_k=3), Setting("flat", 120, rrf_k=60), Setting("sharp", 120, rrf_k=1),
+    Setting("narrow", 120, candidates=7), Setting("gated", 120, use_gate=True), Setting("long", 400), Setting("long gated", 400, rrf_k=60, top_k=8, use_gate=True),
+]
+_OPTIONS = ", ".join(f"('{s.run}', {s.max_tokens}, {s.rrf_k}, {s.depth()}, {s.top_k}, {str(s.use_gate).lower()})" for s in SETTINGS)
+_GRID = rf"""o AS (SELECT * FROM (VALUES {_OPTIONS}) AS v(run, m, k, depth, top_k, use_gate)),
+ms AS (SELECT DISTINCT m FROM o),
+ws AS (SELECT source AS scope, doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+ch AS (SELECT m, scope, doc_id, doc_id * 100000 + i AS chunk_id, array_to_string(list_slice(w, i * (m - m // 10) + 1, i * (m - m // 10) + m), ' ') AS text
+  FROM (SELECT *, unnest(range(0, CAST(ceil(len(w)::DOUBLE / (m - m // 10)) AS BIGINT))) AS i FROM ws, ms WHERE len(w) > 0)),
+tk AS (SELECT m, scope, doc_id, chunk_id, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS toks FROM ch),
+tf AS (SELECT m, scope, chunk_id, term, count(*) AS tf FROM (SELECT m, scope, chunk_id, unnest(toks) AS term FROM tk) GROUP BY ALL),
+st AS (SELECT m, scope, count(*) AS n, avg(len(toks)) AS avgdl FROM tk GROUP BY ALL),
+raw AS (SELECT df.*, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT m, scope, term, count(*) AS df FROM tf GROUP BY ALL) df JOIN st USING (m, scope)),
+idf AS (SELECT raw.m, raw.scope, term, CASE WHEN raw >= 0 THEN raw ELSE 0.25 * avg(raw) OVER (PARTITION BY raw.m, raw.scope) END AS idf FROM raw),
+qu AS (SELECT item_id AS question_id, 'src' || (item_id % 20) AS scope, text AS question, {_IS_BROAD} AS broad, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS words FROM benchmark),
+qt AS (SELECT question_id, scope, term, count(*) AS times FROM (SELECT item_id AS question_id, 'src' || (item_id % 20) AS scope, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY ALL),
+bm AS (SELECT m, question_id, chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(toks) / avgdl))), 9) AS score FROM qt JOIN tf USING (scope, term) JOIN idf USING (m, scope, term) JOIN st USING (m, scope) JOIN tk USING (m, scope, chunk_id) GROUP BY ALL),
+br AS (SELECT m, question_id, chunk_id, row_number() OVER (PARTITION BY m, question_id ORDER BY score DESC, chunk_id) AS br FROM bm WHERE score > 0),
+ve AS (SELECT vec_id, {_NORM} AS vec FROM embeddings),
+er AS (SELECT m, question_id, chunk_id, cos, row_number() OVER (PARTITION BY m, question_id ORDER BY cos DESC, chunk_id) AS er FROM
+  (SELECT m, question_id, chunk_id, round(coalesce(list_dot_product(a.vec, b.vec), 0.0::DOUBLE), 12) AS cos FROM qu JOIN ch USING (scope) LEFT JOIN ve a ON a.vec_id = question_id LEFT JOIN ve b ON b.vec_id = doc_id)),
+po AS (SELECT m, k, question_id, chunk_id, cos, row_number() OVER (PARTITION BY m, k, question_id ORDER BY round(1.0::DOUBLE / (k + er) + coalesce(1.0::DOUBLE / (k + br), 0), 6) DESC, chunk_id) AS pool_rank FROM er LEFT JOIN br USING (m, question_id, chunk_id) JOIN (SELECT DISTINCT m, k FROM o) USING (m)),
+sc AS (SELECT run, po.question_id, po.chunk_id, round(cos, 4) AS embed_score, pool_rank, top_k, NOT use_gate OR broad AS free, len(list_intersect(words, toks)) / greatest(1, len(words))::DOUBLE AS pair
+  FROM po JOIN o USING (m, k) JOIN qu USING (question_id) JOIN tk ON tk.m = po.m AND tk.chunk_id = po.chunk_id WHERE pool_rank <= depth),
+rr AS (SELECT *, row_number() OVER (PARTITION BY run, question_id ORDER BY pair DESC, pool_rank) AS rank FROM sc),
+tp AS (SELECT * FROM rr WHERE rank <= top_k),
+ga AS (SELECT run, question_id, max(embed_score) AS top1, list_avg(list_slice(list_reverse_sort(list(embed_score)), 1, 3)) AS top3 FROM tp GROUP BY ALL)"""
+
+
+def sized_index(spark, d, size):
+    """Chunks of about `size` words with a tenth carried over, indexed; a chunk has its document's vector."""
+    own = files(spark, d).select("source_file", "doc_id")
+    c = C.word_windows(files(spark, d), size, size // 10).join(own, "source_file")
+    c = c.select("scope", (F.col("doc_id") * 100000 + F.col("chunk_index")).alias("chunk_id"), "doc_id", "text")
+    path = scratch(spark)
+    X.append(c, path, vectors=c.select("chunk_id", F.col("doc_id").alias("vec_id")).join(vectors(spark, d), "vec_id"))
+    return X.read(spark, path)
 
-    from passagebase.jobs.rank import fused
 
-    options = spark.createDataFrame([(5,), (10,), (60,)], "rrf_k int")
-    f = fused(spark, d).select("question_id", "chunk_id", "embed_rank", "bm25_rank").crossJoin(F.broadcast(options))
-    score = F.round(1 / (F.col("rrf_k") + F.col("embed_rank")) + F.coalesce(1 / (F.col("rrf_k") + F.col("bm25_rank")), F.lit(0.0)), 6)
-    rank = F.row_number().over(W.partitionBy("rrf_k", "question_id").orderBy(score.desc(), "chunk_id"))
-    return f.withColumn("rank", rank).where("rank <= 5").select("rrf_k", "question_id", "chunk_id", "rank")
+@query(f"""WITH {_GRID} SELECT run, question_id, chunk_id, rank, embed_score, round(pair, 4) AS rerank_score, status, status = 'answer' AND (free OR embed_score >= {CONTEXT}) AS used
+FROM (SELECT tp.*, CASE WHEN free THEN 'answer' WHEN top1 < {HARD} AND top3 < {HARD} THEN 'below_floor' WHEN top1 < {CONTEXT} THEN 'weak' ELSE 'answer' END AS status FROM tp JOIN ga USING (run, question_id))""")
+def v14_ablation(spark, d):
+    """Eight settings of chunk size, fusion constant, pool, top k and gate; each size is chunked and indexed once."""
+    return run_all(SETTINGS, asked_vectors(spark, d), lambda size: sized_index(spark, d, size), word_share, HARD, CONTEXT)
 
 
 @query(f"WITH {_GOLD} SELECT 'p' || (conv_id % 2) AS pipeline, {_AM} FROM v GROUP BY 1")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from passagebase.jobs.answer import _ANSWERS
 from passagebase.jobs.base import answers, files, query, questions, read, scratch
-from passagebase.jobs.rank import _bm25, _STATS, chunks
+from passagebase.jobs.rank import _bm25, _FUSED, _STATS, asked_vectors, chunks, written_index
 from passagebase.operators import answering as A
 from passagebase.operators import chunking as C
 from passagebase.operators import retrieval as R
@@ -152,25 +152,76 @@ def o4_batch_chat(spark, d):
     return A.answer_questions(asked(spark, d), use_gate=False, parallel=4)
 
 
+@query(f"WITH {_STATS} SELECT scope, n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM df WHERE df.scope = st.scope) AS terms FROM st WHERE scope IN (SELECT source FROM documents GROUP BY source ORDER BY max(doc_id) DESC LIMIT 5)")
+def o2_expired_from_index(spark, d):
+    """An index of all sources as sessions, then only the five with the newest document stay in every table."""
+    path, own = scratch(spark), files(spark, d)
+    X.append(own.withColumn("chunk_id", F.col("source_file")).select("scope", "source_file", "chunk_id", "text"), path)
+    stay = O.newest(own.groupBy(F.col("scope").alias("session_id")).agg(F.max("doc_id").alias("mtime")))
+    X.drop_scopes(spark, path, O.expired(spark.read.parquet(f"{path}/chunks"), stay))
+    index = X.read(spark, path)
+    held = index["term_stats"].groupBy("scope").agg(F.count(F.lit(1)).alias("terms"))
+    return index["scope_stats"].join(held, "scope").select("scope", "n", F.round("avgdl", 6).alias("avgdl"), "terms")
+
+
+def session_files(spark, d) -> str:
+    """Documents as text files of about 256, in a folder a source: what uploads of several sessions look like."""
+    path, docs = scratch(spark), read(spark, d, "documents")
+    parts = max(1, docs.count() // (256 * 20))
+    rows = docs.select(F.col("source").alias("scope"), F.pmod("doc_id", F.lit(parts)).alias("part"), "text")
+    rows.repartition("scope", "part").write.partitionBy("part", "scope").text(path)
+    return path
+
+
 @query()
 def o5_stream_ingest(spark, d):
-    """Text files ingested twice: the second run finds nothing new."""
-    source, path = text_folder(spark, d), scratch(spark)
-    for _ in range(2):
-        ingest.ingest(spark, source, path, f"{path}/checkpoint").awaitTermination()
-    return ingest.existing(spark, f"{path}/chunks").select("scope", "source_file", "chunk_index", "text")
+    """Text files of several scopes ingested twice: the second run finds nothing new."""
+    source, path = session_files(spark, d), scratch(spark)
+    for run in range(2):
+        ingest.ingest(spark, source, path, f"{path}/checkpoint{run}").awaitTermination()
+    return spark.read.parquet(f"{path}/chunks").select("scope", "source_file", "chunk_index", "text")
+
+
+@query("SELECT source AS scope, true AS same FROM documents GROUP BY source")
+def o5_statistics_of_batches(spark, d):
+    """The index appended in three batches, the first two compacted: counts by scope and term are those of one batch."""
+    whole, path = scratch(spark), scratch(spark)
+    c = chunks(spark, d)
+    X.append(c, whole)
+    for i in range(3):
+        X.append(c.where(F.pmod("chunk_id", F.lit(3)) == i), path, i)
+    X.compact(spark, path, 1)
+    one, many = X.read(spark, whole), X.read(spark, path)
+    terms = one["term_stats"].join(many["term_stats"].withColumnRenamed("df", "df2").drop("idf"), ["scope", "term"], "full")
+    terms = terms.groupBy("scope").agg(F.min(F.col("df").eqNullSafe(F.col("df2"))).alias("t"))
+    stats = one["scope_stats"].join(many["scope_stats"].select("scope", F.col("n").alias("n2"), F.col("avgdl").alias("a2")), "scope", "full")
+    return stats.join(terms, "scope").select("scope", (F.col("t") & (F.col("n") == F.col("n2")) & (F.col("avgdl") == F.col("a2"))).alias("same"))
 
 
 @query(f"WITH {_bm25(True)}, r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm WHERE score > 0) SELECT question_id, chunk_id, rank FROM r WHERE rank <= 5")
 def o6_stream_questions(spark, d):
-    """Questions as a stream against the chunks of their scope."""
+    """Questions as a stream against the written postings of their scopes; no text is taken apart for a batch."""
     source, path = scratch(spark), scratch(spark)
     questions(spark, d).write.parquet(source)
+    X.append(chunks(spark, d), f"{path}/index")
     stream = spark.readStream.schema("question_id long, question string, scope string").parquet(source)
 
     def best(batch):
-        own = R.bm25(chunks(batch.sparkSession, d), batch).where("score > 0").withColumn("score", F.round("score", 9))
+        index = X.read(batch.sparkSession, f"{path}/index", batch)
+        own = R.bm25_of(index["postings"], index["term_stats"], index["scope_stats"], batch).where("score > 0").withColumn("score", F.round("score", 9))
         return R.ranked(own, "score", [F.col("chunk_id")], ["question_id"]).where("rank <= 5").select("question_id", "chunk_id", "rank")
 
     ingest.answer_stream(stream, best, f"{path}/answers", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/answers").select("question_id", "chunk_id", "rank")
+
+
+@query(f"WITH {_FUSED} SELECT question_id, chunk_id, rank, similarity_score FROM rk WHERE rank <= 5")
+def o6_stream_retrieval(spark, d):
+    """Questions as a stream, each batch answered by hybrid retrieval from the index as it was written."""
+    source, path = scratch(spark), scratch(spark)
+    asked_vectors(spark, d).write.parquet(source)
+    index = written_index(spark, d)
+    stream = spark.readStream.schema("question_id long, question string, scope string, vec array<double>").parquet(source)
+    found = lambda batch: R.retrieve(X.read(batch.sparkSession, index, batch), batch).select("question_id", "chunk_id", "rank", "similarity_score")
+    ingest.answer_stream(stream, found, f"{path}/answers", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/answers").select("question_id", "chunk_id", "rank", "similarity_score")

@@ -135,63 +135,6 @@ def d13_examples(spark, d):
     return examples(spark, d).select("question_id", "kind", D.example(F.col("user"), F.col("target")).alias("messages"))
 
 
-@query()
-def d14_squad_examples(spark, d):
-    """Own context among 2 to 4 others of its title, in seeded order with seeded pages, with the answer or a refusal."""
-    return squad(spark, d)
-
-
-def squad(spark, d, quotas=None):
-    from pyspark.sql import Window as W
-
-    q, ctx = asks(spark, d), contexts(spark, d)
-    pick = F.row_number().over(W.partitionBy("question_id").orderBy(D.shuffled(7, "question_id", "context_id"), "context_id"))
-    rest = others(spark, d).withColumn("pick", pick).where(F.col("pick") <= 2 + F.pmod(F.xxhash64("question_id"), F.lit(3))).select("question_id", "context_id")
-    all_ids = rest.unionByName(q.select("question_id", "context_id")).withColumn("o", D.shuffled(8, "question_id", "context_id")).join(ctx.select("context_id", "title", "context"), "context_id")
-    block = F.struct("o", T.file_name(F.col("title")).alias("source_file"), (F.pmod(F.xxhash64(F.lit(9), "question_id", "context_id"), F.lit(39)) + 1).cast("int").alias("page"), F.col("context").alias("text"))
-    got = all_ids.groupBy("question_id").agg(F.array_sort(F.collect_list(block)).alias("chunks"))
-    own = q.join(ctx.select("context_id", "context"), "context_id").withColumn("sentence", T.sentence_around(F.col("context"), F.floor(F.length("context") / 2).cast("int"), F.lit(3)))
-    e = own.join(got, "question_id").where("sentence is not null or not answerable")
-    target = F.when(F.col("answerable"), D.with_sources(F.col("sentence"), F.array(T.file_name(F.col("title"))))).otherwise(F.lit(A.REFUSAL))
-    out = e.select("question_id", F.when(F.col("answerable"), "squad_answerable").otherwise("squad_unanswerable").alias("kind"), D.example(A.prompt(F.col("chunks"), F.col("question")), target).alias("messages"))
-    return D.quota(out, quotas or {"squad_answerable": 1500, "squad_unanswerable": 600}, 42, "question_id")
-
-
-@query()
-def d15_hotpot_examples(spark, d):
-    """Answer sentence from supporting facts, spread over two titles, with distractors; or the facts withheld."""
-    docs = files(spark, d).select("scope", "source_file", T.sentences(F.col("text")).alias("s"), "doc_id")
-    fact = F.struct("source_file", F.lit(None).cast("int").alias("page"), F.array_join("s", " ").alias("text"), F.try_element_at("s", F.lit(2)).alias("fact"), "doc_id")
-    q = questions(spark, d).select("question_id", "question")
-    facts = q.join(docs, F.col("question_id") == F.col("doc_id")).select("question_id", "question", F.array(fact).alias("facts"))
-    wrong = D.distractors(q, "question_id", docs.select("doc_id", "source_file", F.array_join("s", " ").alias("text")), "doc_id", 3).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("pick", "source_file", F.lit(None).cast("int").alias("page"), "text", "doc_id"))).alias("wrong"))
-    e = facts.join(wrong, "question_id")
-    shown = F.transform("wrong", lambda x: F.struct(x["source_file"], x["page"], x["text"]))
-    full = F.concat(F.transform("facts", lambda x: F.struct(x["source_file"], x["page"], x["text"])), shown)
-    said = F.element_at("facts", 1)["fact"]
-    missing = F.col("question_id") % 4 == 0
-    e = e.withColumn("target", F.when(missing, F.lit(A.REFUSAL)).when(F.size(T.words(said)).between(4, 60), D.with_sources(said, F.array(F.element_at("facts", 1)["source_file"]))))
-    return e.where("target is not null").select("question_id", F.when(missing, "hotpot_missing").otherwise("hotpot_answerable").alias("kind"), D.example(A.prompt(F.when(missing, shown).otherwise(full), F.col("question")), F.col("target")).alias("messages"))
-
-
-@query()
-def d16_dolly_examples(spark, d):
-    """User and assistant turns as instruction and response, a document's passages as context, one other as distractor."""
-    c = read(spark, d, "conversations")
-    ask = c.where("role = 'user'").select("conv_id", F.col("turn"), F.col("text").alias("instruction"))
-    say = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
-    rows = ask.join(say, ["conv_id", "turn"]).withColumn("kind", F.element_at(F.array(F.lit("dolly_grounded"), F.lit("dolly_summary"), F.lit("dolly_mismatch")), (F.col("conv_id") % 3 + 1).cast("int")))
-    parts = C.passages(files(spark, d), "doc_id").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("own"))
-    wrong = D.distractors(rows.select("conv_id").distinct(), "conv_id", files(spark, d).select("doc_id", "text"), "doc_id", 3).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pick", "text"))).alias("wrong"))
-    e = rows.join(parts, rows.conv_id == parts.key).join(wrong, "conv_id")
-    name = F.concat(F.col("conv_id").cast("string"), F.lit(".pdf"))
-    block = lambda x: F.struct(name.alias("source_file"), F.lit(None).cast("int").alias("page"), x["text"].alias("text"))
-    own, bad = F.transform("own", block), F.transform("wrong", block)
-    shown = F.when(F.col("kind") == "dolly_mismatch", bad).when(F.col("kind") == "dolly_summary", own).otherwise(F.concat(own, F.slice(bad, 1, 1)))
-    target = F.when(F.col("kind") == "dolly_mismatch", F.lit(A.REFUSAL)).otherwise(D.with_sources(F.col("response"), F.array(name)))
-    return e.select("conv_id", "turn", "kind", D.example(A.prompt(shown, F.col("instruction")), target).alias("messages"))
-
-
 def squad_rows(spark, d):
     """Documents as rows of the SQUAD shape: their first words as question, the sixth word as answer; every third has none."""
     words = T.words(F.col("text"))
@@ -221,17 +164,23 @@ def dolly_rows(spark, d):
     return said.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("question").alias("instruction"), "context", F.col("answer").alias("response"), kind.alias("category"))
 
 
+CORPORA = {"squad": (squad_rows, I.SQUAD), "hotpot": (hotpot_rows, I.HOTPOT), "dolly": (dolly_rows, I.DOLLY)}
+
+
+def corpus(spark, d, name):
+    """One of the three corpora, written as JSON and read by its schema."""
+    rows, schema = CORPORA[name]
+    path = scratch(spark)
+    rows(spark, d).write.json(path)
+    return I.read_json(spark, path, f"id string, {schema}", array=False)
+
+
 def corpora(spark, d):
-    """The three corpora, written as JSON and read by their schemas."""
-    made = {"squad": (squad_rows, I.SQUAD), "hotpot": (hotpot_rows, I.HOTPOT), "dolly": (dolly_rows, I.DOLLY)}
-    for name, (rows, schema) in made.items():
-        path = scratch(spark)
-        rows(spark, d).write.json(path)
-        yield name, I.read_json(spark, path, f"id string, {schema}", array=False)
+    return ((name, corpus(spark, d, name)) for name in CORPORA)
 
 
 def mixed_examples(spark, d):
-    rows, m = dict(corpora(spark, d)), D.MIX
+    rows, m = dict(corpora(spark, d)), D.MIX  # all three
     return K.mixed([
         K.squad_examples(rows["squad"], m["squad_answerable"], m["squad_unanswerable"]),
         K.hotpot_examples(rows["hotpot"], m["hotpot_answerable"], m["hotpot_missing"]),
@@ -239,6 +188,24 @@ def mixed_examples(spark, d):
     ])
 
 
+@query()
+def d14_squad_examples(spark, d):
+    """Own context among 2 to 4 others of its title, in seeded order with seeded pages, with the answer's sentence or a refusal."""
+    return K.squad_examples(corpus(spark, d, "squad"), D.MIX["squad_answerable"], D.MIX["squad_unanswerable"])
+
+
+@query()
+def d15_hotpot_examples(spark, d):
+    """Supporting paragraphs with distractors and the sentence that holds the answer; or the support withheld."""
+    return K.hotpot_examples(corpus(spark, d, "hotpot"), D.MIX["hotpot_answerable"], D.MIX["hotpot_missing"])
+
+
+@query()
+def d16_dolly_examples(spark, d):
+    """Grounded answers, summaries, and refusals where only other contexts are shown."""
+    return K.dolly_examples(corpus(spark, d, "dolly"), D.MIX["dolly_grounded"], D.MIX["dolly_summary"], D.MIX["dolly_mismatch"])
+
+
 @query()
 def d17_mixed_examples(spark, d):
     """Examples of all corpora under the mixture's quotas (the operator's own limit), in seeded order."""

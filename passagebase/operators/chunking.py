@@ -43,43 +43,65 @@ def default_tokens(s: str) -> int:
     return int(len(s.split()) * 1.4) + 1
 
 
-def word_runs(sentence: str, count: Callable[[str], int], limit: int) -> list[str]:
-    """Words of an over-long sentence in runs within the limit; a word beyond it stands alone."""
-    out: list[str] = []
-    for word in sentence.split():
-        longer = f"{out[-1]} {word}" if out else word
-        if out and count(longer) <= limit:
-            out[-1] = longer
+def each(count: Callable[[str], int]) -> Callable[[list[str]], list[int]]:
+    """A counter of many texts from a counter of one."""
+    return lambda texts: [count(t) for t in texts]
+
+
+def longest_run(parts: list[str], at: int, fits: Callable[[str], bool]) -> int:
+    """The end of the longest run of parts from `at` whose text fits, one part at least.
+
+    Steps double until a run no longer fits, then the end is found by halving: a counter is asked a logarithmic number of
+    times. It must not fall as words are added, as counters of tokens do.
+    """
+    low, step = at + 1, 1
+    while low < len(parts):
+        ahead = min(low + step, len(parts))
+        if not fits(" ".join(parts[at:ahead])):
+            break
+        low, step = ahead, 2 * step
+    else:
+        return low
+    high = ahead - 1
+    while low < high:
+        middle = (low + high + 1) // 2
+        if fits(" ".join(parts[at:middle])):
+            low = middle
         else:
-            out.append(word)
+            high = middle - 1
+    return low
+
+
+def runs(parts: list[str], fits: Callable[[str], bool]) -> list[str]:
+    out, at = [], 0
+    while at < len(parts):
+        end = longest_run(parts, at, fits)
+        out.append(" ".join(parts[at:end]))
+        at = end
     return out
 
 
-def split_long(text: str, count: Callable[[str], int], limit: int) -> list[str]:
+def split_long(text: str, many: Callable[[list[str]], list[int]], limit: int) -> list[str]:
     """Pieces within the limit: sentences, or the runs of words of over-long ones, joined while they fit."""
-    out: list[str] = []
-    for sentence in re.split(T.SENTENCE_GAP, text):
-        for part in [sentence] if count(sentence) <= limit else word_runs(sentence, count, limit):
-            joined = f"{out[-1]} {part}".strip() if out else part
-            if out and count(joined) <= limit:
-                out[-1] = joined
-            else:
-                out.append(part)
-    return [x for x in out if x]
-
-
-def segments(rows: list[tuple[int | None, str, bool]], count: Callable[[str], int], limit: int) -> Iterator[dict]:
+    fits = lambda t: many([t])[0] <= limit
+    sentences = re.split(T.SENTENCE_GAP, text)
+    parts = [p for s, n in zip(sentences, many(sentences), strict=True) for p in ([s] if n <= limit else runs(s.split(), fits))]
+    return runs([p for p in parts if p], fits)
+
+
+def segments(rows: list[tuple[int | None, str, bool]], sizes: list[int], many: Callable[[list[str]], list[int]], limit: int) -> Iterator[dict]:
     """Runs of units that end with a sentence, at a heading or at the limit; a heading is a run of its own."""
     held: list[tuple[str, int | None]] = []
     size, section, first = 0, None, None
 
     def run(heading: bool) -> dict:
-        return {"text": " ".join(u for u, _ in held), "size": size, "heading": heading, "pages": {p for _, p in held if p is not None}, "section": first}
+        return {"units": [u for u, _ in held], "size": size, "heading": heading, "pages": {p for _, p in held if p is not None}, "section": first}
 
-    for page, unit, heading in rows:
+    for (page, unit, heading), counted in zip(rows, sizes, strict=True):
         section = unit if heading else section
-        for piece in [unit] if count(unit) <= limit else split_long(unit, count, limit):
-            own = count(piece) + 1
+        pieces = [unit] if counted <= limit else split_long(unit, many, limit)
+        for piece, own in zip(pieces, [counted] if counted <= limit else many(pieces), strict=True):
+            own += 1
             if held and (heading or size + own > limit):
                 yield run(False)
                 held, size = [], 0
@@ -104,11 +126,15 @@ def carried_over(chunk: list[dict], coming: dict, limit: int, overlap: int) -> l
     return chunk[len(chunk) - n :] if size + coming["size"] <= limit else []
 
 
-def pack_units(rows: list[tuple[int | None, str, bool]], count: Callable[[str], int] = default_tokens, limit: int = 300, overlap: int = 50) -> list[tuple[str, list[int], str | None]]:
-    """(text, pages, section) of each chunk of one document from its (page, unit, heading) rows in order."""
+def pack_units(rows: list[tuple[int | None, str, bool]], count: Callable[[str], int] = default_tokens, limit: int = 300, overlap: int = 50, sizes: list[int] | None = None, many: Callable[[list[str]], list[int]] | None = None) -> list[tuple[str, list[int], str | None]]:
+    """(text, pages, section) of each chunk of one document from its (page, unit, heading) rows in order.
+
+    sizes: the units' counts where they are known; many: a counter of several texts at once, instead of `count`.
+    """
+    many = many or each(count)
     chunks: list[list[dict]] = [[]]
     size = 0
-    for s in segments(rows, count, limit):
+    for s in segments(rows, many([u for _, u, _ in rows]) if sizes is None else sizes, many, limit):
         if chunks[-1] and (size + s["size"] > limit or (s["heading"] and size >= 0.4 * limit)):
             chunks.append(carried_over(chunks[-1], s, limit, overlap))
             size = sum(x["size"] for x in chunks[-1])
@@ -116,21 +142,28 @@ def pack_units(rows: list[tuple[int | None, str, bool]], count: Callable[[str],
         size += s["size"]
     out = []
     for c in chunks if chunks[-1] else []:
-        body, head = "\n".join(s["text"] for s in c), c[0]["section"]
+        # Every unit is a line of its own, also within a sentence that wraps.
+        body, head = "\n".join(u for s in c for u in s["units"]), c[0]["section"]
         pages = sorted(set().union(*(s["pages"] for s in c)))
         out.append((f"{head}\n{body}" if head and not body.startswith(head) else body, pages, head))
     return out
 
 
-def chunk_pages(docs: DataFrame, count: Callable[[str], int] = default_tokens, limit: int = 300, overlap: int = 50) -> DataFrame:
-    """Chunks of documents given as (scope, source_file, units array<struct<page,unit,heading>>): one narrow pass, no shuffle."""
+def chunk_pages(docs: DataFrame, count: Callable[[str], int] = default_tokens, limit: int = 300, overlap: int = 50, many: Callable[[list[str]], list[int]] | None = None) -> DataFrame:
+    """Chunks of documents given as (scope, source_file, units array<struct<page,unit,heading>>): one narrow pass, no shuffle.
+
+    All units of a batch of documents are counted in one call of `many` (or one by one by `count`), each of them once;
+    only what is over the limit is counted again, in parts.
+    """
+    many = many or each(count)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for scope, file, given in zip(frame["scope"], frame["source_file"], frame["units"], strict=True):
-                parts = [(None if u["page"] is None or pd.isna(u["page"]) else int(u["page"]), u["unit"], bool(u["heading"])) for u in given]
-                for i, (text, pages, section) in enumerate(pack_units(parts, count, limit, overlap)):
+            rows, docs_ = [], [[(None if u["page"] is None or pd.isna(u["page"]) else int(u["page"]), u["unit"], bool(u["heading"])) for u in given] for given in frame["units"]]
+            counted, at = many([u for d in docs_ for _, u, _ in d]), 0
+            for scope, file, parts in zip(frame["scope"], frame["source_file"], docs_, strict=True):
+                sizes, at = counted[at : at + len(parts)], at + len(parts)
+                for i, (text, pages, section) in enumerate(pack_units(parts, limit=limit, overlap=overlap, sizes=sizes, many=many)):
                     rows.append((scope, file, i, f"{file}_chunk_{i}", text, pages[0] if pages else None, pages, section))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNK_DDL.split(", ")])
             out["page"] = out["page"].astype("Int32")
@@ -146,6 +179,13 @@ def unit_arrays(docs: DataFrame, scope: str = "scope", file: str = "source_file"
     return docs.select(F.col(scope).alias("scope"), F.col(file).cast("string").alias("source_file"), made.alias("units"))
 
 
+def without_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(scope, source_file, reason) of documents that gave no chunk: 'no text', or 'no chunks' where all lines were dropped."""
+    reason = F.when(F.coalesce(T.strip(F.col("text")), F.lit("")) == "", "no text").otherwise("no chunks")
+    left = docs.join(chunks.select("scope", "source_file").distinct(), ["scope", "source_file"], "left_anti")
+    return left.select("scope", "source_file", reason.alias("reason"))
+
+
 def split_passage(text: str, limit: int = 180) -> list[str]:
     """Whole sentences packed greedily up to a number of words."""
     out, held, size = [], [], 0

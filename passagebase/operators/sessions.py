@@ -1,12 +1,10 @@
-"""Sessions: which stay, which questions are known, and statistics for touched scopes only."""
+"""Sessions: which stay, which have expired, which questions are known."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagebase.operators import retrieval as R
-
 
 def newest(sessions: DataFrame, n: int = 5, demo: str = "demo") -> DataFrame:
     """The n newest sessions and the demo session; a top-n, not a window over all rows."""
@@ -14,16 +12,11 @@ def newest(sessions: DataFrame, n: int = 5, demo: str = "demo") -> DataFrame:
     return kept.unionByName(sessions.where(F.col("session_id") == demo))
 
 
-def drop_expired(index: DataFrame, kept: DataFrame) -> DataFrame:
-    return index.join(kept.select(F.col("session_id").alias("scope")), "scope", "left_semi")
+def expired(scopes: DataFrame, kept: DataFrame) -> DataFrame:
+    """(scope) of what is indexed but no longer among the kept sessions; sources.index.drop_scopes takes these out."""
+    return scopes.select("scope").distinct().join(kept.select(F.col("session_id").alias("scope")), "scope", "left_anti")
 
 
 def unknown(questions: DataFrame, sessions: DataFrame) -> DataFrame:
     """Questions whose session isn't there."""
     return questions.join(sessions.select("session_id").distinct(), "session_id", "left_anti")
-
-
-def refreshed(stats: DataFrame, chunks: DataFrame, touched: DataFrame) -> DataFrame:
-    """Scope statistics anew for touched scopes, carried over for the rest."""
-    scopes = touched.select("scope").distinct()
-    return stats.join(scopes, "scope", "left_anti").unionByName(R.scope_stats(chunks.join(scopes, "scope", "left_semi")))

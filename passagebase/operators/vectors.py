@@ -112,9 +112,8 @@ def places(chunks: DataFrame, questions: DataFrame, wanted: DataFrame, block: in
         names, values, numbers, owners = [], [], [], []
         left = left.sort_by("chunk_id")
         ids = _names(left.column("chunk_id"))
-        dim = _dim(left.column("vec"), right.column("vec")) if right.num_rows else 1
         lists = right.column("wanted").combine_chunks()
-        dim = max(dim, _dim(pa.chunked_array([lists.flatten().field("of")])) if len(lists) else 1)
+        dim = _dim(left.column("vec"), right.column("vec"), *([pa.chunked_array([lists.flatten().field("of")])] if len(lists) else []))
         matrix, asked = _matrix(left.column("vec"), dim), _matrix(right.column("vec"), dim)
         # The same products as everywhere: rounded, so that equal vectors are equal wherever they are multiplied.
         cos = [np.round(asked @ matrix[at : at + _STEP].T, DIGITS) for at in range(0, len(matrix), _STEP)]

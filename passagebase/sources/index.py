@@ -146,7 +146,7 @@ def _pruned(rows: DataFrame, only: list[int] | None) -> DataFrame:
 def read(spark: SparkSession, path: str, asked: DataFrame | None = None, buckets: int = BUCKETS) -> dict[str, DataFrame]:
     """The tables that retrieval takes: chunks, embeddings, postings, doc_len, term_stats, scope_stats.
 
-    asked: rows with the scopes of interest. Only their buckets are read; other folders are not even listed as input.
+    asked: rows with the scopes of interest. Only their buckets are read: the plan of every table filters the folders.
     """
     only = None if asked is None else asked_buckets(asked, buckets)
     plain = lambda name: _pruned(spark.read.parquet(f"{path}/{name}"), only).drop("bucket", "batch")

@@ -19,8 +19,18 @@ SUFFIXES = ("txt", "pdf", "docx")
 
 
 def scan_folder(spark: SparkSession, path: str, suffixes: tuple = SUFFIXES) -> tuple[DataFrame, DataFrame]:
-    """(files of a known suffix, the others): path, name, length. Contents aren't read."""
-    found = spark.read.format("binaryFile").load(path).select("path", "length", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
+    """(files of a known suffix, the others): path, name, length. Contents aren't read.
+
+    Spark's readers pass over files without bytes, so those come from its list of files, with length 0. Names that begin
+    with a dot or an underscore are hidden from Spark.
+    """
+    read = spark.read.format("binaryFile").load(path)
+    # One spelling for a file's address: readers and lists differ in slashes and in what they encode.
+    same = lambda c: F.regexp_replace(c, "^([A-Za-z0-9+.-]+):/+", "$1:/")
+    decoded = F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B")))
+    listed = spark.createDataFrame([(f,) for f in read.inputFiles()], "value string").select(same(decoded).alias("path"))
+    found = listed.join(read.select(same(F.col("path")).alias("path"), "length"), "path", "left")
+    found = found.select("path", F.coalesce("length", F.lit(0).cast("long")).alias("length"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
     known = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).isin(*suffixes)
     return found.where(known).orderBy("name"), found.where(~known).orderBy("name")
 

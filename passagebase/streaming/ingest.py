@@ -1,50 +1,54 @@
-"""Documents that arrive over time, chunked and appended once; questions that arrive over time, answered per batch."""
+"""Documents that arrive over time, chunked and indexed once; questions that arrive over time, answered once."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagebase.operators import chunking as C
-from passagebase.operators import retrieval as R
-from passagebase.sources.tables import CHUNKS, new_only, write_chunks
+from passagebase.sources import index as X
+from passagebase.sources.shared import kept
+from passagebase.sources.tables import new_only
 
 
-def existing(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks written so far; empty before the first batch."""
-    try:
-        return spark.read.schema(CHUNKS).parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], CHUNKS)
+def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, scope: str | None = None, model: Callable[[list[str]], np.ndarray] | None = None, compact_every: int = 16, buckets: int = X.BUCKETS):
+    """New text files below a folder into the index at target: a file's scope is its folder's name, or the one given.
 
-
-def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, scope: str = "uploads"):
-    """New text files of a folder to chunks in target/chunks, and statistics of touched scopes to target/stats/<batch>.
-
-    A batch that runs twice appends nothing twice: chunks already there are left out.
+    A batch reads its own files and the keys of passages in the buckets it touches. It is written under its number, so a
+    batch that runs again after a failure replaces what it had written; counts are added to, never rebuilt. Every
+    compact_every batches the counts of the batches before are added up. With a model, new texts get vectors.
     """
-    stream = spark.readStream.format("text").option("wholetext", True).schema("value string").load(source).select(F.lit(scope).alias("scope"), F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("text"))
-    chunks = C.chunk_pages(C.unit_arrays(stream))
+    files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).schema("value string").load(source)
+    folder = F.url_decode(F.replace(F.element_at(F.split("_metadata.file_path", "/"), -2), F.lit("+"), F.lit("%2B")))
+    named = files.select((F.lit(scope) if scope else folder).alias("scope"), F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("text"))
+    chunks = C.chunk_pages(C.unit_arrays(named))
 
     def put(batch: DataFrame, number: int) -> None:
         own = batch.sparkSession
-        new = new_only(batch, existing(own, f"{target}/chunks"))
-        write_chunks(new, f"{target}/chunks")
-        touched = batch.select("scope").distinct()
-        all_chunks = existing(own, f"{target}/chunks").join(touched, "scope", "left_semi")
-        R.scope_stats(all_chunks).write.mode("overwrite").parquet(f"{target}/stats/{number}")
+        made = kept(batch)
+        if made.isEmpty():
+            return
+        new = new_only(made, X.present(own, target, made, number, buckets))
+        X.append(new, target, number, model=model, buckets=buckets)
+        if number and number % compact_every == 0:
+            X.compact(own, target, number - 1, buckets)
 
     return chunks.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def answer_stream(questions: DataFrame, answer: Callable[[DataFrame], DataFrame], target: str, checkpoint: str):
-    """Questions against a static index: each batch goes through `answer` and is appended."""
+def answer_stream(questions: DataFrame, answer: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, key: str = "question_id"):
+    """Questions against a static index: each batch goes through `answer` into a folder of its own below target.
+
+    A batch that runs again replaces its folder, so each question of a batch has one answer; a question that is asked twice
+    within a batch is answered once. Read target with `batch` as its partition column.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
-        answer(batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(target)
+        asked = kept(batch.dropDuplicates([key]))
+        if not asked.isEmpty():
+            answer(asked).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return questions.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -84,7 +84,7 @@ def test_heading_starts_a_chunk_once_two_fifths_are_full(before, starts):
 
 
 def test_split_long():
-    pieces = C.split_long("w " * 200, C.default_tokens, 30)
+    pieces = C.split_long("w " * 200, C.each(C.default_tokens), 30)
     assert sum(len(p.split()) for p in pieces) == 200
     assert all(C.default_tokens(p) <= 30 for p in pieces)
 
@@ -227,8 +227,8 @@ def test_overlap_may_hold_a_heading_but_none_comes_before_one():
 
 def test_words_of_an_over_long_sentence_join_the_open_piece():
     count = lambda s: len(s.split())
-    assert C.split_long("A b. C d e f g h i.", count, 4) == ["A b.", "C d e f", "g h i."]
-    assert C.split_long("A. C d e f g h i. J.", count, 4) == ["A.", "C d e f", "g h i. J."]
+    assert C.split_long("A b. C d e f g h i.", C.each(count), 4) == ["A b.", "C d e f", "g h i."]
+    assert C.split_long("A. C d e f g h i. J.", C.each(count), 4) == ["A.", "C d e f", "g h i. J."]
 
 
 def test_answers_match_in_compatibility_form(spark):
@@ -249,23 +249,3 @@ def test_json_arrays_and_saved_runs(spark, tmp_path):
         (tmp_path / f"run_{k}.json").write_text(json.dumps({"pipeline": k, "retrieval_only": only, "rows": [{"id": "1", "answer": k}, {"id": "2"}]}, indent=1))
     got = I.saved_rows(spark, [str(tmp_path / f"run_{k}.json") for k in "abc"]).collect()
     assert sorted((r.pipeline, r.id) for r in got) == [("a", "1"), ("a", "2"), ("c", "1"), ("c", "2")]
-
-
-def test_expired_sessions_and_statistics_of_touched_scopes(spark):
-    from passagebase.operators import sessions as O
-
-    index = spark.createDataFrame([("a", 1), ("b", 2)], "scope string, x int")
-    assert [r.scope for r in O.drop_expired(index, spark.createDataFrame([("b",)], "session_id string")).collect()] == ["b"]
-    chunks = spark.createDataFrame([("a", 1, "one two"), ("b", 2, "three")], "scope string, chunk_id int, text string")
-    old = spark.createDataFrame([("a", 9, 9.0), ("b", 9, 9.0)], "scope string, n long, avgdl double")
-    assert sorted(map(tuple, O.refreshed(old, chunks, chunks.where("scope = 'a'")).collect())) == [("a", 1, 2.0), ("b", 9, 9.0)]
-
-
-def test_stream_twice_is_same(spark, tmp_path):
-    from passagebase.streaming import ingest
-
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.txt").write_text("One sentence here. Another one.\n")
-    for i in range(2):
-        ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / f"ck{i}")).awaitTermination()
-    assert ingest.existing(spark, str(tmp_path / "out" / "chunks")).count() == 1
