@@ -48,6 +48,7 @@ def _pairs(chunks: DataFrame, questions: DataFrame, work: Callable[[pa.Table, pa
     """`work` on every pair of blocks of one scope: (scope, part, question part) is the key that both sides are dealt by."""
     asked = questions.select("scope").distinct()
     c_blocks = blocks_of(chunks.join(asked, "scope", "left_semi"), block).withColumnRenamed("blocks", "parts")
+    questions = questions.toDF(*questions.columns)
     sizes = c_blocks.join(blocks_of(questions, question_block).withColumnRenamed("blocks", "q_parts"), "scope")
     hashed = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -55,6 +56,7 @@ def _pairs(chunks: DataFrame, questions: DataFrame, work: Callable[[pa.Table, pa
     q = questions.join(sizes, "scope").withColumn("q_part", hashed("question_id", "q_parts")).withColumn("part", spread("parts"))
     keys = ["scope", "part", "q_part"]
     c, q = c.select(*keys, "chunk_id", "vec"), q.select(*keys, *(x for x in questions.columns if x != "scope"))
+    q = q.toDF(*q.columns)  # both sides may come from one table
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return work(left, right)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from passagebase.functions import text as T
 from passagebase.operators import retrieval as R
 from passagebase.operators.models import embed
+from passagebase.sources.shared import kept
 
 BUCKETS = 64
 #: Tables in bucket folders; the last two are counts that are added up over batches.
@@ -172,7 +173,7 @@ def drop_scopes(spark: SparkSession, path: str, expired: DataFrame, buckets: int
 
     expired: (scope). A run that is cut off leaves each folder old or new; running it again finishes the work.
     """
-    gone = expired.select("scope").distinct()
+    gone = kept(expired.select("scope").distinct())  # it may be read from the very files that go
     only = asked_buckets(gone, buckets)
     names = [*((n, "batch") for n in TABLES), *((f"{n}_sums", "upto") for n in COUNTS)]
     for name, part in names:
@@ -183,9 +184,9 @@ def drop_scopes(spark: SparkSession, path: str, expired: DataFrame, buckets: int
         if not held:
             continue
         in_held = F.struct("bucket", part).isin([F.struct(F.lit(b).cast("int"), F.lit(p).cast(rows.schema[part].dataType)) for b, p in sorted(held)])
-        kept = rows.where(F.col("bucket").isin(sorted({b for b, _ in held})) & in_held).join(gone, "scope", "left_anti")
-        order = [c for c in ("scope", "term", "chunk_id") if c in kept.columns][:2]
-        left = {(r["bucket"], r[part]) for r in kept.select("bucket", part).distinct().collect()}
-        kept.hint("rebalance", "bucket", part).sortWithinPartitions("bucket", part, *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", part).parquet(f"{path}/{name}")
+        stay = rows.where(F.col("bucket").isin(sorted({b for b, _ in held})) & in_held).join(gone, "scope", "left_anti")
+        order = [c for c in ("scope", "term", "chunk_id") if c in stay.columns][:2]
+        left = {(r["bucket"], r[part]) for r in stay.select("bucket", part).distinct().collect()}
+        stay.hint("rebalance", "bucket", part).sortWithinPartitions("bucket", part, *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", part).parquet(f"{path}/{name}")
         for bucket, number in sorted(held - left):
             remove(spark, f"{path}/{name}/bucket={bucket}/{part}={number}")
