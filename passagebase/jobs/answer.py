@@ -9,6 +9,7 @@ from passagebase.jobs.base import answers, files, query, questions, read, scratc
 from passagebase.jobs.rank import _FUSED, _NORM, asked_vectors, pool, vectors, word_share
 from passagebase.operators import answering as A
 from passagebase.operators import chunking as C
+from passagebase.operators import retrieval as R
 from passagebase.operators import scoring as S
 from passagebase.operators.grid import Setting, run_all
 from passagebase.sources import index as X
@@ -265,9 +266,9 @@ def v6_evidence_rank(spark, d):
 
 @query(f"SELECT item_id, count_if(contains(' ' || {_norm('d.text')} || ' ', ' ' || {_norm('b.text')} || ' ')) AS held_by FROM benchmark b JOIN documents d ON d.source = 'src' || (b.item_id % 20) GROUP BY item_id")
 def v7_evidence_in_text(spark, d):
-    q = questions(spark, d).select("question_id", "scope", S.bounded(F.col("question")).alias("needle"))
-    t = files(spark, d).select("scope", S.bounded(F.col("text")).alias("hay"))
-    return t.join(q, "scope").groupBy(F.col("question_id").alias("item_id")).agg(F.count_if(F.contains("hay", "needle")).alias("held_by"))
+    q = questions(spark, d).select(F.col("question_id").alias("id"), "scope", F.col("question").alias("snippet"))
+    few = q.limit(R.BROADCAST_ROWS + 1).count() <= R.BROADCAST_ROWS
+    return S.evidence_in_texts(q, files(spark, d), few).withColumnRenamed("id", "item_id")
 
 
 @query(f"""WITH g AS (SELECT conv_id AS id, conv_id AS doc_id, text FROM conversations WHERE role = 'user'),

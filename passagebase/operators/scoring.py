@@ -85,6 +85,17 @@ def evidence_ranks(evidence: DataFrame, retrieved: DataFrame) -> DataFrame:
     return first.groupBy("question_id").agg(F.when(F.count(F.lit(1)) == F.count("r"), F.max("r")).alias("evidence_rank"))
 
 
+def evidence_in_texts(evidence: DataFrame, documents: DataFrame, few: bool = False) -> DataFrame:
+    """(id, held_by): how many documents of its scope hold each snippet, whole tokens only.
+
+    evidence: (id, scope, snippet), documents: (scope, text). Texts stay where they are if the snippets are few (counted by the
+    caller, so that they are broadcast), and each text is normalised once.
+    """
+    needles = evidence.select("id", "scope", bounded(F.col("snippet")).alias("needle"))
+    hay = documents.select("scope", bounded(F.col("text")).alias("hay"))
+    return hay.join(F.broadcast(needles) if few else needles, "scope").groupBy("id").agg(F.count_if(F.contains("hay", "needle")).alias("held_by"))
+
+
 def validate(items: DataFrame, documents: DataFrame) -> dict[str, DataFrame]:
     """Problems of gold items: `repeated` (id, repeats), `missing` (doc), `unfound` (id, doc, snippet) held by neither of two
     extractions, and `lost` (doc, snippets, lost): how many snippets of a document the first extraction loses.
