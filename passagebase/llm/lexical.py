@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagebase.llm.common import BROADCAST_ROWS, as_bytes, doc_slices, maybe_broadcast, stash, word_parts
+from passagebase.llm.common import BROADCAST_ROWS, as_bytes, doc_slices, maybe_broadcast, release, stash, word_parts
 
 #: Documents of a bucket, parts in which its sums are made, queries asked together, and the most terms of queries that go
 #: to every task.
-DOC_BUCKET, SUM_PARTS, QUERIES = 65_536, 8, 512
+DOC_BUCKET, SUM_PARTS, QUERIES = 65_536, 32, 512
 VOCABULARY = BROADCAST_ROWS
 #: Documents scored at a time in a task; counts turned into lists and fetched postings added up at a time.
-_TOGETHER, _TURNED, _FETCHED = 1_024, 1 << 21, 1 << 20
+_TOGETHER, _TURNED, _FETCHED = 512, 1 << 20, 1 << 19
 #: What stands between terms is ASCII without letters and digits; A-Z become a-z, all other bytes stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -151,6 +151,8 @@ class Index:
                     held, size = [], 0
             if size:
                 yield rows(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            release()
 
         def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Pieces of a block follow one another; the last block of a batch may go on in the next."""
@@ -178,6 +180,8 @@ class Index:
                 held = [batch.slice(whole)]
             if held:
                 yield flat(held)
+            held.clear()
+            release()
 
         pieces = self.counts.select("terms", "tfs", "m", "bucket", "doc").mapInArrow(turned, ddl)
         return pieces.repartition("term", "bucket").sortWithinPartitions("term", "bucket").mapInArrow(joined, ddl)
@@ -278,6 +282,8 @@ def candidates(index: Index, lists: Lists, tau: np.ndarray) -> DataFrame:
                     yield from given()
                     held, size = {}, 0
         yield from given()
+        held.clear()
+        release()
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Buckets follow one another."""
@@ -299,6 +305,8 @@ def candidates(index: Index, lists: Lists, tau: np.ndarray) -> DataFrame:
                     held, own = [], bucket
                 held.append([np.asarray(batch.column(c)[i].values) for c in names[1:]])
         yield from given()
+        held.clear()
+        release()
 
     return index.postings.mapInArrow(fetch, ddl).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(bounded, "doc long, queries array<long>")
 
@@ -323,6 +331,7 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
             keep = score >= enough[query]
             row = pa.array(row[keep])
             yield pa.RecordBatch.from_arrays([pa.array(query[keep]), batch.column("id").take(row), batch.column("doc").take(row), pa.array(score[keep])], names=["query", "id", "doc", "score"])
+        release()
 
     left = index.counts.select("id", "doc", "terms", "tfs", "m").join(candidates(index, lists, tau), "doc")
     return left.mapInArrow(run, f"query long, id {kind}, doc long, score long")
