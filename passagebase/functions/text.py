@@ -33,6 +33,14 @@ BROAD = (
 STOP_WORDS = tuple("what is the this that does about tell me give can you how when where which who are was were has have been will would could should do did a an of in on for to my it its".split())
 SOURCES_HEAD = r"(?i)\bsources\s*:\s*"
 
+#: Where words of ASCII letters, digits and _ begin or end; a plain \b goes by Unicode letters on some Java versions.
+EDGE = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+
+
+def edged(pattern: str) -> str:
+    """The pattern with ASCII word edges for each \\b, as other engines read it."""
+    return pattern.replace(r"\b", EDGE)
+
 
 def collapse(c: Column) -> Column:
     """White space folded to single blanks, ends trimmed."""
@@ -125,7 +133,7 @@ def is_broad(c: Column) -> Column:
     q = F.trim(c)
     hit = F.lit(False)
     for p in BROAD:
-        hit = hit | q.rlike("(?i)" + p)
+        hit = hit | q.rlike("(?i)" + edged(p))
     w = words(q)
     content = F.filter(w, lambda x: ~F.btrim(F.lower(x), F.lit("?.,!")).isin(*STOP_WORDS) & (F.length(x) > 3))
     return hit | ((F.size(w) <= 8) & (F.size(content) <= 1))

@@ -125,7 +125,7 @@ def rescored(saved: DataFrame, gold: DataFrame) -> DataFrame:
 
 def grade(reply: Column) -> Column:
     """The first grade from 1 to 5 in a judge's reply; null if there is none."""
-    return F.regexp_extract(reply, r"\b([1-5])\b", 1).try_cast("int")
+    return F.regexp_extract(reply, T.edged(r"\b([1-5])\b"), 1).try_cast("int")
 
 
 def retrieval_metrics(ks: tuple = HIT_KS, rank: str = "evidence_rank", prefix: str = "evidence_") -> list[Column]:

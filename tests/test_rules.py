@@ -36,6 +36,14 @@ def test_broad(spark, raw, want):
     assert one(spark, raw, T.is_broad) is want
 
 
+def test_word_edges_are_ascii(spark):
+    """Accented letters end a word, as in the SQL: with Unicode edges 'éan' is one word and keeps its 'an'."""
+    from passagebase.jobs.train import _plain
+
+    assert one(spark, "Émentêan the Éen anêt", _plain) == "ment en t"
+    assert one(spark, "grade: é4", S.grade) == 4
+
+
 def test_refusals(spark):
     assert one(spark, "I don’t have enough information.", T.is_strict_refusal)
     assert not one(spark, "It is not mentioned.", T.is_strict_refusal)
