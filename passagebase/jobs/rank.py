@@ -109,7 +109,7 @@ def e1_embed(spark, d):
 
 @query(f"SELECT vec_id, list_transform({_NORM}, lambda x: round(x, 6)) AS vec FROM embeddings")
 def e2_unit_vectors(spark, d):
-    return vectors(spark, d).select("vec_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    return vectors(spark, d).select("vec_id", F.transform("vec", lambda x: R.rounded(x, 6)).alias("vec"))
 
 
 @query()
@@ -122,7 +122,7 @@ def e3_question_prefix(spark, d):
 
 @query(f"WITH {_COS} SELECT question_id, scope, chunk_id, round(cos, 4) AS embed_score FROM cs")
 def e4_cosine(spark, d):
-    return embed_ranks(spark, d).select("question_id", "scope", "chunk_id", F.round("cos", 4).alias("embed_score"))
+    return embed_ranks(spark, d).select("question_id", "scope", "chunk_id", R.rounded(F.col("cos"), 4).alias("embed_score"))
 
 
 @query(f"WITH {_COS} SELECT question_id, chunk_id, embed_rank FROM er")

@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,14 @@ def test_word_edges_are_ascii(spark):
     assert one(spark, "grade: é4", S.grade) == 4
 
 
+def test_rounding_keeps_the_sign(spark):
+    """What SQL gives for numbers just below zero is -0.0; its text differs from that of 0.0."""
+    values = [-3e-7, 3e-7, -0.0, 0.1234565, -0.1234565, 2.5e-6, -7.0000004, 1e300]
+    got = spark.createDataFrame([(values,)], "v array<double>").select(F.transform("v", lambda x: R.rounded(x, 6)).alias("v")).first()["v"]
+    want = duckdb.execute("select list_transform($1::double[], lambda x: round(x, 6))", [values]).fetchone()[0]
+    assert list(map(repr, got[:2] + got[3:])) == list(map(repr, want[:2] + want[3:])) and math.isnan(one(spark, math.nan, lambda c: R.rounded(c, 6), "c double"))
+
+
 def test_refusals(spark):
     assert one(spark, "I don’t have enough information.", T.is_strict_refusal)
     assert not one(spark, "It is not mentioned.", T.is_strict_refusal)
