@@ -9,6 +9,7 @@ from passagebase.jobs.base import files, query, questions, read, scratch
 from passagebase.operators import retrieval as R
 from passagebase.operators import vectors as V
 from passagebase.sources import index as I  # noqa: E741
+from passagebase.sources.shared import kept
 
 _TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _STATS = f"""tk AS (SELECT source AS scope, doc_id AS chunk_id, {_TOK} AS toks FROM documents),
@@ -65,7 +66,11 @@ def fused(spark, d, k=R.RRF_K):
 
 
 def pool(spark, d, k=30):
-    return R.top(fused(spark, d), k, ["chunk_id"])
+    """The k best fused chunks of each question: both rankings are read only as deep as these need."""
+    v = vectors(spark, d).withColumnRenamed("vec_id", "chunk_id")
+    own = chunks(spark, d)
+    hits = R.bm25(own, questions(spark, d)).where("score > 0").withColumn("score", F.round("score", 9))
+    return kept(R.hybrid(own.select("scope", "chunk_id").join(v, "chunk_id", "left"), hits, asked_vectors(spark, d), k))
 
 
 @query(f"SELECT doc_id, {_TOK} AS tokens FROM documents")
@@ -86,7 +91,7 @@ def k2_postings(spark, d):
 @query(f"WITH {_STATS} SELECT scope, term, df, round(idf, 6) AS idf FROM idf")
 def k3_idf(spark, d):
     c = chunks(spark, d)
-    return R.term_stats(R.postings(c), R.scope_stats(c), R.few_scopes(c)).select("scope", "term", "df", F.round("idf", 6).alias("idf"))
+    return R.idf(R.frequencies(c), R.scope_stats(c), R.few_scopes(c)).select("scope", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_bm25(False)} SELECT question_id, scope, chunk_id, round(score, 6) AS score FROM bm")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from passagebase.functions import text as T
 from passagebase.operators.models import first_passage, generate
+from passagebase.operators.retrieval import rounded
 from passagebase.operators.scoring import grade
 
 # Thresholds and sentences of the answer protocol.
@@ -91,7 +92,7 @@ def confidence(scores: Column) -> Column:
     n = F.size(scores)
     rest = F.aggregate(F.slice(scores, 2, F.greatest(n, F.lit(1))), F.lit(0.0), lambda a, x: a + x)
     value = F.when(n == 0, F.lit(0.0)).when(n == 1, F.try_element_at(scores, F.lit(1))).otherwise(0.5 * F.try_element_at(scores, F.lit(1)) + 0.5 / (n - 1) * rest)
-    return F.round(F.least(value, F.lit(1.0)), 4)
+    return rounded(F.least(value, F.lit(1.0)), 4)
 
 
 def checked(answers: DataFrame, compat: bool = False) -> DataFrame:

@@ -53,6 +53,22 @@ def test_rounding_keeps_the_sign(spark):
     assert list(map(repr, got[:2] + got[3:])) == list(map(repr, want[:2] + want[3:])) and math.isnan(one(spark, math.nan, lambda c: R.rounded(c, 6), "c double"))
 
 
+@pytest.mark.parametrize("scoped", [True, False])
+def test_scores_in_rows_are_those_of_joined_postings(spark, monkeypatch, scoped):
+    """No words or scores are shuffled where weights are few; beyond that postings are joined, with the same scores."""
+    words = ["la", "de", "key", "Zug", "x1", "été"]
+    rows = [(f"s{i % 3}", i, " ".join(words[(i * j) % 6] for j in range(i % 7))) for i in range(40)] + [("s0", 40, None), (None, 41, "la de")]
+    chunks = spark.createDataFrame(rows, "scope string, chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "s0", "la la de"), (2, "s1", "ZUG x1"), (3, "s9", "la"), (4, "s0", "none of it t"), (5, "s2", "")], "question_id long, scope string, question string")
+    questions = asked if scoped else asked.drop("scope")
+    narrow = R.bm25(chunks, questions)
+    assert "Exchange" not in narrow._jdf.queryExecution().executedPlan().toString()
+    got = {(r.question_id, r.scope, r.chunk_id): r.score for r in narrow.collect()}
+    monkeypatch.setattr(R, "WEIGHTS", 1)
+    want = {(r.question_id, r.scope, r.chunk_id): r.score for r in R.bm25(chunks, questions).collect()}
+    assert len(want) > 10 and got == pytest.approx(want, abs=1e-12)
+
+
 def test_refusals(spark):
     assert one(spark, "I don’t have enough information.", T.is_strict_refusal)
     assert not one(spark, "It is not mentioned.", T.is_strict_refusal)
