@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +14,9 @@ from passagebase.functions import text as T
 
 CHUNK_DDL = "scope string, source_file string, chunk_index int, chunk_id string, text string, page int, pages array<int>, section string"
 
+#: Bytes of text that a task makes Python objects of at a time.
+SLICE_BYTES = 1 << 20
+
 
 def word_windows(docs: DataFrame, size: int = 500, overlap: int = 50, scope: str = "scope", file: str = "source_file", text: str = "text") -> DataFrame:
     """Overlapping windows of words; a document without words has none."""
@@ -157,19 +160,35 @@ def chunk_pages(docs: DataFrame, count: Callable[[str], int] = default_tokens, l
     """
     many = many or each(count)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows, docs_ = [], [[(None if u["page"] is None or pd.isna(u["page"]) else int(u["page"]), u["unit"], bool(u["heading"])) for u in given] for given in frame["units"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "units"):
+            rows = []
+            docs_ = [[(u["page"], u["unit"], u["heading"]) for u in given or ()] for given in batch.column("units").to_pylist()]
             counted, at = many([u for d in docs_ for _, u, _ in d]), 0
-            for scope, file, parts in zip(frame["scope"], frame["source_file"], docs_, strict=True):
+            for scope, file, parts in zip(batch.column("scope").to_pylist(), batch.column("source_file").to_pylist(), docs_, strict=True):
                 sizes, at = counted[at : at + len(parts)], at + len(parts)
                 for i, (text, pages, section) in enumerate(pack_units(parts, limit=limit, overlap=overlap, sizes=sizes, many=many)):
                     rows.append((scope, file, i, f"{file}_chunk_{i}", text, pages[0] if pages else None, pages, section))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNK_DDL.split(", ")])
-            out["page"] = out["page"].astype("Int32")
-            yield out
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in enumerate(kinds)], names=names)
+
+    names = [c.split()[0] for c in CHUNK_DDL.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.string()]
+    return docs.select("scope", "source_file", "units").mapInArrow(run, CHUNK_DDL)
+
 
-    return docs.select("scope", "source_file", "units").mapInPandas(run, CHUNK_DDL)
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of rows with about `most` bytes in a column, one row at least: what a task makes objects of at a time."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        each_row = max(1, batch.column(column).nbytes // batch.num_rows)
+        at, step = 0, max(1, most // each_row)
+        while at < batch.num_rows:
+            part = batch.slice(at, step)
+            while part.num_rows > 1 and part.column(column).nbytes > 2 * most:
+                part = part.slice(0, part.num_rows // 2)
+            yield part
+            at += part.num_rows
 
 
 def unit_arrays(docs: DataFrame, scope: str = "scope", file: str = "source_file", text: str = "text", page: int | None = None) -> DataFrame:
@@ -203,9 +222,13 @@ def split_passage(text: str, limit: int = 180) -> list[str]:
 def passages(docs: DataFrame, key: str, text: str = "text", limit: int = 180) -> DataFrame:
     """(key, part, text): documents cut into passages of whole sentences."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame([(k, i, p) for k, t in zip(frame["key"], frame["text"], strict=True) for i, p in enumerate(split_passage(t, limit))], columns=["key", "part", "text"])
-
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, part int, text string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            parts = [split_passage(t or "", limit) for t in batch.column("text").to_pylist()]
+            whose = pa.array([n for n, p in enumerate(parts) for _ in p], pa.int64())
+            number = pa.array([i for p in parts for i in range(len(p))], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(whose), number, pa.array([x for p in parts for x in p], pa.string())], names=["key", "part", "text"])
+
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, part int, text string")

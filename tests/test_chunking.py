@@ -147,3 +147,15 @@ def test_few_counts_for_an_over_long_sentence():
 
 def test_sentence_rules_are_the_columns():
     assert T.SENTENCE_GAP == GAP.pattern
+
+
+@pytest.mark.parametrize("size", [10, 3000])
+def test_tasks_hold_few_documents_at_a_time(size):
+    """A batch of 10,000 rows is worked off in slices of about SLICE_BYTES, whatever its rows' sizes; no row is lost."""
+    import pyarrow as pa
+
+    texts = ["x" * (size * (1 + 9 * (i % 500 == 0))) for i in range(10_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(texts)], names=["key", "text"])
+    got = list(C.slices(iter([batch, batch.slice(0, 0)]), "text"))
+    assert [k for b in got for k in b.column("key").to_pylist()] == list(range(10_000))
+    assert max(b.column("text").nbytes for b in got) <= 2 * C.SLICE_BYTES and len(got) <= 2 + 2 * 10_000 * size * 1.1 / C.SLICE_BYTES
