@@ -89,11 +89,25 @@ def evidence_in_texts(evidence: DataFrame, documents: DataFrame, few: bool = Fal
     """(id, held_by): how many documents of its scope hold each snippet, whole tokens only.
 
     evidence: (id, scope, snippet), documents: (scope, text). Texts stay where they are if the snippets are few (counted by the
-    caller, so that they are broadcast), and each text is normalised once.
+    caller, so that they are broadcast). Only a text that holds all of a snippet's plain words can hold the snippet, so only
+    such texts are normalised.
     """
-    needles = evidence.select("id", "scope", bounded(F.col("snippet")).alias("needle"))
-    hay = documents.select("scope", bounded(F.col("text")).alias("hay"))
-    return hay.join(F.broadcast(needles) if few else needles, "scope").groupBy("id").agg(F.count_if(F.contains("hay", "needle")).alias("held_by"))
+    needles = evidence.select("id", "scope", bounded(F.col("snippet")).alias("needle")).withColumn("words", plain_words(F.col("needle")))
+    hay = documents.select("scope", nfkc(F.col("text")).alias("composed")).withColumn("low", F.lower("composed"))
+    near = hay.join(F.broadcast(needles) if few else needles, "scope").where(F.forall("words", lambda w: F.contains("low", w)))
+    whole = F.concat(F.lit(" "), T.normalised(F.col("composed")), F.lit(" "))
+    held = near.where(F.contains(whole, F.col("needle"))).groupBy("id").agg(F.count(F.lit(1)).alias("held_by"))
+    asked = evidence.join(documents.select("scope").distinct(), "scope", "left_semi").select("id").distinct()
+    return asked.join(held, "id", "left").select("id", F.coalesce("held_by", F.lit(0).cast("long")).alias("held_by"))
+
+
+def plain_words(needle: Column) -> Column:
+    """Runs of letters of a normalised text that any text must hold as they are for its normal form to hold this one.
+
+    What the normal form spells anew (c#, c++, the sign for times) is left out.
+    """
+    made = lambda w: (w == "x") | F.contains(w, F.lit("csharp")) | F.contains(w, F.lit("cplusplus"))
+    return F.filter(F.regexp_extract_all(needle, F.lit("[a-z]+"), F.lit(0)), lambda w: ~made(w))
 
 
 def validate(items: DataFrame, documents: DataFrame) -> dict[str, DataFrame]:

@@ -69,6 +69,20 @@ def test_scores_in_rows_are_those_of_joined_postings(spark, monkeypatch, scoped)
     assert len(want) > 10 and got == pytest.approx(want, abs=1e-12)
 
 
+def test_only_texts_with_a_snippets_words_are_normalised(spark):
+    """The same counts as from the normal forms of all texts, also for what they spell anew; few texts pass the words."""
+    texts = ["We use C# and C++ at 8×8", "ﬁne 1,234.50 words", "fine words 1234.5", "The Fine words.", "abc# x2", None, "", "nothing here"]
+    docs = spark.createDataFrame([("s", t) for t in texts] + [("t", "fine")], "scope string, text string")
+    asked = [(1, "s", "c# and c++"), (2, "s", "8 x 8"), (3, "s", "fine 1234.5"), (4, "s", "FINE words"), (5, "s", "abcsharp"), (6, "u", "fine"), (7, "t", "words"), (8, "s", "1234.5"), (9, "s", None)]
+    needles = spark.createDataFrame(asked, "id long, scope string, snippet string")
+    pairs = needles.join(docs, "scope").withColumn("held", F.contains(S.bounded(F.col("text")), S.bounded(F.col("snippet"))))
+    want = {r.id: r.n for r in pairs.groupBy("id").agg(F.count_if("held").alias("n")).collect()}
+    assert sum(want.values()) > 7
+    for few in (True, False):
+        assert {r.id: r.held_by for r in S.evidence_in_texts(needles, docs, few).collect()} == want
+    assert one(spark, " abcsharp x fine 12ab ", S.plain_words) == ["fine", "ab"]
+
+
 def test_refusals(spark):
     assert one(spark, "I don’t have enough information.", T.is_strict_refusal)
     assert not one(spark, "It is not mentioned.", T.is_strict_refusal)
