@@ -119,7 +119,9 @@ def validate(items: DataFrame, documents: DataFrame) -> dict[str, DataFrame]:
     repeated = items.groupBy("id").agg((F.count(F.lit(1)) - 1).alias("repeats")).where("repeats > 0")
     missing = items.select("doc").distinct().join(documents.select("doc"), "doc", "left_anti")
     snippets = items.select("id", "doc", F.explode("evidence").alias("snippet")).withColumn("needle", bounded(F.col("snippet")))
-    hay = documents.select("doc", bounded(F.coalesce("text", F.lit(""))).alias("hay"), bounded(F.coalesce("other_text", F.lit(""))).alias("other_hay"))
+    # Only documents that snippets name are normalised.
+    named = documents.join(items.select("doc").distinct(), "doc", "left_semi")
+    hay = named.select("doc", bounded(F.coalesce("text", F.lit(""))).alias("hay"), bounded(F.coalesce("other_text", F.lit(""))).alias("other_hay"))
     held = lambda c: F.coalesce(F.contains(c, "needle"), F.lit(False))
     seen = snippets.join(hay, "doc", "left").select("id", "doc", "snippet", held(F.col("hay")).alias("held"), held(F.col("other_hay")).alias("other_held"))
     lost = seen.groupBy("doc").agg(F.count(F.lit(1)).alias("snippets"), F.count_if(~F.col("held")).alias("lost"))

@@ -83,6 +83,16 @@ def test_only_texts_with_a_snippets_words_are_normalised(spark):
     assert one(spark, " abcsharp x fine 12ab ", S.plain_words) == ["fine", "ab"]
 
 
+def test_only_documents_that_items_name_are_normalised(spark):
+    items = spark.createDataFrame([(1, 10, ["one two"]), (2, 30, ["gone"])], "id long, doc long, evidence array<string>")
+    docs = spark.createDataFrame([(10, "One, two.", "x"), (20, "never named", "y")], "doc long, text string, other_text string")
+    found = S.validate(items, docs)
+    plan = found["lost"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.index("ArrowEvalPython") < plan.index("LeftSemi")
+    assert sorted((r.doc, r.snippets, r.lost) for r in found["lost"].collect()) == [(10, 1, 0), (30, 1, 1)]
+    assert [r.doc for r in found["missing"].collect()] == [30]
+
+
 def test_refusals(spark):
     assert one(spark, "I don’t have enough information.", T.is_strict_refusal)
     assert not one(spark, "It is not mentioned.", T.is_strict_refusal)
