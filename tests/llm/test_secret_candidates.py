@@ -94,3 +94,51 @@ def test_runs_that_change_often_are_no_examples():
         x = np.frombuffer(secrets.view(text, 5, 5 + len(run)), np.uint8).reshape(-1, secrets.WINDOW)
         got = secrets.shape(secrets.characters(x))
         assert got[1] == most and (got[0] <= secrets.MIXED) == (share <= secrets.MIXED)
+
+
+def labelled(n):
+    """Rows with words, numbers and marked keys; one word and one marked value are far longer than 16 windows."""
+    r = random.Random(7)
+    letters, rows = "abcdefghijklmnopqrstuvwxyz", []
+    for i in range(n):
+        word, number = "".join(r.choice(letters) for _ in range(14)), r.randint(10**13, 10**14)
+        key = "".join(r.choice("0123456789abcdef") for _ in range(40))
+        rows.append((i, f"some {word} and {number} then {word.upper()} end" + (f" token={key}" if i % 3 == 0 else "")))
+    return [*rows, (n, "a " + "w" * 3000 + " b"), (n + 1, "secret: " + "".join(r.choice(letters + "0123456789") for _ in range(3000)))]
+
+
+def test_every_example_is_learned_from(spark):
+    rows = labelled(60)
+    found = secrets.findings(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = secrets.examples(found)
+    want = set()
+    for _, text in rows:
+        base = secrets.base_spans(text)
+        want |= {secrets.view(text, b - len(secrets.ASSIGN.match(text, a)[2]) if k == 0 else a, b) for k, a, b in base}
+        want |= {secrets.view(text, a, b) for (a, b), c in zip(secrets.candidates(text), secrets.touched(base, secrets.candidates(text)), strict=True) if not c}
+    assert sorted(bytes(x.view) for x in got.collect()) == sorted(want) and max(map(len, want)) > 50 * secrets.WINDOW
+    counts = {x.label: x["count"] for x in got.groupBy("label").count().collect()}
+    dealt = secrets.deal(got, counts, 3, 4).collect()
+    assert {bytes(x.view) for x in dealt} == want
+    assert {(x.part, x.round, x.label) for x in dealt} == {(p, r, k) for p in range(3) for r in range(4) for k in counts}
+
+
+def test_batches_go_through_all_views():
+    kinds = [[np.full((1 + i % 2, secrets.WINDOW), 16 + k, np.uint8) for i in range(n)] for k, n in enumerate((700, 3, 0, 90))]
+    for v in (x for k in kinds for x in k):
+        v[:, -20:] = 14
+    seen = set()
+    for views, bare, want, weight in secrets.batches_of(kinds, 2, np.random.default_rng(1)):
+        assert len(views) == len(bare) == len(want) and abs(weight.sum() - 1) < 1e-9 and abs(weight[want == 1].sum() - 0.5) < 1e-9
+        seen |= set(map(id, views))
+    assert {id(v) for v in kinds[0] + kinds[1]} <= seen
+
+
+def test_training_in_several_parts_finds_keys(spark, monkeypatch):
+    for name, value in (("PART", 300), ("ROUNDS", 2), ("STEPS", 300)):
+        monkeypatch.setattr(secrets, name, value)
+    rows = labelled(150) + [(1000 + i, f"left QzX9{i}8vT1kLm0QTb7Rw2Yp right") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in secrets.scan(docs).collect()}
+    assert got == {x.doc_id: x.spans for x in secrets.scan(docs.repartition(5)).collect()}
+    assert all("model" in got[1000 + i] for i in range(9)) and not any("model" in s for i, s in got.items() if i < 1000)
