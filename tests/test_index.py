@@ -198,3 +198,34 @@ def test_a_batch_of_questions_that_runs_again_leaves_one_answer_each(spark, tmp_
         ingest.answer_stream(stream, answer, target, str(tmp_path / "c")).awaitTermination()
     ingest.answer_stream(stream, answer, target, str(tmp_path / "c")).awaitTermination()
     assert sorted((r.question_id, r.answer) for r in spark.read.parquet(target).collect()) == [(1, "ONE"), (2, "TWO")]
+
+
+def test_grid_scores_and_ranks_each_chunk_size_once(spark, monkeypatch):
+    """Settings that differ in the fusion alone share both rankings; each pool is what hybrid retrieval gives by itself."""
+    from passagebase.operators import grid, vectors
+
+    calls = {"bm25": 0, "nearest": 0}
+
+    def counting(module, name):
+        inner = getattr(module, name)
+
+        def call(*args, **more):
+            calls[name] += 1
+            return inner(*args, **more)
+
+        monkeypatch.setattr(module, name, call)
+
+    r = np.random.default_rng(11)
+    texts = [(f"s{i % 2}", i, " ".join(r.choice(["sun", "moon", "star", "sky", "sea", f"w{i}"], 8)), [float(x) for x in r.normal(size=3)]) for i in range(60)]
+    c = spark.createDataFrame(texts, "scope string, chunk_id long, text string, vec array<double>").withColumn("vec", R.unit_vector(F.col("vec")))
+    q = spark.createDataFrame([(i, f"s{i % 2}", f"moon w{i} sea", [1.0, float(i), 0.5]) for i in range(6)], "question_id long, scope string, question string, vec array<double>").withColumn("vec", R.unit_vector(F.col("vec")))
+    settings = [grid.Setting("a", 50, candidates=6), grid.Setting("b", 50, rrf_k=60, candidates=9), grid.Setting("c", 50, rrf_k=1, candidates=4), grid.Setting("d", 90, candidates=3)]
+    counting(R, "bm25")
+    counting(vectors, "nearest")
+    got = grid.pools(settings, q, lambda size: (c.select("scope", "chunk_id", "text"), c.select("scope", "chunk_id", "vec")), lambda question, text: F.length(text))
+    assert calls == {"bm25": 2, "nearest": 2}
+    hits = R.bm25(c, q.select("question_id", "scope", "question")).where("score > 0").withColumn("score", F.round("score", 9))
+    for s in settings:
+        want = R.hybrid(c, hits, q, s.depth(), s.rrf_k).select("question_id", "chunk_id", "rank", "cos").collect()
+        own = got.where((F.col("max_tokens") == s.max_tokens) & (F.col("rrf_k") == s.rrf_k)).select("question_id", "chunk_id", "pool_rank", "cos").collect()
+        assert sorted(map(tuple, own)) == sorted(map(tuple, want)) and own
