@@ -192,7 +192,10 @@ def o5_statistics_of_batches(spark, d):
         X.append(c.where(F.pmod("chunk_id", F.lit(3)) == i), path, i)
     X.compact(spark, path, 1)
     one, many = X.read(spark, whole), X.read(spark, path)
-    terms = one["term_stats"].join(many["term_stats"].withColumnRenamed("df", "df2").drop("idf"), ["scope", "term"], "full")
+    none = F.lit(None).cast("long")  # a term that one side lacks has no sum there
+    df = X.count_rows(spark, whole, "term_counts").select("scope", "term", "df", none.alias("df2"))
+    df2 = X.count_rows(spark, path, "term_counts").select("scope", "term", none.alias("df"), F.col("df").alias("df2"))
+    terms = df.unionByName(df2).groupBy("scope", "term").agg(F.sum("df").alias("df"), F.sum("df2").alias("df2"))
     terms = terms.groupBy("scope").agg(F.min(F.col("df").eqNullSafe(F.col("df2"))).alias("t"))
     stats = one["scope_stats"].join(many["scope_stats"].select("scope", F.col("n").alias("n2"), F.col("avgdl").alias("a2")), "scope", "full")
     return stats.join(terms, "scope").select("scope", (F.col("t") & (F.col("n") == F.col("n2")) & (F.col("avgdl") == F.col("a2"))).alias("same"))

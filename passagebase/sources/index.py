@@ -14,7 +14,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagebase.functions import text as T
 from passagebase.operators import retrieval as R
 from passagebase.operators.models import embed
 from passagebase.sources.shared import kept
@@ -49,10 +48,13 @@ def asked_buckets(rows: DataFrame, buckets: int = BUCKETS) -> list[int]:
     return sorted(r["bucket"] for r in rows.select(bucket_of(buckets=buckets).alias("bucket")).distinct().collect())
 
 
-def _put(rows: DataFrame, path: str, order: list[str], batch: int, buckets: int, part: str = "batch") -> None:
-    """Rows to their bucket folders; large buckets are split over tasks, small ones share one (rebalance)."""
+def _put(rows: DataFrame, path: str, order: list[str], batch: int, buckets: int, part: str = "batch", spread: bool = True) -> None:
+    """Rows to their bucket folders; large buckets are split over tasks, small ones share one (rebalance).
+
+    Without `spread` rows are written by the task that has them, which suits rows made of a table in such folders.
+    """
     rows = rows.withColumn("bucket", bucket_of(buckets=buckets)).withColumn(part, F.lit(batch).cast("long"))
-    rows = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *order)
+    rows = (rows.hint("rebalance", "bucket") if spread else rows).sortWithinPartitions("bucket", *order)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", part).parquet(path)
 
 
@@ -63,13 +65,14 @@ def _part(spark: SparkSession, path: str, name: str, batch: int) -> DataFrame:
 def append(chunks: DataFrame, path: str, batch: int = 0, vectors: DataFrame | None = None, model: Callable[[list[str]], np.ndarray] | None = None, buckets: int = BUCKETS) -> None:
     """One batch of passages (scope, chunk_id, text, ...) with all that belongs to them.
 
-    Texts are taken apart twice, for lengths and for postings, each time in one pass over a row. vectors: (chunk_id, vec),
-    unit vectors; or a model, which is asked once for each text that the index has not seen yet.
+    Texts are taken apart twice, for lengths and for postings, each time in one pass over a row; postings are written where
+    their passages are read, bucket by bucket, without a shuffle. vectors: (chunk_id, vec), unit vectors; or a model, which
+    is asked once for each text that the index has not seen yet.
     """
     spark = chunks.sparkSession
-    _put(chunks.withColumn("dl", F.size(T.tokens(F.col("text")))).withColumn("text_sha", F.sha2(F.col("text").cast("binary"), 256)), f"{path}/chunks", ["scope", "chunk_id"], batch, buckets)
+    _put(chunks.withColumn("dl", R.token_count(F.col("text").cast("string"))).withColumn("text_sha", F.sha2(F.col("text").cast("binary"), 256)), f"{path}/chunks", ["scope", "chunk_id"], batch, buckets)
     own = _part(spark, path, "chunks", batch)
-    _put(R.postings(own, keep=("dl",)), f"{path}/postings", ["scope", "term"], batch, buckets)
+    _put(R.postings(own, keep=("dl",)), f"{path}/postings", [], batch, buckets, spread=False)
     _put(own.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("tokens")), f"{path}/scope_counts", ["scope"], batch, buckets)
     _put(_part(spark, path, "postings", batch).groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df")), f"{path}/term_counts", ["scope", "term"], batch, buckets)
     if model is not None:
@@ -103,13 +106,19 @@ def _upto(spark: SparkSession, path: str, name: str) -> dict[int, int]:
 def counts(spark: SparkSession, path: str, name: str, only: list[int] | None = None) -> DataFrame:
     """Counts over all batches: sums up to the last compaction and what came after it."""
     keys, sums = COUNTS[name]
+    return count_rows(spark, path, name, only).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
+
+
+def count_rows(spark: SparkSession, path: str, name: str, only: list[int] | None = None) -> DataFrame:
+    """What counts() adds up: a row a key for the sums and for each batch after them."""
+    keys, sums = COUNTS[name]
     upto = _upto(spark, path, name)
     at = F.lit(-1).cast("long") if not upto else F.coalesce(F.try_element_at(F.create_map(*(F.lit(x).cast(t) for b, u in sorted(upto.items()) for x, t in ((b, "int"), (u, "long")))), F.col("bucket")), F.lit(-1).cast("long"))
     rows = _pruned(spark.read.parquet(f"{path}/{name}"), only).where(F.col("batch") > at).select(*keys, *sums)
     if upto:
         old = _pruned(spark.read.parquet(f"{path}/{name}_sums"), only).where(F.col("upto") == at)
         rows = rows.unionByName(old.select(*keys, *sums))
-    return rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
+    return rows
 
 
 def compact(spark: SparkSession, path: str, upto: int, buckets: int = BUCKETS) -> None:

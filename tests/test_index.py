@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from passagebase.functions import text as T
 from passagebase.operators import models
 from passagebase.operators import retrieval as R
 from passagebase.operators import sessions as O
@@ -181,6 +182,31 @@ def test_stream_of_files_by_folder(spark, tmp_path):
     assert {r.scope: r.n for r in index["scope_stats"].collect()} == {"a": 2, "b": 1}
 
 
+def test_words_are_counted_in_arrow_as_expressions_have_them(spark):
+    odd = ["\u0130x K2 \u212a a1\u00e9 b c_d a1 \u00c95 \U0001f600z9 a1", "z z Z", None, "", "...", "\u0391\u03a3 9 \u00df \ufb01 7", "a\u0000b\na\tb", "abc" * 3, "0"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "chunk_id long, text string").withColumn("scope", F.when(F.col("chunk_id") > 0, "s"))
+    words = rows.select("scope", "chunk_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("scope", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    posts = R.postings(rows)
+    assert sorted(map(repr, posts.collect())) == sorted(map(repr, words.collect()))
+    assert [r.n for r in rows.select("chunk_id", R.token_count("text").alias("n")).orderBy("chunk_id").collect()] == [r.n for r in rows.select("chunk_id", F.size(T.tokens(F.col("text"))).alias("n")).orderBy("chunk_id").collect()]
+    plan = posts._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
+
+
+def test_postings_are_written_without_a_shuffle(spark, tmp_path, monkeypatch):
+    plans, put = {}, X._put
+
+    def seen(rows, path, *args, **kw):
+        put(rows, path, *args, **kw)
+        plans[os.path.basename(path)] = kw.get("spread", True)
+
+    monkeypatch.setattr(X, "_put", seen)
+    X.append(passages(spark), str(tmp_path))
+    assert plans == {"chunks": True, "postings": False, "scope_counts": True, "term_counts": True}
+    folders = {os.path.dirname(n) for n in names(tmp_path / "postings")}
+    assert folders == {os.path.dirname(n) for n in names(tmp_path / "chunks")}
+
+
 def test_a_batch_of_questions_that_runs_again_leaves_one_answer_each(spark, tmp_path):
     source, target = str(tmp_path / "q"), str(tmp_path / "a")
     spark.createDataFrame([(1, "one"), (1, "one"), (2, "two")], "question_id long, question string").write.parquet(source)
