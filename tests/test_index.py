@@ -182,6 +182,21 @@ def test_stream_of_files_by_folder(spark, tmp_path):
     assert {r.scope: r.n for r in index["scope_stats"].collect()} == {"a": 2, "b": 1}
 
 
+def test_a_new_checkpoint_writes_what_is_new_and_replaces_nothing(spark, tmp_path):
+    for folder, name in (("in", "x.txt"), ("in", "y.txt"), ("more", "z.txt")):
+        (tmp_path / folder / "a").mkdir(parents=True, exist_ok=True)
+        (tmp_path / folder / "a" / name).write_text(f"A sentence of file {name[0]} here.\n")
+    run = lambda source, check: ingest.ingest(spark, str(tmp_path / source), str(tmp_path / "out"), str(tmp_path / check)).awaitTermination()
+    run("in", "c1")
+    first = names(tmp_path / "out" / "chunks") | names(tmp_path / "out" / "postings")
+    run("in", "c2")
+    assert names(tmp_path / "out" / "chunks") | names(tmp_path / "out" / "postings") == first
+    run("more", "c3")
+    index = X.read(spark, str(tmp_path / "out"))
+    assert sorted(r.source_file for r in index["chunks"].collect()) == ["x.txt", "y.txt", "z.txt"]
+    assert {r.scope: r.n for r in index["scope_stats"].collect()} == {"a": 3}
+
+
 def test_words_are_counted_in_arrow_as_expressions_have_them(spark):
     odd = ["\u0130x K2 \u212a a1\u00e9 b c_d a1 \u00c95 \U0001f600z9 a1", "z z Z", None, "", "...", "\u0391\u03a3 9 \u00df \ufb01 7", "a\u0000b\na\tb", "abc" * 3, "0"]
     rows = spark.createDataFrame(list(enumerate(odd)), "chunk_id long, text string").withColumn("scope", F.when(F.col("chunk_id") > 0, "s"))
