@@ -1,14 +1,23 @@
 """Near copies by SimHash with pigeonring filtering, at a Jaccard similarity of word shingles, every link verified.
 
-MinHash keys only deal texts to groups: BANDS keys of ROWS minima each, so two texts of similarity s share a key with
-probability 1 - (1 - s**ROWS)**BANDS (0.999997 at 0.8). Within a group the SimHash fingerprints of the shingle sets,
-RING_WORDS x 64 bits on a ring, are compared: chains of consecutive segments must stay within proportional budgets, then
-the whole difference within RING_BITS (a pair right at 0.8 differs in 78 bits on average, deviation 8, so it passes with
-probability 0.997; at 0.85 with 0.99999). What passes is verified on the whole shingle sets; nothing else links.
+The bits of a text's fingerprint, the SimHash of its shingle set, lie on a ring of segments of 64 bits. In each segment the
+bit whose count is farthest from half is the surest: the last to differ in a near copy. Texts meet where two consecutive
+segments agree in place and value of their surest bits (a key of 14 bits; three segments, 21 bits, in very large tables).
+There a chain begins: its prefixes, one segment and two, must stay within CHAIN_BITS differing bits a segment, and only
+texts that have such a partner go on. The first RING_WORDS segments are then compared as a whole: chains of consecutive
+segments of 32 bits must stay within proportional budgets, then all their bits within RING_BITS (a pair right at 0.8
+differs in 78 bits on average, deviation 8, so it passes with probability 0.997; at 0.85 with 0.99999). What passes is
+verified on the whole shingle sets; nothing else links.
+
+The surest bits of a segment agree with probability 0.43 at a similarity of 0.8 and 1 in 128 among strangers, so a pair
+right at 0.8 meets nowhere with a probability of about 2 in 10,000, 3 with three segments (0.43 is simulated, the rest
+calculated from it).
+Sets of fewer than RING_LEAST shingles have no steady fingerprint: they, and those that may be similar to them, meet at
+their least hashes, as many as leave no similar pair apart (prefix filtering, exact).
 
 Three steps, each of which leaves less to do for the next:
-1. Every text goes with its shingle set to one group, its largest. A breadth-first sweep compares reached texts with
-   unreached ones only and returns one row per text, its root in the group.
+1. Every text that has a partner goes with its shingle set to one group, its largest. A breadth-first sweep compares
+   reached texts with unreached ones only and returns one row per text, its root in the group.
 2. In each group of a key that holds several components, every text names its nearest text (by fingerprint) of another
    component; of all its groups' offers the nearest one is verified.
 3. Of the pairs that still lie in different components and haven't met in step 1, all that pass the ring are verified,
@@ -37,15 +46,19 @@ from pyspark.sql import functions as F
 
 from passagebase.llm.common import as_bytes, doc_slices, maybe_broadcast, stash, text_sha
 from passagebase.llm.components import connected_components
-from passagebase.llm.near_dedup import ring_close, ring_distances, wide_simhash
+from passagebase.llm.near_dedup import BITS, bit_sums, majority_words, ring_close, ring_distances, wide_simhash
 
-BANDS, ROWS = 24, 4
+#: (rows of the table at most, segments of the fingerprint, segments that a key spans)
+KEY_PLANS = [(1 << 26, 56, 2), (None, 144, 3)]
+#: Differing bits a segment that a chain may have; 9.6 are usual at a similarity of 0.8, 32 among strangers.
+CHAIN_BITS = 16
 RING_WORDS, RING_BITS = 8, 100
 #: Sets smaller than this have no steady fingerprint and are verified at once.
 RING_LEAST = 16
 #: A group with more bytes of shingle sets, or more rows of fingerprints, is dealt as pairs of blocks of about this size.
 BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 8192
-_PIECE = 1 << 13
+#: Rows of whole groups that are worked off at a time.
+_HELD = 1 << 17
 
 
 def shingles(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
@@ -61,20 +74,20 @@ def shingles(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(ends)].tolist(), ends, strict=True)], dtype=np.uint64))
 
 
-def hash_functions(seed: int = 42) -> list[np.ndarray]:
-    """Parameters of BANDS x ROWS functions."""
-    r = np.random.default_rng(seed)
-    return [r.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for _ in range(3)]
+def segment_keys(sums: np.ndarray, total: int, span: int) -> np.ndarray:
+    """A key for each segment: its place on the ring, and place and value of the surest bits of `span` segments from it on."""
+    counts = sums.reshape(-1, BITS)
+    surest = np.abs(2 * counts - total).argmax(axis=1)
+    symbol = 2 * surest + (2 * counts[np.arange(len(counts)), surest] > total)
+    keys = np.arange(len(counts))
+    for i in range(span):
+        keys = keys * (2 * BITS) + np.roll(symbol, -i)
+    return keys.astype(np.int32)
 
 
-def band_keys(hashes: np.ndarray, functions: list[np.ndarray]) -> np.ndarray:
-    """BANDS keys, each of ROWS minima of the hashes under functions of their own."""
-    turn, times, mix = functions
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(hashes), _PIECE):
-        x = (hashes[i : i + _PIECE][None, :] ^ turn[:, None]) * (times | np.uint64(1))[:, None]
-        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=1))
-    return (least * (mix | np.uint64(1)) + mix).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
+def least_hashes(hashes: np.ndarray, least: float) -> np.ndarray:
+    """The first of a set's sorted hashes, of which it shares one with every set that is similar to it."""
+    return hashes[: len(hashes) - int(np.ceil(least * len(hashes) - 1e-6)) + 1]
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -82,16 +95,108 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), sha.alias("sha"), F.xxhash64(sha).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def sketches(texts: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, sha, node, keys) of every row."""
-    functions = hash_functions()
+def key_plan(rows: int) -> tuple[int, int]:
+    """(segments, segments that a key spans) for a table of so many rows."""
+    return next((segments, span) for most, segments, span in KEY_PLANS if most is None or rows <= most)
+
+
+def sketches(texts: DataFrame, words: int, least: float, segments: int, span: int) -> DataFrame:
+    """(doc_id, sha, node, n, bits, keys, few) of every row: size of its shingle set, fingerprint, a key for each segment
+    (-1: none, the set is too small) and the least hashes of sets that may have a small one beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in doc_slices(batches, "text", 2 << 20):
-            keys = pa.array([band_keys(shingles(x, words), functions).view(np.int64) for x in as_bytes(batch.column("text"))], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "sha", "node")), keys], names=["doc_id", "sha", "node", "keys"])
+            n, bits, keys, few = [], [], [], []
+            for s in (shingles(x, words) for x in as_bytes(batch.column("text"))):
+                n.append(len(s))
+                few.append(least_hashes(s, least).view(np.int64) if least * len(s) < RING_LEAST else [])
+                if len(s) < RING_LEAST:
+                    bits.append(bytes(8 * segments))
+                    keys.append(np.full(segments, -1, dtype=np.int32))
+                else:
+                    sums = bit_sums(s, segments)
+                    bits.append(majority_words(sums, len(s)).tobytes())
+                    keys.append(segment_keys(sums, len(s), span))
+            made = [pa.array(n, pa.int32()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int32())), pa.array(few, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "sha", "node")), *made], names=["doc_id", "sha", "node", "n", "bits", "keys", "few"])
+
+    return texts.mapInArrow(run, "doc_id long, sha string, node long, n int, bits binary, keys array<int>, few array<long>")
+
+
+def _dealt(bands: DataFrame, segments: int) -> DataFrame:
+    """(key, node, n, one, two) of every key of every node; one and two are the segments with which its chain begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, n = (np.asarray(batch.column(c)).astype(np.int64) for c in ("node", "n"))
+            steady = n >= RING_LEAST
+            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), dtype=np.int64).reshape(-1, segments)[steady]
+            keys = np.asarray(batch.column("keys").flatten()).reshape(-1, segments)[steady]
+            few = [np.array(x, dtype=np.int64) for x in batch.column("few").to_pylist()]
+            times = np.fromiter(map(len, few), dtype=np.int64, count=len(few))
+            none = np.zeros(times.sum(), dtype=np.int64)
+            columns = [[keys.ravel(), *few], [np.repeat(node[steady], segments), np.repeat(node, times)], [np.repeat(n[steady], segments), np.repeat(n, times)], [bits.ravel(), none], [np.roll(bits, -1, axis=1).ravel(), none]]
+            whole = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], names=["key", "node", "n", "one", "two"])
+            for at in range(0, whole.num_rows, 1 << 16):
+                yield whole.slice(at, 1 << 16)
+
+    return bands.select("node", "n", "bits", "keys", "few").mapInArrow(run, "key long, node long, n long, one long, two long")
+
+
+def chain_partners(group: np.ndarray, n: np.ndarray, one: np.ndarray, two: np.ndarray, least: float) -> np.ndarray:
+    """Which rows have a partner in their group by size and chain; rows are sorted by group and n."""
+    hit, at, d = np.zeros(len(n), dtype=bool), np.arange(len(n)), 0
+    while len(at):
+        d += 1
+        at = at[: np.searchsorted(at, len(n) - d)]
+        at = at[(group[at] == group[at + d]) & (n[at] >= least * n[at + d] - 1e-6)]
+        a = at[~(hit[at] & hit[at + d])]
+        spent = np.bitwise_count(one[a] ^ one[a + d]).astype(np.int64)
+        near = (spent <= CHAIN_BITS) & (spent + np.bitwise_count(two[a] ^ two[a + d]) <= 2 * CHAIN_BITS)
+        a = a[near | (n[a] < RING_LEAST)]
+        hit[a] = hit[a + d] = True
+        if d % 16 == 0:  # groups whose rows all have one are done
+            open_groups = np.bincount(group[~hit], minlength=group[-1] + 1) > 0
+            at = at[open_groups[group[at]]]
+    return hit
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows of whole groups, many at a time, with a number for each row's group."""
+    held: list[pa.RecordBatch] = []
+
+    def starts(table: pa.Table) -> np.ndarray:
+        tags = np.stack([np.asarray(table.column(k)).astype(np.int64) for k in keys], axis=1)
+        return np.concatenate([[False], np.any(tags[1:] != tags[:-1], axis=1)])
 
-    return texts.mapInArrow(run, "doc_id long, sha string, node long, keys array<long>")
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= _HELD:
+            table = pa.Table.from_batches(held).combine_chunks()
+            first = starts(table)
+            cuts = np.flatnonzero(first)
+            if len(cuts):
+                yield table.slice(0, cuts[-1]), np.cumsum(first[: cuts[-1]])
+                table = table.slice(cuts[-1])
+            held = table.to_batches()
+    if sum(b.num_rows for b in held):
+        table = pa.Table.from_batches(held)
+        yield table, np.cumsum(starts(table))
+
+
+def meetings(bands: DataFrame, segments: int, least: float) -> DataFrame:
+    """(key, node), a row each, where the node has a partner by the chain that begins at the key, or by size if it is small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _whole_groups(batches, ["key", "x", "y"]):
+            n, one, two = (np.asarray(table.column(c)).astype(np.int64) for c in ("n", "one", "two"))
+            hit = pa.array(chain_partners(group, n, one, two, least))
+            yield from table.select(["key", "node"]).filter(hit).to_batches()
+
+    keyed = bands.where(F.col("n") >= RING_LEAST).select(F.explode(F.col("keys").cast("array<long>")).alias("key")).unionAll(bands.select(F.explode("few").alias("key")))
+    rows = _blocked(_dealt(bands, segments), _many_blocks(keyed, F.count(F.lit(1)), BLOCK_ROWS))
+    keys = ["key", "x", "y"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "n").mapInArrow(run, "key long, node long").distinct()
 
 
 def shingle_sets(texts: DataFrame, words: int = 5) -> DataFrame:
@@ -223,15 +328,16 @@ class Open:
     def __init__(self, group: pa.Table, least: float):
         self.node, self.n, self.component, self.home = (np.asarray(group.column(c)).astype(np.int64) for c in ("node", "n", "component", "home"))
         self.rings, self.least = rings_of(group.column("ring").combine_chunks()), least
-        self.keys = np.asarray(group.column("keys").combine_chunks().flatten()).astype(np.int64).reshape(-1, BANDS)
+        self.keys = np.asarray(group.column("keys").combine_chunks().flatten()).astype(np.int64).reshape(len(self.node), -1)
         self.key = int(group.column("key")[0].as_py())
 
     def after(self, i: int) -> np.ndarray:
         """Later rows of other component and home that pass the ring and share no earlier key with row i."""
         b = i + 1 + np.flatnonzero((self.component[i + 1 :] != self.component[i]) & (self.home[i + 1 :] != self.home[i]))
         b = b[passes_ring(i, b, self.n, self.rings, self.least)]
-        first = (self.keys[b] == self.keys[i]).argmax(axis=1)
-        return b[self.keys[i][first] == self.key]
+        same = (self.keys[b] == self.keys[i]) & (self.keys[i] >= 0)
+        # Pairs that share least hashes only are verified at each of them.
+        return b[(self.keys[i][same.argmax(axis=1)] == self.key) | ~same.any(axis=1)]
 
 
 def _with_partners(rows: DataFrame, least: float) -> DataFrame:
@@ -312,8 +418,16 @@ def _open_rows(shared: DataFrame, roots: DataFrame, sets: DataFrame, home: DataF
     return known.join(maybe_broadcast(several, several.count()), "key", "left_semi").join(rings, "node")
 
 
+def _met(bands: DataFrame, shared: DataFrame) -> DataFrame:
+    """(node, keys): the keys of each node, -1 for those where it met no partner."""
+    kept = shared.groupBy("node").agg(F.collect_set("key").alias("kept"))
+    keys = F.transform("keys", lambda k: F.when(F.array_contains("kept", k.cast("long")), k).otherwise(F.lit(-1)))
+    return stash(bands.select("node", "keys").join(kept, "node").select("node", keys.alias("keys")))
+
+
 def components(texts: DataFrame, keyed: DataFrame, bands: DataFrame, words: int, least: float) -> DataFrame:
     """(node, root) of the nodes that have near copies; keyed has (key, node), a row each, bands the keys of each node."""
+    keyed = stash(keyed)
     counted = stash(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     shared = stash(keyed.join(maybe_broadcast(counted, counted.count()), "key"))
     home = stash(shared.groupBy("node").agg(F.max(F.struct("size", "key"))["key"].alias("home")))
@@ -329,7 +443,8 @@ def components(texts: DataFrame, keyed: DataFrame, bands: DataFrame, words: int,
     nearest = offers.groupBy("a").agg(F.min(F.struct("d", "b"))["b"].alias("b"))
     pairs = stash(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = _merged(roots, stash(verified(pairs, sets, least)))
-    rows = stash(_open_rows(shared, roots, sets, home).join(bands, "node"))
+    rows = _open_rows(shared, roots, sets, home)
+    rows = stash(rows.join(_met(bands, shared), "node"))
     if rows.isEmpty():
         return roots
     asked = stash(_with_partners(_blocked(rows, _many_blocks(rows, F.count(F.lit(1)), BLOCK_ROWS)), least))
@@ -341,9 +456,12 @@ def components(texts: DataFrame, keyed: DataFrame, bands: DataFrame, words: int,
 def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, sha) of the rows that go: all of a component of near copies but its first row."""
     texts = _texts(docs, id_col, text_col)
-    rows = stash(sketches(texts, words))
-    bands = stash(rows.select("node", "keys").dropDuplicates(["node"]))
-    roots = components(texts, bands.select(F.explode(F.array_distinct("keys")).alias("key"), "node"), bands, words, least)
+    segments, span = key_plan(docs.count())
+    rows = stash(sketches(texts, words, least, segments, span))
+    bands = rows.select("node", "n", "bits", "keys", "few")
+    if not rows.groupBy("node").count().where("count > 1").isEmpty():
+        bands = stash(bands.dropDuplicates(["node"]))
+    roots = components(texts, meetings(bands, segments, least), bands, words, least)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")
     placed = rows.select("doc_id", "sha", "node").join(maybe_broadcast(roots, roots.count()), "node", "left").select("doc_id", "sha", F.coalesce("root", "node").alias("root"))
     stay = stash(placed.groupBy("root").agg(F.min(row).alias("stay"), F.max(row).alias("last")).where(~F.col("stay").eqNullSafe(F.col("last"))).select("root", "stay"))

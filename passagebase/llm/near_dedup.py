@@ -20,6 +20,7 @@ as a document that can't be a component_id unless its component has no other; an
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ from passagebase.llm.components import connected_components
 
 BITS = 64
 _PIECE = 1 << 16
+#: Hashes whose bits are counted at a time, in bytes.
+_SUMMED = 192
 #: Pairs of runs with more combinations than this are swept instead of expanded.
 CROWDED = 1 << 16
 _PAIRS = 1 << 21
@@ -60,18 +63,32 @@ def _majority(pieces: list[np.ndarray], total: int) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0])
 
 
+@functools.cache
+def _mixers(words: int) -> np.ndarray:
+    """Two odd factors for each word; those of the first words are the same whatever their number."""
+    return np.random.default_rng(42).integers(0, 1 << 63, (words, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bit_sums(hashes: np.ndarray, words: int) -> np.ndarray:
+    """How many of the 64-bit hashes, mixed anew for each word, have each of words x 64 bits set."""
+    one, two = _mixers(words).T
+    total = np.zeros(words * BITS, dtype=np.int64)
+    for at in range(0, len(hashes), _SUMMED):
+        x = hashes[at : at + _SUMMED, None] * one
+        x = (x ^ (x >> np.uint64(29))) * two
+        x ^= x >> np.uint64(32)
+        total += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return total
+
+
+def majority_words(sums: np.ndarray, total: int) -> np.ndarray:
+    """Words of the bits that are set in over half of `total` hashes."""
+    return np.packbits(2 * sums > total, bitorder="little").view(np.uint64)
+
+
 def wide_simhash(hashes: np.ndarray, words: int) -> np.ndarray:
-    """SimHash of words x 64 bits over a set of 64-bit hashes, which are mixed anew for each word."""
-    odd = np.random.default_rng(42).integers(0, 1 << 63, words, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    out = np.empty(words, dtype=np.uint64)
-    for i in range(words):
-        pieces = []
-        for at in range(0, len(hashes), _PIECE):
-            x = hashes[at : at + _PIECE] * odd[i]
-            x = (x ^ (x >> np.uint64(29))) * odd[(i + 1) % words]
-            pieces.append(x ^ (x >> np.uint64(32)))
-        out[i] = _majority(pieces, len(hashes))
-    return out
+    """SimHash of words x 64 bits over a set of 64-bit hashes; fewer words are the first ones of more."""
+    return majority_words(bit_sums(hashes, words), len(hashes))
 
 
 def ring_distances(one: np.ndarray, many: np.ndarray) -> np.ndarray:
